@@ -128,8 +128,9 @@ def is_airtime_category(c: Column) -> Column:
 
 def denomination_label(sku: Column, denomination: Column) -> Column:
     number = to_number(denomination)
-    formatted = F.regexp_replace(F.format_number(number, "#.##"), r"\.0+$", "")
-    return F.coalesce(F.when(strip_ws(sku) != "", strip_ws(sku)), formatted)
+    formatted = F.regexp_replace(F.format_string("%.2f", number), r"\.?0+$", "")
+    return F.coalesce(F.when(strip_ws(sku) != "", strip_ws(sku)),
+                      F.when(number.isNotNull(), formatted))
 
 
 def ipv4_to_long(c: Column) -> Column:

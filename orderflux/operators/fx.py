@@ -1,8 +1,8 @@
 """Dated exchange rates and conversion. Rates are local currency per 1 RMB.
 
-A rate is valid from its month until the next dated month of the same key. The validity spans are
-expanded to one row per month, so the as-of lookup is an equi join: no range condition is evaluated
-per order, and a hot currency splits like any other skewed join key.
+A rate is valid from its month until the next dated month of the same key. The rates are laid out as a
+calendar of currencies x months, so the as-of lookup is one equi join per order and no range condition
+is evaluated. The calendar does not grow with the orders.
 """
 
 from __future__ import annotations
@@ -56,79 +56,97 @@ def rates_by_country(rates: DataFrame) -> DataFrame:
     return direct.unionByName(keyed)
 
 
-def _monthly(dated: DataFrame, key: str) -> DataFrame:
-    """One row per key and month in force: ``_key, _month, dated, _first, _last``.
+NO_MONTH, BEFORE_FIRST = "", "0000-00"
+LOCAL_CALENDAR_ROWS = 200_000
 
-    Two rates of one month: the greater one is in force, as sorted entries give. Rows are bounded by
-    currencies x months.
-    """
-    one = dated.groupBy(key, "month").agg(F.max("rate").alias("dated"))
-    w = Window.partitionBy(key).orderBy("month")
-    day = F.to_date(F.concat("month", F.lit("-01")))
-    spans = one.withColumn("_until", F.coalesce(F.lead(day).over(w), F.add_months(day, 1)))
-    months = F.transform(F.sequence(day, F.add_months("_until", -1), F.expr("interval 1 month")),
-                         lambda d: F.date_format(d, "yyyy-MM"))
-    return spans.select(F.col(key).alias("_key"), F.explode(months).alias("_month"), "dated")
-
-
-def _bounds(dated: DataFrame, key: str) -> DataFrame:
-    """First and last dated month of a key with their rates."""
-    pair = F.struct("month", "rate")
-    return dated.groupBy(F.col(key).alias("_bkey")).agg(
-        F.min("month").alias("_first"), F.max("month").alias("_last"),
-        F.min_by("rate", F.struct("month", "rate")).alias("_earliest"),
-        F.max_by("rate", pair).alias("_latest"))
-
-
-def _lookup(df: DataFrame, key: Column, as_of: Column, dated: DataFrame, name: str) -> DataFrame:
-    bounds, monthly = _bounds(dated, name), _monthly(dated, name)
-    return (df.withColumn("_k", key).withColumn("_as_of", as_of)
-            .join(bounds, F.col("_k") == F.col("_bkey"), "left")
-            .withColumn("_probe", F.least("_as_of", "_last"))
-            .join(monthly, (F.col("_k") == F.col("_key")) & (F.col("_probe") == F.col("_month")),
-                  "left"))
 
+def rate_calendar(dated: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """One row per key and month in force, built once per currencies x months.
 
-_SCRATCH = ("_k", "_as_of", "_bkey", "_first", "_last", "_earliest", "_latest", "_probe", "_key",
-            "_month", "dated", "snapshot", "_s")
+    ``keys`` holds every known key with its snapshot rate (NULL when it has none). The months run from the
+    first to the last dated month of the table; two more rows per key answer a month before the first
+    one and a missing month.
+    """
+    dated = dated.groupBy(key, "month").agg(F.max("rate").alias("_dated"))
+    span = dated.agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
+    day = [F.to_date(F.concat(c, F.lit("-01"))) for c in ("_lo", "_hi")]
+    months = F.transform(F.sequence(*day, F.expr("interval 1 month")),
+                         lambda d: F.date_format(d, "yyyy-MM"))
+    listed = span.select(F.array_union(
+        F.coalesce(months, F.array().cast("array<string>")),
+        F.array(F.lit(BEFORE_FIRST), F.lit(NO_MONTH))).alias("m")).scalar()
+    grid = keys.select(key, "snapshot", F.explode(listed).alias("month")).join(
+        dated, [key, "month"], "left")
+    upto = (Window.partitionBy(key).orderBy("month")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = (Window.partitionBy(key).orderBy("month")
+             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return grid.select(
+        key, "month", "snapshot", F.last("_dated", ignorenulls=True).over(upto).alias("in_force"),
+        F.first("_dated", ignorenulls=True).over(whole).alias("earliest"),
+        F.last("_dated", ignorenulls=True).over(whole).alias("latest"))
+
+
+def _join_calendar(df: DataFrame, calendar: DataFrame, key: Column, as_of: Column | None,
+                   out: str) -> DataFrame:
+    """Left join on (key, month). A calendar of checked size becomes a local relation to broadcast."""
+    spark = df.sparkSession
+    rows = calendar.limit(LOCAL_CALENDAR_ROWS + 1).collect()
+    if len(rows) <= LOCAL_CALENDAR_ROWS:
+        calendar = local_table(spark, "_key string, _month string, _rate double",
+                               [tuple(r) for r in rows])
+        months = [r[1] for r in rows if r[1] > BEFORE_FIRST]
+        low, high = (F.lit(min(months)), F.lit(max(months))) if months else (F.lit("9999-99"),) * 2
+    else:
+        real = calendar.filter(F.col("_month") > BEFORE_FIRST)
+        low, high = real.select(F.min("_month")).scalar(), real.select(F.max("_month")).scalar()
+    month = F.lit(NO_MONTH) if as_of is None else (
+        F.when(as_of.isNull(), NO_MONTH).when(as_of < low, BEFORE_FIRST)
+        .otherwise(F.least(as_of, high)))
+    return (df.withColumn("_k", key).withColumn("_m", month)
+            .join(calendar, (F.col("_k") == F.col("_key")) & (F.col("_m") == F.col("_month")), "left")
+            .withColumn(out, F.col("_rate")).drop("_k", "_m", "_key", "_month", "_rate"))
+
+
+def iso_calendar(rates: DataFrame) -> DataFrame:
+    """Before the first dated month, and for undated currencies, the snapshot; without a month the
+    latest dated rate."""
+    dated = rates_by_iso(rates)
+    keys = (dated.select("iso").distinct()
+            .join(_snapshot_iso(rates.sparkSession), "iso", "full_outer"))
+    value = F.when(F.col("month") == NO_MONTH, F.coalesce("latest", "snapshot")).otherwise(
+        F.coalesce("in_force", "snapshot"))
+    return rate_calendar(dated, keys, "iso").select(
+        F.col("iso").alias("_key"), F.col("month").alias("_month"), value.alias("_rate"))
+
+
+def country_calendar(rates: DataFrame) -> DataFrame:
+    """Before the first dated month the earliest dated rate; without a month, and for undated
+    countries, the snapshot. Only countries of the snapshot are known."""
+    keys = fx_snapshot(rates.sparkSession).select("country", F.col("rate").alias("snapshot"))
+    value = F.when(F.col("month") == NO_MONTH, F.col("snapshot")).otherwise(
+        F.coalesce("in_force", "earliest", "snapshot"))
+    return rate_calendar(rates_by_country(rates), keys, "country").select(
+        F.col("country").alias("_key"), F.col("month").alias("_month"), value.alias("_rate"))
 
 
 def rate_for_iso(df: DataFrame, rates: DataFrame, iso: Column, as_of: Column | None,
                  out: str = "rate") -> DataFrame:
-    """Rate of a currency in force at ``as_of`` (YYYY-MM text).
-
-    Before the first dated month, or for an undated currency, the snapshot applies. Without ``as_of``
-    the latest dated rate applies. An unknown currency gives NULL.
-    """
-    as_of = F.lit(None).cast("string") if as_of is None else as_of
-    found = _lookup(df, F.upper(strip_ws(iso)), as_of, rates_by_iso(rates), "iso")
-    snap = _snapshot_iso(df.sparkSession).withColumnRenamed("iso", "_s")
-    joined = found.join(snap, F.col("_k") == F.col("_s"), "left")
-    value = (F.when(F.col("_as_of").isNull(), F.coalesce("_latest", "snapshot"))
-             .otherwise(F.coalesce("dated", "snapshot")))
-    return joined.withColumn(out, value).drop(*_SCRATCH)
+    """Rate of a currency in force at ``as_of`` (YYYY-MM text); NULL for an unknown currency."""
+    return _join_calendar(df, iso_calendar(rates), F.upper(strip_ws(iso)), as_of, out)
 
 
 def rate_for_country(df: DataFrame, rates: DataFrame, country: Column, as_of: Column | None,
-                     out: str = "rate", iso_out: str | None = None) -> DataFrame:
-    """Rate of a country's currency at ``as_of``.
+                     out: str = "rate") -> DataFrame:
+    """Rate of a country's currency at ``as_of``; NULL for a country outside the snapshot."""
+    return _join_calendar(df, country_calendar(rates), strip_ws(country), as_of, out)
 
-    Before the first dated month the earliest dated rate applies; without ``as_of`` the snapshot does;
-    a country outside the snapshot gives NULL even when dated.
-    """
-    as_of = F.lit(None).cast("string") if as_of is None else as_of
-    found = _lookup(df, strip_ws(country), as_of, rates_by_country(rates), "country")
-    snap = fx_snapshot(df.sparkSession).select(
-        F.col("country").alias("_s"), F.col("iso").alias("_siso"), F.col("rate").alias("snapshot"))
-    joined = found.join(snap, F.col("_k") == F.col("_s"), "left")
-    dated = F.when(F.col("_as_of") < F.col("_first"), F.col("_earliest")).otherwise(F.col("dated"))
-    value = (F.when(F.col("_s").isNull(), None)
-             .when(F.col("_as_of").isNull(), F.col("snapshot"))
-             .otherwise(F.coalesce(dated, "snapshot")))
-    joined = joined.withColumn(out, value)
-    if iso_out:
-        joined = joined.withColumn(iso_out, F.col("_siso"))
-    return joined.drop(*_SCRATCH, "_siso")
+
+def country_currency(df: DataFrame, column: str = "country") -> DataFrame:
+    """Symbol and currency code of a country."""
+    dim = fx_snapshot(df.sparkSession).select(F.col("country").alias("_c"), "symbol",
+                                              F.col("iso").alias("currency"))
+    return df.join(dim, strip_ws(F.col(column)) == F.col("_c"), "left").drop("_c")
 
 
 def settlement_in_rmb(df: DataFrame, rates: DataFrame, iso: str = "settlement_iso") -> DataFrame:

@@ -26,7 +26,7 @@ class Query:
 
 def register(name: str, sql: str | None = None, digits: str = ""):
     """Register a query. ``digits`` like ``"gmv:2 aov:6"`` rounds once, on both sides."""
-    places = {p.split(":")[0]: int(p.split(":")[1]) for p in digits.split()}
+    places = {p.split(":")[0].strip('"'): int(p.split(":")[1]) for p in digits.split()}
 
     def wrap(fn):
         assert name not in REGISTRY, name
@@ -67,7 +67,7 @@ def oracle(query: Query) -> str | None:
         return None
     body = query.sql.strip()
     if query.digits:
-        rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {n}) AS {c}" for c, n in query.digits.items())
+        rounded = ", ".join(f'round(CAST("{c}" AS DOUBLE), {n}) AS "{c}"' for c, n in query.digits.items())
         body = f"SELECT * REPLACE ({rounded}) FROM ({body}) q"
     else:
         body = f"SELECT * FROM ({body}) q"

@@ -69,7 +69,7 @@ def g28k(spark, d):
 WITH u AS (SELECT region, user_id, count(*) AS n, sum(sales) AS s FROM {B2C} GROUP BY 1, 2)
 SELECT region, count(*) AS users, CAST(sum(n) AS BIGINT) AS orders, sum(s) AS gmv,
   avg(n) AS orders_per_user, avg(s) AS gmv_per_user FROM u GROUP BY 1
-""", "gmv:2 orders_per_user:6 gmv_per_user:4")
+""", "gmv:2 orders_per_user:6 gmv_per_user:6")
 def g29(spark, d):
     return C.customer_averages(successful(spark, d, "order_id", "sales", "segment", "user_id", "region"),
                                "region")

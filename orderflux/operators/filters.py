@@ -83,7 +83,7 @@ def date_range(start: date | None = None, end: date | None = None,
 
 def quick_period(name: str, today: date) -> tuple[date, date]:
     """Named period ending on ``today``."""
-    if name.startswith("last_"):
+    if name.startswith("last_") and name.endswith("_days"):
         return today - timedelta(days=int(name.split("_")[1]) - 1), today
     month_start = today.replace(day=1)
     if name == "this_month":

@@ -93,7 +93,7 @@ def _join_calendar(df: DataFrame, calendar: DataFrame, key: Column, as_of: Colum
     spark = df.sparkSession
     rows = calendar.limit(LOCAL_CALENDAR_ROWS + 1).collect()
     if len(rows) <= LOCAL_CALENDAR_ROWS:
-        calendar = local_table(spark, "_key string, _month string, _rate double",
+        calendar = local_table(spark, "_key string, _month string, _cal double",
                                [tuple(r) for r in rows])
         months = [r[1] for r in rows if r[1] > BEFORE_FIRST]
         low, high = (F.lit(min(months)), F.lit(max(months))) if months else (F.lit("9999-99"),) * 2
@@ -105,7 +105,7 @@ def _join_calendar(df: DataFrame, calendar: DataFrame, key: Column, as_of: Colum
         .otherwise(F.least(as_of, high)))
     return (df.withColumn("_k", key).withColumn("_m", month)
             .join(calendar, (F.col("_k") == F.col("_key")) & (F.col("_m") == F.col("_month")), "left")
-            .withColumn(out, F.col("_rate")).drop("_k", "_m", "_key", "_month", "_rate"))
+            .withColumn(out, F.col("_cal")).drop("_k", "_m", "_key", "_month", "_cal"))
 
 
 def iso_calendar(rates: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def iso_calendar(rates: DataFrame) -> DataFrame:
     value = F.when(F.col("month") == NO_MONTH, F.coalesce("latest", "snapshot")).otherwise(
         F.coalesce("in_force", "snapshot"))
     return rate_calendar(dated, keys, "iso").select(
-        F.col("iso").alias("_key"), F.col("month").alias("_month"), value.alias("_rate"))
+        F.col("iso").alias("_key"), F.col("month").alias("_month"), value.alias("_cal"))
 
 
 def country_calendar(rates: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def country_calendar(rates: DataFrame) -> DataFrame:
     value = F.when(F.col("month") == NO_MONTH, F.col("snapshot")).otherwise(
         F.coalesce("in_force", "earliest", "snapshot"))
     return rate_calendar(rates_by_country(rates), keys, "country").select(
-        F.col("country").alias("_key"), F.col("month").alias("_month"), value.alias("_rate"))
+        F.col("country").alias("_key"), F.col("month").alias("_month"), value.alias("_cal"))
 
 
 def rate_for_iso(df: DataFrame, rates: DataFrame, iso: Column, as_of: Column | None,

@@ -16,32 +16,35 @@ def value_bucket(value: Column, resolution: int = 256) -> Column:
 
 def running_totals(df: DataFrame, value: str, keys=(), rank: str = "rank",
                    cumulative: str = "cumulative", weight: str | None = None,
-                   resolution: int = 256, checkpoint: bool = True) -> DataFrame:
+                   resolution: int = 256, more: dict[str, str] | None = None) -> DataFrame:
     """Rank and running total by ``value`` descending, within ``keys``; ties share both.
 
+    ``more`` maps further output columns to the columns they accumulate.
+
     Equal values are first merged, then value buckets are summed on their own and offset by the
     totals before them, so no task holds a whole group.
     """
     keys = list(keys)
-    weight = weight or value
-    rows = stable(df) if checkpoint else df
+    sums = {cumulative: weight or value, **(more or {})}
+    rows = stable(df)
     by_value = (rows.groupBy(*keys, value)
-                .agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_s"))
+                .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
                 .withColumn("_b", value_bucket(F.col(value), resolution)))
     earlier = (Window.partitionBy(*keys).orderBy(F.desc("_b"))
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (by_value.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"), F.sum("_s").alias("_bs"))
-               .withColumn("_n0", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)))
-               .withColumn("_s0", F.coalesce(F.sum("_bs").over(earlier), F.lit(0)))
-               .drop("_bn", "_bs"))
+    totals = by_value.groupBy(*keys, "_b").agg(
+        F.sum("_n").alias("_n"), *[F.sum(f"_s_{o}").alias(f"_s_{o}") for o in sums])
+    offsets = totals.select(
+        *keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
+        *[F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_0_{o}") for o in sums])
     inside = (Window.partitionBy(*keys, "_b").orderBy(F.desc(value))
               .rowsBetween(Window.unboundedPreceding, 0))
     ranked = (by_value.withColumn("_cn", F.sum("_n").over(inside))
-              .withColumn("_cs", F.sum("_s").over(inside))
+              .withColumns({f"_c_{o}": F.sum(f"_s_{o}").over(inside) for o in sums})
               .join(offsets, [*keys, "_b"])
               .select(*keys, value,
                       (F.col("_n0") + F.col("_cn") - F.col("_n") + 1).alias(rank),
-                      (F.col("_s0") + F.col("_cs")).alias(cumulative)))
+                      *[(F.col(f"_0_{o}") + F.col(f"_c_{o}")).alias(o) for o in sums]))
     return rows.join(ranked, [*keys, value])
 
 

@@ -1,23 +1,27 @@
 """Daily revenue forecast: walk-forward validation, seasonal baseline, ridge and tree models.
 
 The fact is reduced to daily series in Spark. A series holds one row per calendar day, so the closed-form
-ridge and the baseline run per series inside one task each, many series in parallel. The tree models are Spark
-ML models; their recursive forecast advances day by day over all rows at once.
+ridge, the baseline and the recursive forecasts run per series inside one task each, many series in parallel.
+The tree models are fitted and validated by Spark ML; their nodes travel to the series for the recursion.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import ratio
 from orderflux.plans.series import daily_series, model_features, seasonal_baseline
-from orderflux.session import stable
+from orderflux.session import ensure_checkpoint_dir, stable
 
 FEATURES = ["t", "lag1", "lag7", "lag14", "roll7", "roll28", "dow_sin", "dow_cos", "is_weekend",
             "month_sin", "month_cos"]
@@ -115,64 +119,80 @@ def _tree(name: str, trees: int):
     return RandomForestRegressor(numTrees=trees, maxDepth=12, minInstancesPerNode=2, seed=42)
 
 
-def _advance(state: DataFrame, model, steps: int) -> DataFrame:
-    """Recursive forecast; a row holds the last 28 values and the values forecast so far."""
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    turn = 2.0 * F.pi()
-
-    def mean(n: int):
-        return F.aggregate(F.slice("_hist", -n, n), F.lit(0.0), lambda a, v: a + v) / n
-
-    for step in range(1, steps + 1):
-        day = F.date_add("_last_day", step)
-        dow, month = F.weekday(day), F.month(day)
-        named = {"t": F.col("_n") + F.lit(float(step - 1)),
-                 "lag1": F.log1p(F.element_at("_hist", -1)), "lag7": F.log1p(F.element_at("_hist", -7)),
-                 "lag14": F.log1p(F.element_at("_hist", -14)), "roll7": F.log1p(mean(7)),
-                 "roll28": F.log1p(mean(28)), "dow_sin": F.sin(turn * dow / 7),
-                 "dow_cos": F.cos(turn * dow / 7), "is_weekend": F.when(dow >= 5, 1.0).otherwise(0.0),
-                 "month_sin": F.sin(turn * month / 12), "month_cos": F.cos(turn * month / 12)}
-        scored = model.transform(assemble.transform(state.withColumns(named)))
-        point = F.array(F.greatest(F.lit(0.0), F.expm1("prediction")))
-        state = scored.select("_last_day", "_n", F.slice(F.concat("_hist", point), -28, 28).alias("_hist"),
-                              F.concat("_path", point).alias("_path"))
-        if step % 7 == 0:
-            state = stable(state)                   # cut the growing plan
-    return state
-
-
-def tree_forecasts(series: DataFrame, horizon_weeks: int = 8, trees: int = 300) -> DataFrame:
-    """Validation rows and daily forecast of the tree models for one series."""
+class _Forest(NamedTuple):
+    """Nodes of all trees in flat arrays; a leaf has feature -1."""
+
+    roots: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray
+    weights: np.ndarray
+
+    def predict(self, row: np.ndarray) -> float:
+        at = self.roots.copy()
+        while (inner := self.feature[at] >= 0).any():
+            down = row[self.feature[at]] <= self.threshold[at]
+            at = np.where(inner, np.where(down, self.left[at], self.right[at]), at)
+        return float(self.value[at] @ self.weights)
+
+
+def _forest(model, spark) -> _Forest:
+    """Nodes of a fitted model, through its own writer. Their number depends on the model, not on the data."""
+    path = f"{ensure_checkpoint_dir(spark)}/orderflux-model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+        F.when(F.col("nodeData.leftChild") >= 0, F.col("nodeData.split.featureIndex")).otherwise(-1).alias("f"),
+        F.coalesce(F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0)).alias("t"),
+    ).orderBy("treeID", "id").toPandas()
+    roots = np.flatnonzero(nodes["id"].to_numpy() == 0)
+    base = roots[nodes["treeID"].to_numpy()]
+    weights = np.array(model.treeWeights, dtype=float)
+    if isinstance(model, RandomForestRegressionModel):
+        weights = weights / weights.sum()
+    return _Forest(roots, base + nodes["leftChild"].to_numpy(), base + nodes["rightChild"].to_numpy(),
+                   nodes["f"].to_numpy(), nodes["t"].to_numpy(), nodes["prediction"].to_numpy(), weights)
+
+
+def _tree_paths(pdf: pd.DataFrame, forests: dict[str, _Forest], horizon_days: int) -> pd.DataFrame:
+    """Recursive forecast of each tree model for one series, each on its own path."""
+    pdf = pdf.sort_values("day")
+    last, values, out = pd.Timestamp(pdf["day"].iloc[-1]), pdf["revenue"].to_numpy(float), []
+    for name, forest in forests.items():
+        path = list(values[-28:])
+        for step in range(1, horizon_days + 1):
+            day = last + pd.Timedelta(days=step)
+            row = _features(np.array(path[-28:]), len(values) + step - 1, day)
+            path.append(max(0.0, np.expm1(forest.predict(row))))
+            out.append(("forecast", day.date(), name, np.nan, path[-1]))
+    return pd.DataFrame(out, columns=["kind", "day", "model", "actual", "predicted"])
+
+
+def tree_forecasts(series: DataFrame, horizon_weeks: int = 8, trees: int = 300) -> tuple[DataFrame, np.ndarray]:
+    """Validation and forecast rows of the tree models for one series, and the forest's importances."""
+    spark = series.sparkSession
     rows = stable(VectorAssembler(inputCols=FEATURES, outputCol="features")
                   .transform(model_features(series)).withColumn("_i", F.col("t") - OFFSET)
                   .coalesce(1))                     # one row per calendar day
-    folds = fold_bounds(rows.count())
-    tail = F.expr("transform(array_sort(collect_list(struct(day, revenue))), x -> x.revenue)")
-    state = series.orderBy(F.desc("day")).limit(28).agg(
-        F.max("day").alias("_last_day"), F.max(F.col("t") + 1.0).alias("_n"), tail.alias("_hist")
-    ).withColumn("_path", F.array().cast("array<double>"))
-    out, steps, importance = None, horizon_weeks * 7 + 7, None
+    folds, tests, forests, importance = fold_bounds(rows.count()), [], {}, None
     for name in TREES:
-        parts = []
         for start, end in folds:
             model = _tree(name, trees).fit(rows.filter(F.col("_i") < start))
             test = model.transform(rows.filter((F.col("_i") >= start) & (F.col("_i") < end)))
-            parts.append(test.select(
+            tests.append(test.select(
                 F.lit("validation").alias("kind"), "day", F.lit(name).alias("model"),
                 F.col("revenue").alias("actual"), F.greatest(F.lit(0.0), F.expm1("prediction")).alias("predicted")))
         final = _tree(name, trees).fit(rows)
+        forests[name] = _forest(final, spark)
         if name == "Random Forest":
             importance = final.featureImportances.toArray()
-        path = _advance(stable(state), final, steps).select(
-            "_last_day", F.posexplode("_path").alias("_p", "predicted"))
-        parts.append(path.select(
-            F.lit("forecast").alias("kind"), F.expr("date_add(_last_day, _p + 1)").alias("day"),
-            F.lit(name).alias("model"), F.lit(None).cast("double").alias("actual"), "predicted"))
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-    out = stable(out)
-    out.importance = importance
-    return out
+    horizon = horizon_weeks * 7 + 7
+    paths = series.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(
+        lambda pdf: _tree_paths(pdf, forests, horizon),
+        "kind string, day date, model string, actual double, predicted double")
+    return reduce(lambda a, b: a.unionByName(b), [*tests, paths]), importance
 
 
 # --- the whole forecast ----------------------------------------------------
@@ -207,7 +227,7 @@ def forecast_revenue(df: DataFrame, horizon_weeks: int = 8, trees: int = 300) ->
     series = stable(daily_series(df))
     if series.isEmpty():
         return None
-    tree_rows = tree_forecasts(series, horizon_weeks, trees)
+    tree_rows, importances = tree_forecasts(series, horizon_weeks, trees)
     rows = stable(linear_forecasts(series, horizon_weeks=horizon_weeks).unionByName(tree_rows))
     metrics = stable(accuracy(rows))
     mape = {r["model"]: r["mape"] for r in metrics.collect()}              # four rows
@@ -224,7 +244,7 @@ def forecast_revenue(df: DataFrame, horizon_weeks: int = 8, trees: int = 300) ->
         "day", *[F.col(f"`{m}`") for m in MODELS], F.col("baseline").alias(BASELINE),
         F.col("ensemble").alias("Ensemble"))
     importance = local_table(spark, "feature string, importance double", sorted(
-        zip(FEATURES, map(float, tree_rows.importance)), key=lambda p: -p[1]))
+        zip(FEATURES, map(float, importances)), key=lambda p: -p[1]))
     return {"history": full_weeks(series, "day", ["revenue"]),
             "predictions": full_weeks(stable(daily), "day", [*MODELS, BASELINE, "Ensemble"], horizon_weeks),
             "metrics": metrics, "feature_importance": importance,

@@ -26,12 +26,12 @@ def ingest_folder(spark: SparkSession, folder: str, headings, root: str, checkpo
               .option("maxFilesPerTrigger", max_files).csv(folder))
     source = source.select(
         *[F.col(f"`{h}`") for h in headings], F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_modification_time").cast("long").alias(RANK),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("id")).alias(SEQ))
+        F.unix_micros("_metadata.file_modification_time").alias(RANK),
+        F.col("_metadata.file_block_start").alias("_block"))
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        done = clean(batch, stream)
+        place = F.struct(FILE, "_block", F.monotonically_increasing_id().alias("id"))
+        done = clean(batch.withColumn(SEQ, place).drop("_block"), stream)
         append_batch(batch.sparkSession, root, done.good, segment_of(stream), f"{name}-{batch_id:08d}",
                      done.quarantined)
 

@@ -9,9 +9,14 @@ from orderflux import config
 from orderflux.functions import values as V
 
 
+# All characters that count as whitespace at the ends of a text, not only the blank.
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip all leading and trailing whitespace; SQL ``trim`` leaves a TAB in place."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip all leading and trailing whitespace; SQL ``trim`` alone leaves a TAB in place."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_id(c: Column) -> Column:
@@ -35,25 +40,23 @@ def to_flag(c: Column) -> Column:
     return F.when(s == "是", True).when(s == "否", False)
 
 
-_ISO_FORMATS = ("yyyy-M-d[ H:m[:s]]", "yyyy/M/d[ H:m[:s]]", "yyyy.M.d[ H:m[:s]]", "yyyyMMdd")
-_MONTH_FIRST = ("M/d/yyyy[ H:m[:s]]", "M-d-yyyy[ H:m[:s]]")
-_DAY_FIRST = ("d/M/yyyy[ H:m[:s]]", "d-M-yyyy[ H:m[:s]]")
-
-
-def _try_formats(s: Column, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
+_YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})(?!\d)"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?!\d)"
 
 
 def parse_timestamp(c: Column, day_first: bool = False) -> Column:
-    """Timestamp from text; NULL when no known format fits.
+    """Timestamp from text; NULL when no known layout fits.
 
-    Year-first text is never ambiguous. For the rest the preferred order is tried first and
-    the other one second, as a lenient parser does for days above 12.
+    The date part is put in year-month-day order and cast, so no format is tried in vain. Year-first text is
+    never ambiguous; otherwise the month comes first, or the day with ``day_first``.
     """
     s = strip_ws(c.cast("string"))
-    iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), s.try_cast("timestamp"))
-    preferred = _DAY_FIRST if day_first else _MONTH_FIRST
-    return F.coalesce(iso, _try_formats(s, _ISO_FORMATS), _try_formats(s, preferred))
+    order = "$3-$2-$1" if day_first else "$3-$1-$2"
+    arranged = (F.when(s.rlike(_YEAR_FIRST), F.regexp_replace(s, _YEAR_FIRST, "$1-$2-$3"))
+                .when(s.rlike(_YEAR_LAST), F.regexp_replace(s, _YEAR_LAST, order))
+                .when(s.rlike(_COMPACT), F.regexp_replace(s, _COMPACT, "$1-$2-$3")))
+    return arranged.try_cast("timestamp")
 
 
 def status_group(c: Column) -> Column:
@@ -136,11 +139,9 @@ def denomination_label(sku: Column, denomination: Column) -> Column:
 def ipv4_to_long(c: Column) -> Column:
     """Unsigned value of a dotted IPv4 address; NULL when it is not one."""
     s = strip_ws(c)
-    octets = [F.split_part(s, F.lit("."), F.lit(i + 1)).try_cast("bigint") for i in range(4)]
-    value = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
-    valid = s.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    for o in octets:
-        valid = valid & (o <= 255)
+    octets = F.transform(F.split(s, r"\."), lambda o: F.when(F.length(o) <= 3, o.try_cast("bigint")))
+    valid = s.rlike(r"^\d+\.\d+\.\d+\.\d+$") & F.forall(octets, lambda o: F.coalesce(o <= 255, F.lit(False)))
+    value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
     return F.when(valid, value)
 
 

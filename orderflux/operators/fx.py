@@ -87,6 +87,15 @@ def rate_calendar(dated: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         F.last("_dated", ignorenulls=True).over(whole).alias("latest"))
 
 
+def _localised(rates: DataFrame) -> DataFrame:
+    """The rate table as a local relation when its checked size allows, so each use of it is free."""
+    rows = rates.select("iso", "country", "month", "rate").limit(LOCAL_CALENDAR_ROWS + 1).collect()
+    if len(rows) > LOCAL_CALENDAR_ROWS:
+        return rates
+    return local_table(rates.sparkSession, "iso string, country string, month string, rate double",
+                       [tuple(r) for r in rows])
+
+
 def _join_calendar(df: DataFrame, calendar: DataFrame, key: Column, as_of: Column | None,
                    out: str) -> DataFrame:
     """Left join on (key, month). A calendar of checked size becomes a local relation to broadcast."""
@@ -133,13 +142,13 @@ def country_calendar(rates: DataFrame) -> DataFrame:
 def rate_for_iso(df: DataFrame, rates: DataFrame, iso: Column, as_of: Column | None,
                  out: str = "rate") -> DataFrame:
     """Rate of a currency in force at ``as_of`` (YYYY-MM text); NULL for an unknown currency."""
-    return _join_calendar(df, iso_calendar(rates), F.upper(strip_ws(iso)), as_of, out)
+    return _join_calendar(df, iso_calendar(_localised(rates)), F.upper(strip_ws(iso)), as_of, out)
 
 
 def rate_for_country(df: DataFrame, rates: DataFrame, country: Column, as_of: Column | None,
                      out: str = "rate") -> DataFrame:
     """Rate of a country's currency at ``as_of``; NULL for a country outside the snapshot."""
-    return _join_calendar(df, country_calendar(rates), strip_ws(country), as_of, out)
+    return _join_calendar(df, country_calendar(_localised(rates)), strip_ws(country), as_of, out)
 
 
 def country_currency(df: DataFrame, column: str = "country") -> DataFrame:

@@ -90,11 +90,11 @@ def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: s
         other_keys = read_months(spark, store(root, other), [KEY])
         overlap = bool(current and current.get("overlap")) or (
             other_keys is not None and not other_keys.join(arriving, KEY, "left_semi").isEmpty())
-        entry = write_months(merged, table, months=touched, extra={
+        write_months(merged, table, months=touched, extra={
             "batches": [*(current or {}).get("batches", []), batch_id],
             "changed": sorted(touched), "overlap": overlap})
         publish(spark, root)
-        total = _row_count(spark, table, entry)
+        total = _row_count(spark, table)
         span = dates.first()
         samples = [r.asDict() for r in summary["restatement_samples"]] if summary else []
         result = {
@@ -114,8 +114,8 @@ def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: s
         batch.unpersist()
 
 
-def _row_count(spark: SparkSession, table: str, entry: dict) -> int:
-    return spark.read.parquet(*entry["partitions"].values()).count()      # footers only
+def _row_count(spark: SparkSession, table: str) -> int:
+    return read_months(spark, table, [MONTH]).count()        # answered by file footers
 
 
 AUDIT_SCHEMA = T.StructType([
@@ -285,11 +285,10 @@ def full_rebuild(spark: SparkSession, data_root: str, root: str, history=None, d
         batch_id = "rebuild-" + time.strftime("%Y%m%d%H%M%S")
         rejected = _union(c.quarantined for c in cleaned)
         n_bad = _quarantine(spark, root, segment, batch_id, [rejected])
-        entry = write_months(rows, store(root, segment), replace=True,
-                             extra={"batches": [], "overlap": False})
+        write_months(rows, store(root, segment), replace=True, extra={"batches": [], "overlap": False})
         S.file_hashes(spark, paths).coalesce(1).write.mode("overwrite").json(
             f"{root}/processed/run={segment}-{batch_id}")
-        out[segment] = {"rows": _row_count(spark, store(root, segment), entry), "quarantined": n_bad,
+        out[segment] = {"rows": _row_count(spark, store(root, segment)), "quarantined": n_bad,
                         "errors": errors}
     if not dry_run:
         _mark_overlap(spark, root)

@@ -165,10 +165,15 @@ def a4(spark, d):
                       F.when(status, F.col("new")).otherwise("").alias("new_status"))
 
 
-@register("A4_E6_restatement_summary")
+@register("A4_E6_restatement_summary", f"""
+WITH {_STORE}, j AS (SELECT ex.order_id FROM ex JOIN inc USING (okey)
+  WHERE ex.st IS DISTINCT FROM inc.st OR ex.paid IS DISTINCT FROM inc.paid)
+SELECT count(*) AS restated, (SELECT string_agg(order_id, ',' ORDER BY order_id)
+  FROM (SELECT order_id FROM j ORDER BY order_id LIMIT 25)) AS sampled FROM j
+""")
 def a4s(spark, d):
     out = M.restatement_summary(M.restatements(*_store_rows(spark, d)))
-    return out.select("restated", F.to_json("restatement_samples").alias("samples"))
+    return out.select("restated", F.array_join("restatement_samples.order_id", ",").alias("sampled"))
 
 
 @register("A5_fingerprint")

@@ -95,7 +95,7 @@ def m4(spark, d):
 @register("M4_accuracy_of_baseline", f"""
 WITH {_BASE} SELECT country, 'Seasonal Baseline' AS model, sqrt(avg((revenue - predicted) ** 2)) AS rmse,
   avg(abs(revenue - predicted)) AS mae, avg(abs((revenue - predicted) / revenue)) FILTER (revenue > 1e-9) * 100 AS mape,
-  1 - sum((revenue - predicted) ** 2) / (var_pop(revenue) * count(*)) AS r2 FROM l WHERE back <= 42 GROUP BY 1
+  1 - sum((revenue - predicted) ** 2) / nullif(var_pop(revenue) * count(*), 0) AS r2 FROM l WHERE back <= 42 GROUP BY 1
 """, "rmse:3 mae:3 mape:6 r2:6")
 def m4a(spark, d):
     series = daily_series(successful(spark, d, "sales", "order_time", "country"), "country")

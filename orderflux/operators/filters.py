@@ -105,8 +105,8 @@ def previous_period(start: date, end: date) -> tuple[date, date]:
 def sidebar(segment=None, statuses: str = "Successful", region=None, market=None,
             category_class: str | None = None, subcategories=None, currency=None,
             start: date | None = None, end: date | None = None,
-            ewallet: bool = False) -> Column:
-    """The whole filter chain as one predicate."""
+            ewallet: bool = False, partition: str | None = None) -> Column:
+    """The whole filter chain as one predicate; ``partition`` names the month column to prune by."""
     parts = [status(statuses)]
     parts += _one("segment", segment) + _one("region", region) + _one("country", market)
     parts += _one("settlement_iso", currency)
@@ -114,7 +114,7 @@ def sidebar(segment=None, statuses: str = "Successful", region=None, market=None
         parts.append(category(category_class, subcategories))
     if not ewallet:
         parts.append(exclude_ewallet(category_class))
-    parts.append(date_range(start, end))
+    parts.append(date_range(start, end, partition=partition))
     return _all(parts)
 
 

@@ -36,15 +36,14 @@ def clean_rates(raw: DataFrame) -> DataFrame:
 
 
 def _snapshot_iso(spark: SparkSession) -> DataFrame:
-    return fx_snapshot(spark).groupBy("iso").agg(F.max("rate").alias("snapshot"))
+    return fx_snapshot(spark).coalesce(1).groupBy("iso").agg(F.max("rate").alias("snapshot"))
 
 
 def rates_by_iso(rates: DataFrame) -> DataFrame:
     """iso, month, rate – rows keyed by country take the currency of that country."""
-    base = fx_snapshot(rates.sparkSession).select("country", F.col("iso").alias("_iso"))
-    keyed = rates.filter("iso IS NULL").drop("iso").join(base, "country").select(
-        F.col("_iso").alias("iso"), "month", "rate")
-    return rates.filter("iso IS NOT NULL").select("iso", "month", "rate").unionByName(keyed)
+    base = fx_snapshot(rates.sparkSession).select(F.col("country").alias("_c"), F.col("iso").alias("_iso"))
+    keyed = rates.join(base, F.col("iso").isNull() & (F.col("country") == F.col("_c")), "left")
+    return keyed.select(F.coalesce("iso", "_iso").alias("iso"), "month", "rate").filter("iso IS NOT NULL")
 
 
 def rates_by_country(rates: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def _localised(rates: DataFrame) -> DataFrame:
     if len(rows) > LOCAL_CALENDAR_ROWS:
         return rates
     return local_table(rates.sparkSession, "iso string, country string, month string, rate double",
-                       [tuple(r) for r in rows])
+                       [tuple(r) for r in rows]).coalesce(1)
 
 
 def _join_calendar(df: DataFrame, calendar: DataFrame, key: Column, as_of: Column | None,
@@ -122,7 +121,7 @@ def iso_calendar(rates: DataFrame) -> DataFrame:
     latest dated rate."""
     dated = rates_by_iso(rates)
     keys = (dated.select("iso").distinct()
-            .join(_snapshot_iso(rates.sparkSession), "iso", "full_outer"))
+            .join(_snapshot_iso(rates.sparkSession), "iso", "full_outer"))   # a few hundred currencies
     value = F.when(F.col("month") == NO_MONTH, F.coalesce("latest", "snapshot")).otherwise(
         F.coalesce("in_force", "snapshot"))
     return rate_calendar(dated, keys, "iso").select(

@@ -13,21 +13,17 @@ KEY = "订单号"
 
 
 def keep_last(df: DataFrame, key: str, order_by, collapse_nulls: bool = config.NULL_KEYS_COLLAPSE):
-    """The row with the greatest ``order_by`` per key.
+    """The row with the greatest ``order_by`` per key; ``order_by`` is a total order of the rows.
 
-    An aggregate, not a window: rows of a hot key are reduced before the shuffle. Rows without a key are
-    kept as they are unless ``collapse_nulls``.
+    An aggregate, not a window: rows of a hot key are reduced before the shuffle. Rows without a key are kept
+    unless ``collapse_nulls``: each is a group of its own by its position, so they spread over all tasks.
     """
     order = F.struct(*order_by)
-    keyed = df.filter(F.col(key).isNotNull())
-    out = keyed.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order)
-                                 .alias("_row")).select("_row.*")
-    loose = df.filter(F.col(key).isNull())
-    if collapse_nulls:
-        loose = (loose.groupBy(F.lit(1).alias("_one")).agg(
-            F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row"))
-            .select("_row.*"))
-    return out.unionByName(loose)
+    groups = [F.col(key).alias("_key")]
+    if not collapse_nulls:
+        groups.append(F.when(F.col(key).isNull(), order).alias("_place"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*groups).agg(F.max_by(row, order).alias("_row")).select("_row.*")
 
 
 def upsert(existing: DataFrame | None, incoming: DataFrame, key: str = KEY) -> DataFrame:

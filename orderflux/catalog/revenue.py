@@ -120,7 +120,7 @@ for _grain, _unit in (("D", "day"), ("W", "week"), ("M", "month"), ("Q", "quarte
         return R.trend(successful(spark, d, "order_id", "sales", "order_time"), grain)
 
 
-for _dim, _bounded in (("segment", True), ("region", True), ("product_category", True)):
+for _dim, _bounded in (("segment", True), ("region", True), ("product_category", False)):
     @register(f"G9_mix_by_{_dim}", f"""
     SELECT {_dim}, sum(sales) AS gmv, sum(sales) / (SELECT sum(sales) FROM ok) AS share
     FROM ok GROUP BY 1

@@ -14,19 +14,27 @@ GEO_FIELDS = ("iso2", "country", "subdivision", "city", "lat", "lon")
 
 def locate_ips(df: DataFrame, ranges: DataFrame, column: str = "ip_address",
                out: str = "geo") -> DataFrame:
-    """Add a struct of the most specific range that holds the address; NULL when none does.
+    """Add a struct of the most specific network that holds the address; NULL when none does.
 
-    Each distinct address is resolved once. Both sides carry the /16 block as an equi key: a block holds
-    at most 65,536 distinct addresses, and a range spans at most 65,536 blocks.
+    ``ranges`` holds networks: ``start_ip``, ``prefix`` and the geo fields. Each distinct address is resolved once
+    and meets each prefix length at most once by an equi join on (length, network), so an address yields no
+    more than 33 candidates whatever the table holds.
     """
+    lengths = [r[0] for r in ranges.select("prefix").distinct().collect()]      # at most 33
+    if not lengths:
+        kinds = dict(ranges.dtypes)
+        empty = F.lit(None).cast("struct<" + ",".join(f"{f}:{kinds[f]}" for f in GEO_FIELDS) + ">")
+        return df.withColumn(out, empty)
+    network = F.call_function("shiftright", F.col("start_ip").cast("bigint"),
+                              (F.lit(32) - F.col("prefix")).cast("int"))
+    networks = ranges.select(F.col("prefix").cast("int").alias("_length"), network.alias("_network"),
+                             F.struct(*GEO_FIELDS).alias("_geo"))
     addresses = (df.select(F.col(column).alias("_ip")).distinct()
-                 .withColumn("_n", ipv4_to_long(F.col("_ip"))).filter("_n IS NOT NULL")
-                 .withColumn("_block", F.shiftright("_n", 16)))
-    blocks = ranges.withColumn("_block", F.explode(F.sequence(
-        F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))))
-    hit = addresses.join(blocks, "_block").filter("_n BETWEEN start_ip AND end_ip")
-    best = hit.groupBy("_ip").agg(
-        F.max_by(F.struct(*GEO_FIELDS), F.struct("prefix", "start_ip")).alias(out))
+                 .withColumn("_n", ipv4_to_long(F.col("_ip"))).filter("_n IS NOT NULL"))
+    probes = addresses.withColumn("_length", F.explode(F.array(*[F.lit(int(n)) for n in lengths])))
+    probes = probes.withColumn("_network", F.call_function("shiftright", "_n", F.lit(32) - F.col("_length")))
+    best = (probes.join(networks, ["_length", "_network"])
+            .groupBy("_ip").agg(F.max_by("_geo", "_length").alias(out)))
     return df.join(best, F.col(column) == F.col("_ip"), "left").drop("_ip")
 
 

@@ -98,7 +98,7 @@ def trend(df: DataFrame, grain: str = "D", *by: str) -> DataFrame:
     return df.groupBy(period, *by).agg(gmv().alias("gmv"), orders(df).alias("orders"))
 
 
-def mix(df: DataFrame, dimension: str, bounded: bool = True) -> DataFrame:
+def mix(df: DataFrame, dimension: str, bounded: bool = False) -> DataFrame:
     return with_share(df.groupBy(dimension).agg(gmv().alias("gmv")), bounded=bounded)
 
 
@@ -112,7 +112,7 @@ def market_table(df: DataFrame, *by: str) -> DataFrame:
     out = df.groupBy("country", *by).agg(
         gmv().alias("gmv"), orders(df).alias("orders"), users().alias("users"),
         F.avg(to_number(F.col("denomination"))).alias("avg_denomination"))
-    return with_share(_aov(out), bounded=True)       # bounded by the number of countries
+    return with_share(_aov(out))
 
 
 def market_month_heatmap(df: DataFrame, n: int = 15) -> DataFrame:
@@ -129,8 +129,8 @@ def weekday_hour(df: DataFrame) -> DataFrame:
 
 def ops_kpis(df: DataFrame) -> DataFrame:
     """Mean daily revenue and orders over active days, peak day and peak hour (ties: earliest)."""
-    cells = df.groupBy(F.to_date("order_time").alias("day"), F.hour("order_time").alias("hour")).agg(
-        gmv().alias("gmv"), orders(df).alias("orders"))
+    cells = stable(df.groupBy(F.to_date("order_time").alias("day"), F.hour("order_time").alias("hour")).agg(
+        gmv().alias("gmv"), orders(df).alias("orders")))
     by_day = cells.groupBy("day").agg(F.sum("gmv").alias("gmv"), F.sum("orders").alias("orders"))
     by_hour = cells.groupBy("hour").agg(F.sum("orders").alias("orders"))
     days = by_day.agg(

@@ -9,6 +9,7 @@ from orderflux import config
 from orderflux.functions import expressions as E
 from orderflux.functions.expressions import ratio
 from orderflux.functions.measures import orders
+from orderflux.session import stable
 
 
 def exception_digest(df: DataFrame, today: Column, refund_rate: float = config.DIGEST_REFUND_RATE,
@@ -20,9 +21,9 @@ def exception_digest(df: DataFrame, today: Column, refund_rate: float = config.D
     """
     refunded = E.status_group(F.col("order_status")) == "Refunded"
     missing = E.is_successful() & E.usable_supplier_id(F.col("interface_order_id")).isNull()
-    per = df.groupBy("operator").agg(
+    per = stable(df.groupBy("operator").agg(
         orders(df).alias("orders"), orders(df, refunded).alias("refunded"),
-        orders(df, missing).alias("gap"), F.max("order_time").alias("latest"))
+        orders(df, missing).alias("gap"), F.max("order_time").alias("latest")))
     named = per.filter("operator IS NOT NULL")
     refunds = named.select(F.lit("refund rate").alias("signal"), F.col("operator").alias("subject"),
                            ratio(F.col("refunded"), F.col("orders")).alias("value"),

@@ -639,3 +639,27 @@ SELECT operator, pg AS product_group, round_even(avg4, 1) AS avg4,
 """, "avg4:1 wow_pct:0 " + " ".join(f"wk{i}_{k}:0" for i in (1, 2, 3, 4) for k in ("forecast", "low", "high")))
 def m12(spark, d):
     return DM.forecast_demand(successful(spark, d, "operator", "product", "denomination", "order_time"))
+
+
+# --- scalar expressions ----------------------------------------------------
+
+@register("E1_E2_E4_scalar_expressions", """
+SELECT CASE WHEN okey % 4 = 0 THEN NULL ELSE okey % 1000 + 0.5 END AS number, left('label ' || (okey % 5), 40) AS label,
+  ym AS month, strftime(date_trunc('week', order_time), '%Y-%m-%d') AS week, isodow(order_time) - 1 AS weekday,
+  hour(order_time) AS hour, strftime(last_day(day), '%Y-%m-%d') AS month_end,
+  datediff('day', CAST(register_time AS DATE), day) AS age_days, coalesce(operator, brand, 'none') AS named,
+  count(*) AS orders, round_even(avg(CAST(o8 AS DOUBLE)), 0) AS half_even
+FROM (SELECT *, okey % 8 + 0.5 AS o8 FROM fact) WHERE segment = 'B2B' GROUP BY ALL
+""", "number:1 half_even:0")
+def e1(spark, d):
+    f = orders_fact(spark, d, "order_id", "segment", "order_time", "register_time", "operator", "brand").filter(
+        "segment = 'B2B'")
+    key, t = F.col("order_id").cast("bigint"), F.col("order_time")
+    text = F.when(key % 4 != 0, F.concat(F.lit(" "), F.format_number((key % 1000).cast("double"), 0), F.lit(".5 ")))
+    label = F.substring(E.strip_ws(F.concat(F.lit("\tlabel "), (key % 5).cast("string"))), 1, 40)
+    return f.groupBy(
+        E.to_number(text).alias("number"), label.alias("label"), E.month_text(t).alias("month"),
+        F.date_trunc("week", t).cast("date").alias("week"), F.weekday(t).alias("weekday"), F.hour(t).alias("hour"),
+        F.last_day(t).alias("month_end"), F.datediff(F.to_date(t), F.to_date("register_time")).alias("age_days"),
+        F.coalesce("operator", "brand", F.lit("none")).alias("named")).agg(
+        orders(f).alias("orders"), F.bround(F.avg((key % 8) + 0.5), 0).alias("half_even"))

@@ -65,7 +65,7 @@ def m8(spark, d):
         "auc", "threshold", "precision", "recall", "f1")])
 
 
-@register("M9_M10_at_risk_customers")
+@register("M9_at_risk_customers")
 def m9(spark, d):
     out = CH.predict_churn(successful(spark, d, *_COLUMNS), 60, trees=10, rounds=5, folds=2)
     best = F.lit(out["best_model"])
@@ -73,6 +73,12 @@ def m9(spark, d):
                                  "churn_probability", "risk_tier", best.alias("model"))
 
 
+@register("M10_feature_importance")
+def m10(spark, d):
+    train = stable(CH.training_set(successful(spark, d, *_COLUMNS), 60))
+    return CH.forest_importance(train, trees=10).select("feature", F.round("importance", 4).alias("importance"))
+
+
 _BASE = """ds AS (SELECT country, day, sum(sales) AS s FROM ok GROUP BY 1, 2),
   b AS (SELECT country, min(day) AS lo, max(day) AS hi FROM ds GROUP BY 1),
   cal AS (SELECT country, CAST(unnest(generate_series(lo, hi - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM b),

@@ -7,11 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from orderflux.catalog.base import costed, register
-from orderflux.functions.dimensions import local_table
 from orderflux.operators.filters import exclude_markets
 from orderflux.plans import products as P
 from orderflux.plans import revenue as R
-from orderflux.plans import series as S
 from orderflux.sources.orders import orders_fact, successful, table
 
 NOW, BEFORE = (date(2000, 1, 1), date(2000, 12, 31)), (date(1999, 1, 1), date(1999, 12, 31))
@@ -559,3 +557,15 @@ for _member, _n in (("operator", 7), ("product", 5)):
     def g56(spark, d, member=_member, n=_n):
         return R.top_member_trend(successful(spark, d, "order_id", "sales", member, "order_time"),
                                   member, n)
+
+
+@register("L5_scorecard_display_cap", """
+SELECT operator, denomination, product, count(*) AS orders, sum(sales) AS gmv, sum(settlement_rmb) AS cost,
+  sum(sales) - sum(settlement_rmb) AS margin,
+  (sum(sales) - sum(settlement_rmb)) / sum(sales) AS margin_pct FROM okcost GROUP BY 1, 2, 3
+ORDER BY gmv DESC, operator, denomination, product LIMIT 500
+""", "gmv:2 cost:5 margin:5 margin_pct:8")
+def l5(spark, d):
+    """The screen shows 500 rows; exports use the uncapped scorecard."""
+    return P.denomination_scorecard(costed(spark, d, "order_id", "sales", "operator", "denomination",
+                                           "product"), 500)

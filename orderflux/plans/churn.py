@@ -139,6 +139,21 @@ def risk_tier(probability: Column) -> Column:
             .otherwise("High Risk"))
 
 
+def forest_importance(train: DataFrame, trees: int = 200) -> DataFrame:
+    """Feature importances of the random forest fitted to a training set, largest first."""
+    counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum("churn").alias("c")).first()
+    weight = F.when(F.col("churn") == 1, counts["n"] / (2.0 * max(counts["c"], 1))).otherwise(
+        counts["n"] / (2.0 * max(counts["n"] - counts["c"], 1)))
+    fitted = _models(trees, 1)["Random Forest"].fit(train.fillna(0.0, FEATURES).withColumn("weight", weight))
+    return _importance(train.sparkSession, fitted)
+
+
+def _importance(spark, fitted) -> DataFrame:
+    values = fitted.stages[-1].featureImportances.toArray()
+    return local_table(spark, "feature string, importance double",
+                       sorted(zip(FEATURES, map(float, values)), key=lambda p: -p[1]))
+
+
 def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds: int = 150,
                   folds: int = FOLDS) -> dict | None:
     """Train, validate out of fold, and score every current customer with the best model.
@@ -174,9 +189,7 @@ def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds:
         "user_id", "recency_days", "frequency", "monetary", "avg_order_value", "recent_3m_orders",
         "revenue_30d", F.bround(F.col("score") * 100, 1).alias("churn_probability"),
         risk_tier(F.col("score")).alias("risk_tier")).orderBy(F.desc("churn_probability"), "user_id")
-    forest = fitted["Random Forest"].stages[-1].featureImportances.toArray()
-    importance = local_table(df.sparkSession, "feature string, importance double",
-                             sorted(zip(FEATURES, map(float, forest)), key=lambda p: -p[1]))
+    importance = _importance(df.sparkSession, fitted["Random Forest"])
     return {"at_risk": at_risk, "metrics": metrics, "best_model": best, "feature_importance": importance,
             "roc_curves": points.select("model", "score", "fpr", "tpr"), "churn_days": churn_days,
             "total_customers": size["n"], "churned_count": size["churned"],

@@ -115,7 +115,8 @@ def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: s
 
 
 def _row_count(spark: SparkSession, table: str) -> int:
-    return read_months(spark, table, [MONTH]).count()        # answered by file footers
+    rows = read_months(spark, table, [MONTH])
+    return rows.count() if rows is not None else 0           # answered by file footers
 
 
 AUDIT_SCHEMA = T.StructType([
@@ -196,6 +197,8 @@ def publish(spark: SparkSession, root: str, full: bool = False) -> dict | None:
         df = read_months(spark, store(root, s), months=months)
         if df is not None:
             parts.append(normalise(df.drop(MONTH)).withColumn("segment", F.lit(SEGMENTS[s])))
+    if not parts:
+        return None                                # nothing but rejected rows so far
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     rows = rows.distinct().withColumn(MONTH, month_of(F.col("order_time")))
     return write_months(rows, f"{root}/fact", replace=full or not fact, months=months, extra={
@@ -247,7 +250,7 @@ def import_new_daily(spark: SparkSession, data_root: str, root: str, dry_run: bo
         fresh = S.unprocessed(spark, paths, processed).persist()
         try:
             todo = {r["path"]: r["file_hash"] for r in fresh.orderBy("path").collect()}
-            chosen = [p for p in paths if S._key(p) in todo]
+            chosen = [p for p in paths if S.plain_path(p) in todo]
             if not chosen:
                 continue
             cleaned, errors = _clean_all(spark, chosen)

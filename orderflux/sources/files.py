@@ -115,10 +115,10 @@ def read_exports(spark: SparkSession, paths) -> dict[tuple[str, ...], DataFrame]
 
 def _rank_table(spark: SparkSession, paths) -> DataFrame:
     from orderflux.functions.dimensions import local_table
-    return local_table(spark, f"_path string, {RANK} long", [(_key(p), i) for i, p in enumerate(paths)])
+    return local_table(spark, f"_path string, {RANK} long", [(plain_path(p), i) for i, p in enumerate(paths)])
 
 
-def _key(path: str) -> str:
+def plain_path(path: str) -> str:
     """Path without scheme, as both listings agree on."""
     return re.sub(r"^[a-z0-9]+:/+", "/", path)
 

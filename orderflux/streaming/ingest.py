@@ -1,12 +1,14 @@
 """Incremental file ingestion with Structured Streaming.
 
-Each micro-batch runs the same import as a daily batch; its id comes from the stream, so a batch that is
-delivered again after a failure changes nothing. Late rows are restatements and win whenever they arrive, so
-there is no watermark here.
+Each micro-batch runs the same import as a daily batch. Its id comes from the files it holds, so a batch that is
+delivered again after a failure changes nothing, also when the checkpoint is lost. Late rows are restatements
+and win whenever they arrive, so there is no watermark here.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +31,14 @@ def ingest_folder(spark: SparkSession, folder: str, headings, root: str, checkpo
         F.unix_micros("_metadata.file_modification_time").alias(RANK),
         F.col("_metadata.file_block_start").alias("_block"))
 
-    def load(batch: DataFrame, batch_id: int) -> None:
+    def load(batch: DataFrame, _: int) -> None:
+        held = batch.select(FILE, RANK).distinct().orderBy(FILE).collect()      # at most max_files
+        if not held:
+            return
+        batch_id = hashlib.sha256(repr([tuple(r) for r in held]).encode()).hexdigest()[:16]
         place = F.struct(FILE, "_block", F.monotonically_increasing_id().alias("id"))
         done = clean(batch.withColumn(SEQ, place).drop("_block"), stream)
-        append_batch(batch.sparkSession, root, done.good, segment_of(stream), f"{name}-{batch_id:08d}",
+        append_batch(batch.sparkSession, root, done.good, segment_of(stream), f"{name}-{batch_id}",
                      done.quarantined)
 
     query = (source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

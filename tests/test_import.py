@@ -176,3 +176,14 @@ def test_user_list_newest_file(spark, tmp_path):
     from orderflux.plans.customers import clean_user_list
     rows = clean_user_list(S.newest_user_list(spark, str(tmp_path / "*.csv")), "ID").collect()
     assert [r["user_id"] for r in rows] == ["2"]
+
+
+def test_batch_of_rejected_rows_only(spark, tmp_path):
+    data, root = tmp_path / "data", str(tmp_path / "db")
+    write(data / "Master Data" / "a.csv", MASTER, [master_row("1", paid="-4"), master_row("2", time="")])
+    out = I.import_new_daily(spark, str(data), root, dry_run=False)["import"]["master"]
+    assert (out["added"], out["quarantined"], out["total_rows"]) == (0, 2, 0)
+    assert I.read_fact(spark, root) is None
+    write(data / "Master Data" / "b.csv", MASTER, [master_row("3")])
+    I.import_new_daily(spark, str(data), root, dry_run=False)
+    assert I.read_fact(spark, root).count() == 1

@@ -48,7 +48,7 @@ def merge_counts(existing: DataFrame | None, incoming: DataFrame, key: str = KEY
     if existing is None:
         out = incoming.agg(
             F.count(F.lit(1)).alias("rows"),
-            (F.count_distinct(key) + F.max(F.col(key).isNull().cast("int"))).alias("added"),
+            (F.count_distinct(key) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))).alias("added"),
             F.count_distinct(key).alias("distinct_new"))
     else:
         known = existing.select(F.col(key)).filter(F.col(key).isNotNull()).withColumn("_known", F.lit(1))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderflux.llm import decontaminate, licenses, line_dedup, mixing, quality, simhash
+from orderflux.llm import (decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, quality,
+                           simhash)
 from orderflux.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -93,3 +94,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+@query()
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))

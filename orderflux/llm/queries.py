@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderflux.llm import (decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, quality,
+from orderflux.llm import (chunks, decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, pii, quality,
                            simhash)
 from orderflux.llm.common import table
 
@@ -105,3 +105,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.passage_report(table(spark, sf_dir, "documents"))

@@ -3,16 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderflux.llm import line_dedup
+from orderflux.llm import decontaminate, line_dedup, mixing, quality, simhash
 from orderflux.llm.common import removed, table, written
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones, does not reject."""
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs)
+    """Documents without later occurrences of three-line windows; ``n_chars`` follows the text."""
+    cut = line_dedup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in cut.columns else cut
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
 
 
-STAGES = [("line dedup", clean_lines)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", clean_lines),
+    ("SimHash near-dedup", distinct_documents),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("source mixing", mixed_sources),
+]
 
 #: Trained models and random choices have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

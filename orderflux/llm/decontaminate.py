@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflux.llm.common import col, text_of
+from orderflux.llm.common import col, fresh, text_of
 
 WORD = re.compile(r"\w+")
 #: Words of the shortest tile, and the share of a test item that tiles must cover.
@@ -175,6 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           coverage: float = COVERAGE, **names) -> DataFrame:
     """``docs`` without the rows that :func:`contamination` finds contaminated."""
     hits = benchmark_hits(docs, benchmark, id_col, text_col, **names).where(F.col("coverage") >= coverage)
-    gone = hits.select(F.col("id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(gone, col(id_col).eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(text_of(text_col)) == F.col("_mark")), "left_anti")
+    key, mark = fresh(docs, "id"), fresh(docs, "mark")
+    gone = hits.select(F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
+    return docs.join(gone, col(id_col).eqNullSafe(F.col(key))
+                     & (F.xxhash64(text_of(text_col)) == F.col(mark)), "left_anti")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflux.llm.common import col, stable, text_of
+from orderflux.llm.common import col, fresh, stable, text_of
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Documents rounded together in one task, and open remainders joined in one step of the tree.
@@ -161,7 +161,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     plan = mix(docs, id_col, text_col, source_col, **settings).groupBy("doc_id", "mark").agg(
         F.max("copies").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies"))
-    plan = plan.where("_copies > 0").select("_id", "_mark", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
-    return docs.join(plan, col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_mark"))
-                     ).select(*[docs[f"`{c}`"] for c in docs.columns])
+    key, mark = fresh(docs, "id"), fresh(docs, "mark")
+    plan = plan.where("copies > 0").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.explode(
+        F.sequence(F.lit(1).cast("bigint"), "copies")).alias(fresh(docs, "copy")))
+    return docs.join(plan, col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_of(text_col)) == F.col(mark))
+                     ).select(*[col(c) for c in docs.columns])

@@ -153,9 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = (labels.where(col(label_col).isin(0, 1) & ~in_fold(id_col) & col(id_col).isNotNull())
               .select(col(id_col).alias("_id"), col(label_col).cast("int").alias("_label"))
               .orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_DOCS))
-    rows = docs.join(F.broadcast(chosen), col(id_col) == F.col("_id")).where(
-        F.size(F.split(text_of(text_col), "\n", -1)) <= SAMPLE_LINES).select(
-        "_id", "_label", text_of(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text")).where(
+        F.size(F.split("text", "\n", -1)) <= SAMPLE_LINES)
+    rows = rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("_id", "_label", "text")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

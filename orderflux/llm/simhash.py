@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from orderflux.llm.common import col, connected, stable, text_of
+from orderflux.llm.common import col, connected, fresh, stable, text_of
 
 WORD, GAP = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -174,11 +174,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Repeated rows of that id count as one. Rows without id cannot be told apart and stay.
     """
-    labels = near_copies(docs, id_col, text_col, radius).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = labels.where("_id <> component_id").select("_id").distinct()
-    kept = docs.join(gone, col(id_col) == F.col("_id"), "left_anti")
-    twice = labels.where("_id = component_id").groupBy("_id").count().where("count > 1").select("_id")
+    name = fresh(docs, "id")
+    labels = near_copies(docs, id_col, text_col, radius).select(F.col("doc_id").alias(name), "component_id")
+    gone = labels.where(F.col(name) != F.col("component_id")).select(name).distinct()
+    kept = docs.join(gone, col(id_col) == F.col(name), "left_anti")
+    twice = labels.where(F.col(name) == F.col("component_id")).groupBy(name).count().where("count > 1").select(name)
     if twice.isEmpty():
         return kept
-    first = kept.join(twice, col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, col(id_col) == F.col("_id"), "left_anti").union(first)
+    first = kept.join(twice, col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, col(id_col) == F.col(name), "left_anti").union(first)

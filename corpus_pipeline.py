@@ -21,8 +21,12 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest id, of each group of near copies.
+
+    Two-word shingles and a radius of 8 bits tie texts together whose five-word shingles are similar to 0.8 or more (see
+    the README for the share); a second fingerprint within 14 bits rules out chance.
+    """
+    return simhash.keep_one(docs, radius=8, shingle=2, slack=14)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,9 +10,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from orderflux.llm.common import col, connected, fresh, stable, text_of
 
@@ -20,11 +20,12 @@ WORD, GAP = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Bytes of text whose words are held at once.
 PIECE = 1 << 20
-#: Fingerprints side by side in a tile, and the size beyond which a group is dealt out by more bits.
-TILE, LARGE = 1024, 2048
+#: Fingerprints side by side in a tile, the size beyond which a group is dealt out by more bits, and that up to which
+#: groups are compared together.
+TILE, LARGE, SMALL = 1024, 2048, 32
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit SimHash of a text; zero without words. Memory is bounded by a piece of the text."""
     data = text.encode("utf-8", "surrogatepass").lower()     # of bytes: A-Z only
     ones, total, carry, at = np.zeros(64, np.int64), 0, [], 0
@@ -33,29 +34,35 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         end = gap.start() if gap else len(data)
         words = carry + WORD.findall(data, at, end)
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)
         if len(hashes):
             ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
             total += len(hashes)
         carry, at = words[max(0, len(words) - shingle + 1):], end
     if not total:
-        return xxhash.xxh64_intdigest(b" ".join(carry), SEED) if carry else 0
+        return xxhash.xxh64_intdigest(b" ".join(carry), seed) if carry else 0
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def fingerprints(text: Column, shingle: int, doubled: bool) -> Column:
+    """Struct of the fingerprint as ``code`` and, where ``doubled``, a second one of other hashes as ``extra``."""
+    @F.pandas_udf(StructType([StructField("code", LongType()), StructField("extra", LongType())]))
+    def both(texts: pd.Series) -> pd.DataFrame:
+        code = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+        extra = np.array([fingerprint(t, shingle, SEED + 1) for t in texts] if doubled else np.zeros(len(texts)), np.uint64)
+        return pd.DataFrame({"code": code.view(np.int64), "extra": extra.view(np.int64)})
+    return both(text)
 
 
-def tile_links(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def tile_links(codes: np.ndarray, extra: np.ndarray, radius: int = RADIUS, slack: int = 64) -> np.ndarray:
     """For each code the position of a code that stands for its linked group among ``codes``.
 
     Codes are sorted by population count and cut into tiles; a pair of tiles is compared by exclusive-or and bit
-    counts unless the counts of the two differ by more than the radius throughout.
+    counts unless the counts of the two differ by more than the radius throughout. A pair is linked where the
+    ``extra`` codes are within ``slack`` bits too.
     """
     order = np.argsort(np.bitwise_count(codes), kind="stable")
-    codes, root = codes[order], np.arange(len(codes))
+    codes, extra, root = codes[order], extra[order], np.arange(len(codes))
     ones = np.bitwise_count(codes).astype(int)
     for i in range(0, len(codes), TILE):
         for j in range(i, len(codes), TILE):
@@ -63,6 +70,8 @@ def tile_links(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
                 break
             a, b = np.nonzero(np.bitwise_count(codes[i:i + TILE, None] ^ codes[None, j:j + TILE]) <= radius)
             a, b = a + i, b + j
+            near = np.bitwise_count(extra[a] ^ extra[b]) <= slack
+            a, b = a[near], b[near]
             while len(a):
                 x, y = root[a], root[b]
                 differ = x != y
@@ -78,25 +87,39 @@ def tile_links(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return out
 
 
-def _group_links(radius: int):
-    """Links within runs of equal keys; rows come sorted by key. A run fits in memory: see :func:`near_links`."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-
-        def edges(mask, key, code):
-            cut = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
-            starts, ends = np.r_[0, cut], np.r_[cut, len(mask)]
-            a, b = [], []
-            for s, e in zip(starts, ends):
-                if e - s > 1:
-                    root = tile_links(code[s:e].view(np.uint64), radius)
-                    tied = np.flatnonzero(root != np.arange(e - s))
-                    a.append(code[s:e][tied])
-                    b.append(code[s:e][root[tied]])
-            none = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))],
-                                              names=["a", "b"])
+def _group_links(radius: int, slack: int):
+    """Links within runs of equal keys; rows (m, key, code, extra) come sorted by key.
+
+    A run fits in memory: see :func:`near_links`. Runs of up to ``SMALL`` are compared together, each row with
+    the next, the one after and so on.
+    """
+    def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
+        mask, key, code, extra = rows
+        code, extra = code.view(np.uint64), extra.view(np.uint64)
+        cut = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
+        starts, ends = np.r_[0, cut], np.r_[cut, len(mask)]
+        size = np.repeat(ends - starts, ends - starts)
+        end = np.repeat(ends, ends - starts)
+        a, b = [], []
+        for step in range(1, SMALL):
+            at = np.flatnonzero((np.arange(len(mask)) + step < end) & (size <= SMALL))
+            if not len(at):
+                break
+            near = at[(np.bitwise_count(code[at] ^ code[at + step]) <= radius)
+                      & (np.bitwise_count(extra[at] ^ extra[at + step]) <= slack)]
+            a.append(near)
+            b.append(near + step)
+        for s, e in zip(starts[ends - starts > SMALL], ends[ends - starts > SMALL]):
+            root = tile_links(code[s:e], extra[s:e], radius, slack)
+            tied = np.flatnonzero(root != np.arange(e - s))
+            a.append(s + tied)
+            b.append(s + root[tied])
+        a, b = (np.concatenate([*x, np.zeros(0, int)]).astype(int) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(rows[c][k]) for k in (a, b) for c in (2, 3)],
+                                          names=["a", "a2", "b", "b2"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -104,10 +127,10 @@ def _group_links(radius: int):
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
             done = last[-1] + 1 if len(last) else 0
             if done:
-                yield edges(*[h[:done] for h in held])
+                yield edges([h[:done] for h in held])
                 held = [h[done:] for h in held]
         if len(held[0]):
-            yield edges(*held)
+            yield edges(held)
     return run
 
 
@@ -121,61 +144,71 @@ def _long(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that tie all distinct ``code`` values within ``radius`` bits of each other together.
+def near_links(codes: DataFrame, radius: int = RADIUS, slack: int = 64) -> DataFrame:
+    """Links (a, b) of structs that tie all distinct (code, extra) together whose codes lie within ``radius`` bits and
+    whose extra codes lie within ``slack`` bits of each other.
 
     Two such codes agree on two of radius + 2 pieces, so each code is dealt once for each pair of pieces and only codes
     that agree there meet. A group of over ``LARGE`` codes is dealt again by the pieces of its other bits, after
     which only a few bits vary (16 of 64 for radius 2, so at most 65,536 codes a group). Groups give a forest of
-    links, never all pairs.
+    links or, up to ``SMALL`` codes, their near pairs, never all pairs of a large group.
     """
     every = list(range(64))
     coarse = _masks(every, radius)
     fine = [[m | f for f in _masks([b for b in every if not m >> b & 1], radius)] for m in coarse]
-    dealt = codes.select("code", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("m"), F.col("code").bitwiseAND(F.lit(_long(m)).cast("long")).alias("key"))
-        for k, m in enumerate(coarse)])).alias("x")).select("code", "x.m", "x.key")
+    dealt = codes.select("code", "extra", F.explode(F.array(*[
+        F.struct(F.lit(k).cast("long").alias("m"), F.col("code").bitwiseAND(F.lit(_long(m)).cast("long")).alias("key"))
+        for k, m in enumerate(coarse)])).alias("x")).select("x.m", "x.key", "code", "extra")
     sizes = dealt.groupBy("m", "key").count().where("count > 1")
     met = dealt.join(sizes, ["m", "key"])
-    deeper = F.get(F.array(*[F.array(*[F.lit(_long(f)).cast("long") for f in row]) for row in fine]), F.col("m"))
+    deeper = F.get(F.array(*[F.array(*[F.lit(_long(f)).cast("long") for f in row]) for row in fine]),
+                   F.col("m").cast("int"))
     again = met.where(F.col("count") > LARGE).select(
-        "code", "m", F.posexplode(deeper).alias("k", "mask")).select(
-        ((F.col("m") + 1) * len(coarse) + F.col("k")).cast("long").alias("m"),
-        F.col("code").bitwiseAND(F.col("mask")).alias("key"), "code")
-    groups = met.where(F.col("count") <= LARGE).select(F.col("m").cast("long").alias("m"), "key", "code").union(again)
-    return (groups.repartition("m", "key").sortWithinPartitions("m", "key", "code")
-            .mapInArrow(_group_links(radius), "a long, b long").distinct())
+        "code", "extra", "m", F.posexplode(deeper).alias("k", "mask")).select(
+        (F.col("m") + 1) * len(coarse) + F.col("k"), F.col("code").bitwiseAND(F.col("mask")), "code", "extra")
+    groups = met.where(F.col("count") <= LARGE).select("m", "key", "code", "extra").union(again)
+    links = (groups.repartition("m", "key").sortWithinPartitions("m", "key", "code")
+             .mapInArrow(_group_links(radius, slack), "a long, a2 long, b long, b2 long"))
+
+    def node(code, extra):
+        return F.struct(F.col(code).alias("code"), F.col(extra).alias("extra"))
+
+    return links.select(node("a", "a2").alias("a"), node("b", "b2").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+                shingle: int = SHINGLE, slack: int | None = None) -> DataFrame:
     """Fingerprint and component of every row: (doc_id, fingerprint as 16 hex digits, component_id).
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked, and component_id is the smallest id that is
-    reachable. Null, empty and blank texts have fingerprint zero, which is linked like any other. A null id is passed
-    over as component_id while the component has another. Repeated rows each get their row; an empty table gives none.
+    reachable. With ``slack`` a second fingerprint of other hashes must lie within so many bits as well, which rules
+    chance out where the radius is wide. Null, empty and blank texts have fingerprint zero, which is linked like any
+    other. A null id is passed over as component_id while the component has another. Repeated rows each get their
+    row; an empty table gives none.
 
     Texts are read once; beyond that only ids and fingerprints move. Equal fingerprints are reduced to one
     before any comparison, so exact copies cost nothing, and skewed joins on a fingerprint can be split.
     """
-    coded = stable(docs.select(col(id_col).alias("doc_id"), fingerprints(text_of(text_col)).alias("code")))
-    points = coded.groupBy("code").agg(F.min("doc_id").alias("least"))
-    roots = connected(near_links(points, radius))
-    tied = points.join(roots, F.col("code") == F.col("node")).select("code", "root", "least")
+    coded = stable(docs.select(col(id_col).alias("doc_id"), fingerprints(
+        text_of(text_col), shingle, slack is not None).alias("node")))
+    points = coded.groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = connected(near_links(points.select("node.code", "node.extra"), radius, 64 if slack is None else slack))
+    tied = points.join(roots, "node")
     reach = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = stable(tied.join(reach, "root").select("code", "component_id"))
-    labels = points.join(moved, "code", "left").select(
-        "code", F.coalesce("component_id", "least").alias("component_id"))
-    return coded.join(labels, "code").select(
-        "doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = stable(tied.join(reach, "root").select("node", "component_id"))
+    labels = points.join(moved, "node", "left").select(
+        "node", F.coalesce("component_id", "least").alias("component_id"))
+    return coded.join(labels, "node").select(
+        "doc_id", F.lower(F.lpad(F.hex("node.code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each component of :func:`near_copies`: the one with the smallest id.
 
     Repeated rows of that id count as one. Rows without id cannot be told apart and stay.
     """
     name = fresh(docs, "id")
-    labels = near_copies(docs, id_col, text_col, radius).select(F.col("doc_id").alias(name), "component_id")
+    labels = near_copies(docs, id_col, text_col, **settings).select(F.col("doc_id").alias(name), "component_id")
     gone = labels.where(F.col(name) != F.col("component_id")).select(name).distinct()
     kept = docs.join(gone, col(id_col) == F.col(name), "left_anti")
     twice = labels.where(F.col(name) == F.col("component_id")).groupBy(name).count().where("count > 1").select(name)

@@ -72,17 +72,18 @@ def test_simhash_against_all_pairs(spark, docs):
     assert plain_components(list(codes.values()), list(codes), 2) == {i: r["component_id"] for i, r in got.items()}
 
 
-@pytest.mark.parametrize("large", [2048, 3])
+@pytest.mark.parametrize("large", [2048, 40])
 @pytest.mark.parametrize("radius", [1, 2, 4])
 def test_links_tie_all_near_codes(spark, monkeypatch, radius, large):
     monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "SMALL", large // 4)
     rng = np.random.default_rng(radius)
     centres = rng.integers(0, 1 << 63, 6, np.uint64)
     codes = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), False)) for c in np.repeat(centres, 25)}
     codes = sorted(codes)
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
-    links = simhash.near_links(spark.createDataFrame(signed, "code long"), radius)
-    roots = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in connected(links).collect()}
+    links = simhash.near_links(spark.createDataFrame([(*c, 0) for c in signed], "code long, extra long"), radius)
+    roots = {r["node"]["code"] & (1 << 64) - 1: r["root"]["code"] & (1 << 64) - 1 for r in connected(links).collect()}
     want = plain_components(codes, codes, radius)
     groups = {}
     for c in codes:

@@ -120,12 +120,11 @@ def n10(spark, d):
 
 
 @register("N11_package_volume", """
-SELECT sku_name, CASE WHEN product_category IN ('买流量') THEN volume_mb END AS volume_mb, count(*) AS orders
-FROM fact WHERE product_category = '买流量' GROUP BY 1, 2
+SELECT sku_name, volume_mb, count(*) AS orders
+FROM fact GROUP BY 1, 2
 """, "volume_mb:3")
 def n11(spark, d):
-    f = orders_fact(spark, d, "order_id", "sku_name", "product", "product_category").filter(
-        "product_category = '买流量'")
+    f = orders_fact(spark, d, "order_id", "sku_name", "product", "product_category")
     mb = E.package_mb(F.col("sku_name"), F.col("product"))
     return f.groupBy("sku_name", mb.alias("volume_mb")).agg(orders(f).alias("orders"))
 
@@ -542,6 +541,22 @@ def w12(spark, d):
     return pareto(f.groupBy("region", "country").agg(gmv().alias("gmv")), "gmv", ["region"])
 
 
+@register("W6_W12_rank_with_gaps", """
+WITH t AS (SELECT CASE WHEN region <> 'Africa' THEN region END AS region, country,
+    CASE WHEN min(okey) % 3 > 0 THEN sum(sales) END AS gmv FROM ok GROUP BY 1, 2)
+SELECT region, country, gmv, rank() OVER (PARTITION BY region ORDER BY gmv DESC) AS rank,
+  gmv / sum(gmv) OVER (PARTITION BY region) AS share,
+  sum(gmv) OVER (PARTITION BY region ORDER BY gmv DESC) / sum(gmv) OVER (PARTITION BY region) AS cumulative_share
+FROM t
+""", "gmv:2 share:8 cumulative_share:8")
+def w6_gaps(spark, d):
+    """Rows without a key or a measure keep their place."""
+    f = successful(spark, d, "order_id", "sales", "country", "region")
+    cells = f.groupBy(F.when(F.col("region") != "Africa", F.col("region")).alias("region"), "country").agg(
+        F.when(F.min(F.col("order_id").cast("bigint")) % 3 > 0, gmv()).alias("gmv"))
+    return pareto(cells, "gmv", ["region"])
+
+
 @register("W8_weekly_rolling", """
 WITH t AS (SELECT CAST(date_trunc('week', order_time) AS DATE) AS week, sum(sales) AS gmv FROM ok GROUP BY 1)
 SELECT strftime(week, '%Y-%m-%d') AS week, gmv,
@@ -649,11 +664,10 @@ SELECT CASE WHEN okey % 4 = 0 THEN NULL ELSE okey % 1000 + 0.5 END AS number, le
   hour(order_time) AS hour, strftime(last_day(day), '%Y-%m-%d') AS month_end,
   datediff('day', CAST(register_time AS DATE), day) AS age_days, coalesce(operator, brand, 'none') AS named,
   count(*) AS orders, round_even(avg(CAST(o8 AS DOUBLE)), 0) AS half_even
-FROM (SELECT *, okey % 8 + 0.5 AS o8 FROM fact) WHERE segment = 'B2B' GROUP BY ALL
+FROM (SELECT *, okey % 8 + 0.5 AS o8 FROM fact) GROUP BY ALL
 """, "number:1 half_even:0")
 def e1(spark, d):
-    f = orders_fact(spark, d, "order_id", "segment", "order_time", "register_time", "operator", "brand").filter(
-        "segment = 'B2B'")
+    f = orders_fact(spark, d, "order_id", "segment", "order_time", "register_time", "operator", "brand")
     key, t = F.col("order_id").cast("bigint"), F.col("order_time")
     text = F.when(key % 4 != 0, F.concat(F.lit(" "), F.format_number((key % 1000).cast("double"), 0), F.lit(".5 ")))
     label = F.substring(E.strip_ws(F.concat(F.lit("\tlabel "), (key % 5).cast("string"))), 1, 40)

@@ -23,6 +23,19 @@ def g1(spark, d):
     return R.kpi_set(successful(spark, d, "order_id", "sales", "user_id", "country"))
 
 
+@register("G1_orders_of_repeated_fact", """
+SELECT segment, count(DISTINCT order_id) AS orders, 2 * count(*) AS rows FROM fact GROUP BY 1
+""")
+def g1_repeated(spark, d):
+    """Order counts stay distinct when rows are repeated after publication, here by a union and by a join."""
+    from orderflux.functions.measures import orders
+    f = orders_fact(spark, d, "order_id", "segment")
+    twice, again = f.union(f), f.join(f.select("segment").distinct().crossJoin(spark.range(2)), "segment")
+    joined = again.groupBy("segment").agg(orders(again).alias("joined"))
+    return twice.groupBy("segment").agg(orders(twice).alias("orders"), F.count(F.lit(1)).alias("rows")).join(
+        joined, "segment").where("joined = orders").drop("joined")
+
+
 @register("G1_W12_kpis_by_market_month", """
 WITH t AS (SELECT country, mon, sum(sales) AS gmv, count(DISTINCT order_id) AS orders,
              count(DISTINCT user_id) AS users FROM ok GROUP BY 1, 2)
@@ -473,6 +486,20 @@ def g50(spark, d):
     return R.settlement_audit(costed(spark, d, "sales", "country"))
 
 
+@register("G50_settlement_audit_with_gaps", """
+WITH t AS (SELECT CASE WHEN okey % 3 > 0 THEN settlement_iso END AS settlement_iso, country,
+    CASE WHEN okey % 5 > 0 THEN sales END AS sales, settlement_rmb FROM okcost)
+SELECT settlement_iso, country, count(*) AS rows, sum(settlement_rmb) AS settlement_rmb,
+  median((sales - settlement_rmb) / sales) AS median_margin_pct FROM t GROUP BY 1, 2
+""", "settlement_rmb:2 median_margin_pct:8")
+def g50_gaps(spark, d):
+    """Orders without currency and without sales keep their row, sum and median."""
+    key = F.col("order_id").cast("bigint")
+    rows = costed(spark, d, "order_id", "sales", "country").withColumns({
+        "settlement_iso": F.when(key % 3 > 0, F.col("settlement_iso")), "sales": F.when(key % 5 > 0, F.col("sales"))})
+    return R.settlement_audit(rows)
+
+
 @register("G51_sales_explorer", """
 SELECT region, segment, CASE WHEN grouping(region, segment) > 0 THEN 1 ELSE 0 END::BIGINT AS is_total,
   sum(sales) AS gmv, count(*) AS orders, sum(sales) / count(*) AS aov,

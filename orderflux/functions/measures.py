@@ -9,16 +9,42 @@ from orderflux.functions.expressions import ratio
 from orderflux.session import stable
 
 
-def orders(df: DataFrame, when: Column | None = None) -> Column:
-    """Distinct orders.
+#: Steps of a plan that give at most one row for each row they read.
+_ROW_WISE = {"Project", "Filter", "SubqueryAlias", "Sort", "GlobalLimit", "LocalLimit", "Window"}
+
+
+def mark_unique(df: DataFrame) -> DataFrame:
+    """State that ``order_id`` is unique in ``df``, as publication and joins with keyed tables know."""
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata={"unique": True}) if c == "order_id" else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
+def unique_orders(df: DataFrame) -> bool:
+    """Whether ``order_id`` was marked unique and only row-wise steps came after.
 
-    The publishing step marks ``order_id`` as unique in the column metadata once it has checked
-    it; then a plain count is exact and needs no shuffle of order ids.
+    The mark itself outlives unions, joins and explosions, so the steps since the mark are looked at: the first one that
+    could repeat a row ends the trust.
     """
+    if "order_id" not in df.columns or not df.schema["order_id"].metadata.get("unique"):
+        return False
+    node = df._jdf.queryExecution().analyzed()
+    while True:
+        name = node.nodeName()
+        if name == "Project":
+            columns = node.projectList()
+            for i in range(columns.size()):
+                c = columns.apply(i)
+                if c.name() == "order_id" and c.nodeName() == "Alias" and c.explicitMetadata().isDefined():
+                    return True
+        if name not in _ROW_WISE:
+            return False
+        node = node.children().head()
+
+
+def orders(df: DataFrame, when: Column | None = None) -> Column:
+    """Distinct orders; a plain count, which shuffles no ids, where :func:`unique_orders` holds."""
     column = F.col("order_id") if when is None else F.when(when, F.col("order_id"))
-    if df.schema["order_id"].metadata.get("unique"):
-        return F.count(column)
-    return F.count_distinct(column)
+    return F.count(column) if unique_orders(df) else F.count_distinct(column)
 
 
 def gmv(when: Column | None = None, column: str = "sales") -> Column:

@@ -1,18 +1,19 @@
 """Dated exchange rates and conversion. Rates are local currency per 1 RMB.
 
-A rate is valid from its month until the next dated month of the same key. The rates are laid out as a
-calendar of currencies x months, so the as-of lookup is one equi join per order and no range condition
-is evaluated. The calendar does not grow with the orders.
+A rate is valid from its month until the next dated month of the same key. The rates are laid out as one
+row per currency with the rate of every month, so the as-of lookup is one equi join on the currency and a place in
+an array; no range condition is evaluated and planning runs no job. The calendar does not grow with the orders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflux.functions import values as V
 from orderflux.functions.dimensions import fx_snapshot, local_table
 from orderflux.functions.expressions import month_text, ratio, strip_ws
+from orderflux.functions.measures import mark_unique, unique_orders
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
@@ -55,99 +56,69 @@ def rates_by_country(rates: DataFrame) -> DataFrame:
     return direct.unionByName(keyed)
 
 
-NO_MONTH, BEFORE_FIRST = "", "0000-00"
-LOCAL_CALENDAR_ROWS = 200_000
+def _month_number(month: Column) -> Column:
+    """Months since year 0 of a YYYY-MM text."""
+    return (F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")) - 1
 
 
-def rate_calendar(dated: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """One row per key and month in force, built once per currencies x months.
+def rate_calendar(dated: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """One row per key: its snapshot rate and the rate in force in each month from its first to its last dated one.
 
-    ``keys`` holds every known key with its snapshot rate (NULL when it has none). The months run from the
-    first to the last dated month of the table; two more rows per key answer a month before the first
-    one and a missing month.
+    ``keys`` holds keys with their snapshot rate (NULL when there is none); ``how`` joins them to the dated
+    ones. A row holds as many rates as months, so its size is bounded by the calendar.
     """
-    dated = dated.groupBy(key, "month").agg(F.max("rate").alias("_dated"))
-    span = dated.agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
-    day = [F.to_date(F.concat(c, F.lit("-01"))) for c in ("_lo", "_hi")]
-    months = F.transform(F.sequence(*day, F.expr("interval 1 month")),
-                         lambda d: F.date_format(d, "yyyy-MM"))
-    listed = span.select(F.array_union(
-        F.coalesce(months, F.array().cast("array<string>")),
-        F.array(F.lit(BEFORE_FIRST), F.lit(NO_MONTH))).alias("m")).scalar()
-    grid = keys.select(key, "snapshot", F.explode(listed).alias("month")).join(
-        dated, [key, "month"], "left")
-    upto = (Window.partitionBy(key).orderBy("month")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = (Window.partitionBy(key).orderBy("month")
-             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return grid.select(
-        key, "month", "snapshot", F.last("_dated", ignorenulls=True).over(upto).alias("in_force"),
-        F.first("_dated", ignorenulls=True).over(whole).alias("earliest"),
-        F.last("_dated", ignorenulls=True).over(whole).alias("latest"))
-
-
-def _localised(rates: DataFrame) -> DataFrame:
-    """The rate table as a local relation when its checked size allows, so each use of it is free."""
-    rows = rates.select("iso", "country", "month", "rate").limit(LOCAL_CALENDAR_ROWS + 1).collect()
-    if len(rows) > LOCAL_CALENDAR_ROWS:
-        return rates
-    return local_table(rates.sparkSession, "iso string, country string, month string, rate double",
-                       [tuple(r) for r in rows]).coalesce(1)
+    months = dated.groupBy(key, _month_number(F.col("month")).alias("n")).agg(F.max("rate").alias("rate"))
+    lists = months.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "rate"))).alias("d"))
+    until = F.transform("d", lambda x, i: F.coalesce(F.get("d", i + 1)["n"], x["n"] + 1))
+    filled = F.flatten(F.zip_with("d", until, lambda x, end: F.array_repeat(x["rate"], end - x["n"])))
+    rates = lists.select(key, F.get("d", F.lit(0))["n"].alias("_first"), filled.alias("_rates"))
+    return keys.join(rates, key, how).select(F.col(key).alias("_key"), "snapshot", "_first", "_rates")
 
 
 def _join_calendar(df: DataFrame, calendar: DataFrame, key: Column, as_of: Column | None,
-                   out: str) -> DataFrame:
-    """Left join on (key, month). A calendar of checked size becomes a local relation to broadcast."""
-    spark = df.sparkSession
-    rows = calendar.limit(LOCAL_CALENDAR_ROWS + 1).collect()
-    if len(rows) <= LOCAL_CALENDAR_ROWS:
-        calendar = local_table(spark, "_key string, _month string, _cal double",
-                               [tuple(r) for r in rows])
-        months = [r[1] for r in rows if r[1] > BEFORE_FIRST]
-        low, high = (F.lit(min(months)), F.lit(max(months))) if months else (F.lit("9999-99"),) * 2
-    else:
-        real = calendar.filter(F.col("_month") > BEFORE_FIRST)
-        low, high = real.select(F.min("_month")).scalar(), real.select(F.max("_month")).scalar()
-    month = F.lit(NO_MONTH) if as_of is None else (
-        F.when(as_of.isNull(), NO_MONTH).when(as_of < low, BEFORE_FIRST)
-        .otherwise(F.least(as_of, high)))
-    return (df.withColumn("_k", key).withColumn("_m", month)
-            .join(calendar, (F.col("_k") == F.col("_key")) & (F.col("_m") == F.col("_month")), "left")
-            .withColumn(out, F.col("_cal")).drop("_k", "_m", "_key", "_month", "_cal"))
+                   before: Column, undated: Column, out: str) -> DataFrame:
+    """Left join on the key, then the month's place in the key's rates; after the last dated month that rate stays.
+
+    ``before`` answers a month before the first dated one and ``undated`` a missing month.
+    """
+    place = _month_number(F.lit(None).cast("string") if as_of is None else as_of) - F.col("_first")
+    value = (F.when(F.col("_key").isNull(), None).when((F.lit(True) if as_of is None else as_of.isNull()), undated)
+             .when(place < 0, before)
+             .otherwise(F.coalesce(F.get("_rates", F.least(place, F.size("_rates") - 1)), "snapshot")))
+    joined = (df.withColumn("_k", key).join(calendar, F.col("_k") == F.col("_key"), "left")
+              .withColumn(out, value).drop("_k", "_key", "snapshot", "_first", "_rates"))
+    return mark_unique(joined) if unique_orders(df) else joined
 
 
 def iso_calendar(rates: DataFrame) -> DataFrame:
-    """Before the first dated month, and for undated currencies, the snapshot; without a month the
-    latest dated rate."""
     dated = rates_by_iso(rates)
-    keys = (dated.select("iso").distinct()
-            .join(_snapshot_iso(rates.sparkSession), "iso", "full_outer"))   # a few hundred currencies
-    value = F.when(F.col("month") == NO_MONTH, F.coalesce("latest", "snapshot")).otherwise(
-        F.coalesce("in_force", "snapshot"))
-    return rate_calendar(dated, keys, "iso").select(
-        F.col("iso").alias("_key"), F.col("month").alias("_month"), value.alias("_cal"))
+    return rate_calendar(dated, _snapshot_iso(rates.sparkSession), "iso", "full_outer")  # a few hundred currencies
 
 
 def country_calendar(rates: DataFrame) -> DataFrame:
-    """Before the first dated month the earliest dated rate; without a month, and for undated
-    countries, the snapshot. Only countries of the snapshot are known."""
+    """Only countries of the snapshot are known."""
     keys = fx_snapshot(rates.sparkSession).select("country", F.col("rate").alias("snapshot"))
-    value = F.when(F.col("month") == NO_MONTH, F.col("snapshot")).otherwise(
-        F.coalesce("in_force", "earliest", "snapshot"))
-    return rate_calendar(rates_by_country(rates), keys, "country").select(
-        F.col("country").alias("_key"), F.col("month").alias("_month"), value.alias("_cal"))
+    return rate_calendar(rates_by_country(rates), keys, "country", "left")
 
 
 def rate_for_iso(df: DataFrame, rates: DataFrame, iso: Column, as_of: Column | None,
                  out: str = "rate") -> DataFrame:
-    """Rate of a currency in force at ``as_of`` (YYYY-MM text); NULL for an unknown currency."""
-    return _join_calendar(df, iso_calendar(_localised(rates)), F.upper(strip_ws(iso)), as_of, out)
+    """Rate of a currency in force at ``as_of`` (YYYY-MM text); NULL for an unknown currency.
+
+    Before the first dated month, and for undated currencies, the snapshot; without a month the latest dated rate.
+    """
+    return _join_calendar(df, iso_calendar(rates), F.upper(strip_ws(iso)), as_of, F.col("snapshot"),
+                          F.coalesce(F.element_at("_rates", -1), "snapshot"), out)
 
 
 def rate_for_country(df: DataFrame, rates: DataFrame, country: Column, as_of: Column | None,
                      out: str = "rate") -> DataFrame:
-    """Rate of a country's currency at ``as_of``; NULL for a country outside the snapshot."""
-    return _join_calendar(df, country_calendar(_localised(rates)), strip_ws(country), as_of, out)
+    """Rate of a country's currency at ``as_of``; NULL for a country outside the snapshot.
+
+    Before the first dated month the earliest dated rate; without a month, and for undated countries, the snapshot.
+    """
+    return _join_calendar(df, country_calendar(rates), strip_ws(country), as_of,
+                          F.coalesce(F.get("_rates", F.lit(0)), "snapshot"), F.col("snapshot"), out)
 
 
 def country_currency(df: DataFrame, column: str = "country") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderflux.functions import values as V
 from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import ipv4_to_long
+from orderflux.functions.measures import mark_unique, unique_orders
 
 GEO_FIELDS = ("iso2", "country", "subdivision", "city", "lat", "lon")
 
@@ -35,7 +36,12 @@ def locate_ips(df: DataFrame, ranges: DataFrame, column: str = "ip_address",
     probes = probes.withColumn("_network", F.call_function("shiftright", "_n", F.lit(32) - F.col("_length")))
     best = (probes.join(networks, ["_length", "_network"])
             .groupBy("_ip").agg(F.max_by("_geo", "_length").alias(out)))
-    return df.join(best, F.col(column) == F.col("_ip"), "left").drop("_ip")
+    # Rows without a readable address stay out of the join, where they would share one key.
+    known = ipv4_to_long(F.col(column)).isNotNull()
+    located = df.where(known).join(best, F.col(column) == F.col("_ip"), "left").drop("_ip")
+    joined = located.unionByName(df.where(~F.coalesce(known, F.lit(False))).withColumn(
+        out, F.lit(None).cast(best.schema[out].dataType)))
+    return mark_unique(joined) if unique_orders(df) else joined
 
 
 def same_market(df: DataFrame, market: str = "country", destination: str = "destination",
@@ -43,11 +49,12 @@ def same_market(df: DataFrame, market: str = "country", destination: str = "dest
     """True when billing market and destination agree, by containment or by alias."""
     aliases = local_table(df.sparkSession, "_market string, _alias string",
                           list(V.DESTINATION_ALIASES.items()))
-    joined = df.join(aliases, F.col(market) == F.col("_market"), "left")
+    joined = df.join(aliases, F.col(market) == F.col("_market"), "left")        # one alias a market
     m, d = F.lower(F.trim(market)), F.lower(F.trim(destination))
     agree = (d.contains(m) | m.contains(d)
              | F.coalesce(F.lower(F.col("_alias")) == d, F.lit(False)))
-    return joined.withColumn(out, agree).drop("_market", "_alias")
+    joined = joined.withColumn(out, agree).drop("_market", "_alias")
+    return mark_unique(joined) if unique_orders(df) else joined
 
 
 def ip_mismatch(ip_country: Column, market: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,17 @@ def value_bucket(value: Column, resolution: int = 256) -> Column:
     return F.floor(F.signum(value) * F.log2(F.abs(value) + 1.0) * resolution)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which NULL keys meet; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def running_totals(df: DataFrame, value: str, keys=(), rank: str = "rank",
                    cumulative: str = "cumulative", weight: str | None = None,
                    resolution: int = 256, more: dict[str, str] | None = None) -> DataFrame:
-    """Rank and running total by ``value`` descending, within ``keys``; ties share both.
+    """Rank and running total by ``value`` descending, within ``keys``; ties share both, NULLs come last.
 
     ``more`` maps further output columns to the columns they accumulate.
 
@@ -36,16 +45,16 @@ def running_totals(df: DataFrame, value: str, keys=(), rank: str = "rank",
         F.sum("_n").alias("_n"), *[F.sum(f"_s_{o}").alias(f"_s_{o}") for o in sums])
     offsets = totals.select(
         *keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
-        *[F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_0_{o}") for o in sums])
+        *[F.sum(f"_s_{o}").over(earlier).alias(f"_0_{o}") for o in sums])
     inside = (Window.partitionBy(*keys, "_b").orderBy(F.desc(value))
               .rowsBetween(Window.unboundedPreceding, 0))
     ranked = (by_value.withColumn("_cn", F.sum("_n").over(inside))
-              .withColumns({f"_c_{o}": F.sum(f"_s_{o}").over(inside) for o in sums})
-              .join(offsets, [*keys, "_b"])
+              .withColumns({f"_c_{o}": F.sum(f"_s_{o}").over(inside) for o in sums}))
+    ranked = (null_safe_join(ranked, offsets, [*keys, "_b"])
               .select(*keys, value,
                       (F.col("_n0") + F.col("_cn") - F.col("_n") + 1).alias(rank),
-                      *[(F.col(f"_0_{o}") + F.col(f"_c_{o}")).alias(o) for o in sums]))
-    return rows.join(ranked, [*keys, value])
+                      *[F.coalesce(F.col(f"_0_{o}") + F.col(f"_c_{o}"), f"_0_{o}", f"_c_{o}").alias(o) for o in sums]))
+    return null_safe_join(rows, ranked, [*keys, value])
 
 
 def pareto(df: DataFrame, measure: str, keys=()) -> DataFrame:
@@ -53,7 +62,7 @@ def pareto(df: DataFrame, measure: str, keys=()) -> DataFrame:
     out = running_totals(df, measure, keys)
     if keys:
         totals = out.groupBy(*keys).agg(F.sum(measure).alias("_total"))
-        out = out.join(totals, list(keys))
+        out = null_safe_join(out, totals, list(keys))
     else:
         out = out.withColumn("_total", out.select(F.sum(measure)).scalar())
     return (out.withColumn("share", ratio(F.col(measure), F.col("_total")))
@@ -81,35 +90,42 @@ def last_periods(df: DataFrame, period: str, n: int) -> DataFrame:
     return df.join(latest, period, "left_semi")
 
 
-def exact_median(df: DataFrame, keys, value: str, out: str = "median",
-                 resolution: int = 256) -> DataFrame:
-    """Exact median per key (mean of the two middle values) with bounded tasks.
+def exact_median(df: DataFrame, keys, value: str, out: str = "median", resolution: int = 256,
+                 sums: dict[str, str] | None = None) -> DataFrame:
+    """Exact median per key (mean of the two middle values) with bounded tasks; ``rows`` and sums beside it.
 
-    Equal values are merged first; a histogram over value buckets finds the bucket of each middle
-    position, and only those buckets are ordered.
+    Equal values are merged first, with the sums of other columns that ``sums`` names, and stored once. A histogram over
+    value buckets finds the bucket of each middle position, and only those buckets are ordered. NULL values count as
+    rows and in the sums but not in the median; NULL keys are keys.
     """
-    keys = list(keys)
-    by_value = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-                .agg(F.count(F.lit(1)).alias("_n"))
-                .withColumn("_b", value_bucket(F.col(value), resolution)))
+    keys, sums = list(keys), sums or {}
+    by_value = stable(df.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(o) for o, c in sums.items()])
+        .withColumn("_b", value_bucket(F.col(value), resolution)))
     w = Window.partitionBy(*keys).orderBy("_b")
-    whole = Window.partitionBy(*keys)
-    hist = (by_value.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
+    seen = F.when(F.col("_b").isNotNull(), F.col("_n"))
+    hist = (by_value.groupBy(*keys, "_b").agg(
+                F.coalesce(F.sum(seen), F.lit(0)).alias("_bn"), F.sum("_n").alias("_rows"),
+                *[F.sum(o).alias(o) for o in sums])
             .withColumn("_upto", F.sum("_bn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_total", F.sum("_bn").over(whole))
+            .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*keys)))
             .withColumn("_low", F.floor((F.col("_total") + 1) / 2))
             .withColumn("_high", F.floor((F.col("_total") + 2) / 2))
             .withColumn("_before", F.col("_upto") - F.col("_bn")))
-    middle = hist.filter(((F.col("_low") > F.col("_before")) & (F.col("_low") <= F.col("_upto")))
-                         | ((F.col("_high") > F.col("_before")) & (F.col("_high") <= F.col("_upto"))))
+    middle = (((F.col("_low") > F.col("_before")) & (F.col("_low") <= F.col("_upto")))
+              | ((F.col("_high") > F.col("_before")) & (F.col("_high") <= F.col("_upto"))))
+    hist = stable(hist.withColumn("_middle", middle & (F.col("_bn") > 0)))
     inside = (Window.partitionBy(*keys, "_b").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, 0))
-    placed = (by_value.join(middle.select(*keys, "_b", "_before", "_low", "_high"), [*keys, "_b"])
-              .withColumn("_to", F.col("_before") + F.sum("_n").over(inside))
+    placed = null_safe_join(by_value.drop(*sums), hist.filter("_middle").select(*keys, "_b", "_before", "_low", "_high"),
+                            [*keys, "_b"])
+    placed = (placed.withColumn("_to", F.col("_before") + F.sum("_n").over(inside))
               .withColumn("_from", F.col("_to") - F.col("_n")))
 
     def at(position: str) -> Column:
         hit = (F.col(position) > F.col("_from")) & (F.col(position) <= F.col("_to"))
         return F.max(F.when(hit, F.col(value)))
 
-    return placed.groupBy(*keys).agg(((at("_low") + at("_high")) / 2.0).alias(out))
+    medians = placed.groupBy(*keys).agg(((at("_low") + at("_high")) / 2.0).alias(out))
+    whole = hist.groupBy(*keys).agg(F.sum("_rows").alias("rows"), *[F.sum(o).alias(o) for o in sums])
+    return null_safe_join(whole, medians, keys, "left")

@@ -170,9 +170,8 @@ def settlement_audit(df: DataFrame) -> DataFrame:
     """Rows, settlement and median margin % per settlement currency and market."""
     rows = df.withColumn("margin_pct", ratio(F.col("sales") - F.col("settlement_rmb"), F.col("sales")))
     keys = ["settlement_iso", "country"]
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"),
-                                   gmv(column="settlement_rmb").alias("settlement_rmb"))
-    return sums.join(exact_median(rows, keys, "margin_pct", "median_margin_pct"), keys, "left")
+    return exact_median(rows, keys, "margin_pct", "median_margin_pct", sums={"settlement_rmb": "settlement_rmb"}).select(
+        *keys, "rows", F.coalesce("settlement_rmb", F.lit(0.0)).alias("settlement_rmb"), "median_margin_pct")
 
 
 def discount_depth(df: DataFrame, *by: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orderflux.functions import expressions as E
 from orderflux.functions.dimensions import local_table
+from orderflux.functions.measures import mark_unique
 
 # nation key -> raw market name, currency, calling code. Raw names are mixed Chinese and
 # English as in the exports; '999', 'x' and NULL exercise the unmapped codes.
@@ -85,9 +86,8 @@ def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent = F.col("o_orderpriority") == "1-URGENT"
     time = (F.col("o_orderdate").cast("timestamp")
             + F.make_dt_interval(F.lit(0), (key % 24).cast("int")))
-    unique = {"unique": True}                       # primary key of the source table
     return o.select(
-        key.cast("string").alias("order_id", metadata=unique),
+        key.cast("string").alias("order_id"),
         key.alias("_order_key"), cust.alias("cust_key"), price.alias("_price"),
         F.when(b2b, "B2B").otherwise("B2C").alias("segment"),
         F.when(~b2b, cust.cast("string")).alias("user_id"),
@@ -182,7 +182,8 @@ def orders_fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         df = _with_customer(df, spark, sf_dir)
     if LINE_COLUMNS & set(wanted):
         df = _with_lines(df, spark, sf_dir, set(wanted))
-    return df.select(*wanted)
+    # The primary key of the source table; every join above is with a table of one row per key.
+    return mark_unique(df.select(*wanted)) if "order_id" in wanted else df.select(*wanted)
 
 
 def successful(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

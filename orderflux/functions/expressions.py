@@ -43,20 +43,44 @@ def to_flag(c: Column) -> Column:
 _YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
 _YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})(?!\d)"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})(?!\d)"
+_SHORT_YEAR = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2})(?!\d)"
+_NAMED_MONTH = r"^(\d{1,2})[- ]([A-Za-z]{3})[A-Za-z]*[-, ]+(\d{4}|\d{2})(?!\d)"
+_HALF_DAY = r"(\d{1,2}):(\d{2})(?::(\d{2}))? ?([AaPp])[Mm]$"
+#: Months as exports abbreviate them.
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _full_year(year: Column) -> Column:
+    """Four digits from two: 69 to 99 lie in the last century."""
+    return F.when(F.length(year) == 4, year).when(year >= "69", F.concat(F.lit("19"), year)).otherwise(
+        F.concat(F.lit("20"), year))
 
 
 def parse_timestamp(c: Column, day_first: bool = False) -> Column:
     """Timestamp from text; NULL when no known layout fits.
 
-    The date part is put in year-month-day order and cast, so no format is tried in vain. Year-first text is
-    never ambiguous; otherwise the month comes first, or the day with ``day_first``.
+    The date part is put in year-month-day order and cast, so no format is tried in vain; rare layouts (two-digit
+    years, named months, hours of half a day) are looked for only where the common ones do not fit. Year-first text and
+    named months are never ambiguous; otherwise the month comes first, or the day with ``day_first``.
     """
     s = strip_ws(c.cast("string"))
     order = "$3-$2-$1" if day_first else "$3-$1-$2"
+    first, second = (F.regexp_extract(s, _SHORT_YEAR, k) for k in ((2, 1) if day_first else (1, 2)))
+    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.regexp_extract(s, _NAMED_MONTH, 2)))
     arranged = (F.when(s.rlike(_YEAR_FIRST), F.regexp_replace(s, _YEAR_FIRST, "$1-$2-$3"))
                 .when(s.rlike(_YEAR_LAST), F.regexp_replace(s, _YEAR_LAST, order))
-                .when(s.rlike(_COMPACT), F.regexp_replace(s, _COMPACT, "$1-$2-$3")))
-    return arranged.try_cast("timestamp")
+                .when(s.rlike(_COMPACT), F.regexp_replace(s, _COMPACT, "$1-$2-$3"))
+                .when(s.rlike(_SHORT_YEAR), F.concat(F.concat_ws(
+                    "-", _full_year(F.regexp_extract(s, _SHORT_YEAR, 3)), first, second),
+                    F.regexp_replace(s, _SHORT_YEAR, "")))
+                .when(s.rlike(_NAMED_MONTH), F.concat(F.concat_ws(
+                    "-", _full_year(F.regexp_extract(s, _NAMED_MONTH, 3)), month.cast("string"),
+                    F.regexp_extract(s, _NAMED_MONTH, 1)), F.regexp_replace(s, _NAMED_MONTH, ""))))
+    hour, minute, second, half = (F.regexp_extract(s, _HALF_DAY, k) for k in range(1, 5))
+    whole = F.when(hour.cast("int").between(1, 12), hour.cast("int") % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
+    time = F.concat_ws(":", whole.cast("string"), minute, F.when(second == "", "00").otherwise(second))
+    late = F.concat(F.regexp_replace(arranged, _HALF_DAY, ""), F.when(whole.isNotNull(), time))
+    return F.when(s.rlike("[AaPp][Mm]$"), late).otherwise(arranged).try_cast("timestamp")
 
 
 def status_group(c: Column) -> Column:

@@ -10,6 +10,7 @@ import hashlib
 import json
 import time
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from orderflux.functions import expressions as E
 from orderflux.functions import values as V
+from orderflux.functions.dimensions import local_table
 from orderflux.operators import merge as M
 from orderflux.operators.cleaning import Cleaned, clean, split_at_import
 from orderflux.operators.normalise import enrich, normalise
@@ -102,7 +104,8 @@ def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: s
             "file_hash": file_hash, "duplicate_file": duplicate_file,
             "rows_in": counts["rows"] + quarantined, "added": counts["added"],
             "duplicates": counts["duplicates"], "distinct_new": counts["distinct_new"],
-            "quarantined": quarantined, "restated": summary["restated"] if summary else 0,
+            "quarantined": quarantined,
+            "quarantine_file": quarantine_folder(root, segment, batch_id) if quarantined else None, "restated": summary["restated"] if summary else 0,
             "restatement_samples": samples, "total_rows": total,
             "elapsed_seconds": round(time.time() - started, 1),
             "date_min": str(span["date_min"])[:16] if span["date_min"] else None,
@@ -125,6 +128,7 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("duplicate_file", T.BooleanType()), T.StructField("rows_in", T.LongType()),
     T.StructField("added", T.LongType()), T.StructField("duplicates", T.LongType()),
     T.StructField("distinct_new", T.LongType()), T.StructField("quarantined", T.LongType()),
+    T.StructField("quarantine_file", T.StringType()),
     T.StructField("restated", T.LongType()),
     T.StructField("restatement_samples", T.ArrayType(T.StructType([
         T.StructField(n, T.StringType()) for n in ("order_id", "field", "old", "new")]))),
@@ -151,12 +155,16 @@ def _seen(spark: SparkSession, root: str, file_hash: str) -> bool:
     return audit is not None and not audit.filter(F.col("file_hash") == file_hash).isEmpty()
 
 
+def quarantine_folder(root: str, segment: str, batch_id: str) -> str:
+    return f"{root}/quarantine/segment={segment}/batch_id={batch_id}"
+
+
 def _quarantine(spark: SparkSession, root: str, segment: str, batch_id: str, parts) -> int:
     """Store rejected rows by segment and batch, with the reason; returns their number."""
     frames = [p.drop(S.SEQ, "_row") for p in parts if p is not None]
     rows = reduce(lambda a, b: a.unionByName(_texts(b), allowMissingColumns=True), frames[1:],
                   _texts(frames[0]))
-    folder = f"{root}/quarantine/segment={segment}/batch_id={batch_id}"
+    folder = quarantine_folder(root, segment, batch_id)
     rows.write.mode("overwrite").parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder).count()
 
@@ -213,18 +221,24 @@ def read_fact(spark: SparkSession, root: str, columns=None, months=None, enriche
 
 # --- daily import and full rebuild ----------------------------------------
 
-def _clean_all(spark: SparkSession, paths) -> tuple[list[Cleaned], list[dict]]:
-    cleaned, errors = [], []
-    try:
-        layouts = S.read_exports(spark, paths)
-    except ValueError as exc:
-        return [], [{"file": ",".join(paths), "error": str(exc)}]
-    for headings, df in layouts.items():
-        if not headings or KEY not in headings:
-            errors.append({"file": "layout", "error": f"no {KEY} column in {headings}"})
+class Read(NamedTuple):
+    """Cleaned rows of the files of one layout."""
+
+    segment: str
+    files: list[str]
+    rows: Cleaned
+
+
+def _clean_all(spark: SparkSession, paths) -> tuple[list[Read], list[dict]]:
+    """Cleaned files by layout, each in the segment that its own headings tell, and the files that cannot be read."""
+    out, errors = [], []
+    for x in S.read_layouts(spark, paths, errors):
+        if KEY not in x.headings:
+            errors += [{"file": p, "error": f"no {KEY} column in {x.headings}"} for p in x.files]
             continue
-        cleaned.append(clean(df, S.detect_stream(headings)))
-    return cleaned, errors
+        stream = S.detect_stream(x.headings)
+        out.append(Read(S.segment_of(stream), x.files, clean(x.rows, stream)))
+    return out, errors
 
 
 def _union(frames) -> DataFrame | None:
@@ -232,53 +246,69 @@ def _union(frames) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
+PROCESSED = "path string, file_hash string, size long, modified long"
+
+
 def read_processed(spark: SparkSession, root: str) -> DataFrame | None:
     if not list_names(spark, f"{root}/processed"):
         return None
-    return spark.read.schema("path string, file_hash string").option(
-        "recursiveFileLookup", True).json(f"{root}/processed")
+    return spark.read.schema(PROCESSED).option("recursiveFileLookup", True).json(f"{root}/processed")
+
+
+def _of_files(stamps: DataFrame, files) -> DataFrame:
+    """Rows of the files that were read without error."""
+    listed = local_table(stamps.sparkSession, "path string", [(S.plain_path(p),) for p in files])
+    return stamps.join(listed, "path", "left_semi")
 
 
 def import_new_daily(spark: SparkSession, data_root: str, root: str, dry_run: bool = True) -> dict:
-    """Clean and import the files whose content has not been imported, one batch per segment."""
+    """Clean and import the files whose content has not been imported, one batch per segment.
+
+    A file belongs to the segment that its headings tell, whatever folder it lies in. Files that cannot be read are
+    listed under ``errors`` and stay unprocessed; the others are not held up by them.
+    """
     summary: dict = {"files": {}, "errors": [], "import": {}}
-    processed = read_processed(spark, root)
+    paths = [p for segment in SEGMENTS for p in S.discover(spark, data_root, segment)]
+    if not paths:
+        return summary
+    fresh = stable(S.unprocessed(spark, paths, read_processed(spark, root)))
+    hashes = {r["path"]: r["file_hash"] for r in fresh.collect()}
+    chosen = [p for p in paths if S.plain_path(p) in hashes]
+    if not chosen:
+        return summary
+    reads, summary["errors"] = _clean_all(spark, chosen)
     for segment in SEGMENTS:
-        paths = S.discover(spark, data_root, segment)
-        if not paths:
+        own = [r for r in reads if r.segment == segment]
+        if not own:
             continue
-        fresh = S.unprocessed(spark, paths, processed).persist()
-        try:
-            todo = {r["path"]: r["file_hash"] for r in fresh.orderBy("path").collect()}
-            chosen = [p for p in paths if S.plain_path(p) in todo]
-            if not chosen:
-                continue
-            cleaned, errors = _clean_all(spark, chosen)
-            summary["errors"] += errors
-            report = _union(c.report for c in cleaned)
-            summary["files"][segment] = [r.asDict() for r in report.orderBy("file").collect()] if report else []
-            if dry_run or not cleaned:
-                continue
-            batch_id = hashlib.sha256("".join(sorted(todo.values())).encode()).hexdigest()[:16]
-            summary["import"][segment] = append_batch(
-                spark, root, _union(c.good for c in cleaned), segment, batch_id,
-                _union(c.quarantined for c in cleaned))
-            fresh.coalesce(1).write.mode("overwrite").json(f"{root}/processed/run={segment}-{batch_id}")
-        finally:
-            fresh.unpersist()
+        report = _union(r.rows.report for r in own)
+        summary["files"][segment] = [r.asDict() for r in report.orderBy("file").collect()]
+        if dry_run:
+            continue
+        files = [p for r in own for p in r.files]
+        keys = sorted(hashes[S.plain_path(p)] for p in files)
+        batch_id = hashlib.sha256("".join(keys).encode()).hexdigest()[:16]
+        summary["import"][segment] = append_batch(
+            spark, root, _union(r.rows.good for r in own), segment, batch_id,
+            _union(r.rows.quarantined for r in own))
+        _of_files(fresh, files).write.mode("overwrite").json(f"{root}/processed/run={segment}-{batch_id}")
     return summary
 
 
 def full_rebuild(spark: SparkSession, data_root: str, root: str, history=None, dry_run: bool = True) -> dict:
-    """Rebuild both stores and the fact from every source; a dry run only counts."""
+    """Rebuild both stores and the fact from every source; a dry run only counts.
+
+    The set of processed files is replaced by the files that were read, so one that is put back later is imported.
+    """
     out: dict = {"applied": False}
+    paths = [p for s in SEGMENTS for p in S.discover(spark, data_root, s, (history or {}).get(s, ()))]
+    reads, errors = _clean_all(spark, paths) if paths else ([], [])
     for segment in SEGMENTS:
-        paths = S.discover(spark, data_root, segment, (history or {}).get(segment, ()))
-        cleaned, errors = _clean_all(spark, paths) if paths else ([], [])
-        if not cleaned:
+        own = [r for r in reads if r.segment == segment]
+        if not own:
             out[segment] = {"rows": 0, "errors": errors}
             continue
-        rows = _latest(_union(c.good for c in cleaned))
+        rows = _latest(_union(r.rows.good for r in own))
         if dry_run:
             r = rows.agg(F.count(F.lit(1)).alias("rows"), F.min(TIME).alias("lo"), F.max(TIME).alias("hi")).first()
             out[segment] = {"rows": r["rows"], "date_min": str(r["lo"])[:10], "date_max": str(r["hi"])[:10],
@@ -286,14 +316,14 @@ def full_rebuild(spark: SparkSession, data_root: str, root: str, history=None, d
             continue
         rows = rows.drop(*_HELPERS).withColumn(MONTH, month_of(F.col(TIME)))
         batch_id = "rebuild-" + time.strftime("%Y%m%d%H%M%S")
-        rejected = _union(c.quarantined for c in cleaned)
-        n_bad = _quarantine(spark, root, segment, batch_id, [rejected])
+        n_bad = _quarantine(spark, root, segment, batch_id, [_union(r.rows.quarantined for r in own)])
         write_months(rows, store(root, segment), replace=True, extra={"batches": [], "overlap": False})
-        S.file_hashes(spark, paths).coalesce(1).write.mode("overwrite").json(
-            f"{root}/processed/run={segment}-{batch_id}")
         out[segment] = {"rows": _row_count(spark, store(root, segment)), "quarantined": n_bad,
                         "errors": errors}
     if not dry_run:
+        files = [p for r in reads for p in r.files]
+        if files:
+            _of_files(S.file_hashes(spark, files), files).write.mode("overwrite").json(f"{root}/processed")
         _mark_overlap(spark, root)
         publish(spark, root, full=True)
         out["applied"] = True

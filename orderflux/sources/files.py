@@ -1,25 +1,25 @@
-"""Raw export files: discovery, encoding and separator, native reads as text."""
+"""Raw export files: discovery, encoding and separator from all their bytes, native reads as text."""
 
 from __future__ import annotations
 
-import codecs
 import csv
 import re
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import PurePosixPath
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderflux.functions import values as V
+from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import clean_id
 from orderflux.operators.merge import keep_last
-from orderflux.sources.storage import glob_paths, read_bytes
+from orderflux.sources.storage import file_stamp, glob_paths
 
-PROBE_BYTES = 65536
 FILE, SEQ, RANK = "_file", "_seq", "_source_rank"
 _YEAR = re.compile(r"^20\d{2}$")
 
@@ -61,24 +61,58 @@ def select_periods(names, workbook: str | None = None) -> list[str]:
     return chosen or [stripped[0][0]]
 
 
-def _decodes(head: bytes, encoding: str, whole: bool) -> str | None:
-    try:
-        return codecs.getincrementaldecoder(encoding)().decode(head, final=whole)
-    except UnicodeDecodeError:
-        return None
+#: Encodings that are tried in turn on all bytes of a file, with the names Spark reads them by.
+ENCODINGS = (("utf-8", "UTF-8"), ("gb18030", "GB18030"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1"))
 
 
-def probe(head: bytes, path: str, whole: bool) -> tuple[str, str, tuple[str, ...]]:
-    """(encoding, separator, headings) from the first bytes of a file."""
-    for encoding, charset in (("utf-8-sig", "UTF-8"), ("gb18030", "GB18030"),
-                              ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1")):
-        text = _decodes(head, encoding, whole)
-        if text is not None:
-            break
-    first = text.splitlines()[0] if text else ""
-    separator = "\t" if path.lower().endswith(".tsv") else max(",\t;|", key=first.count)
-    headings = next(csv.reader([first], delimiter=separator), [])
-    return charset, separator, tuple(h.strip() for h in headings)
+def _decoders(lines: pd.Series) -> pd.Series:
+    """Bit mask of the ``ENCODINGS`` that decode a line; in all of them a line end is one byte of its own."""
+    def mask(line: bytes) -> int:
+        out = 0
+        for k, (name, _) in enumerate(ENCODINGS):
+            try:
+                line.decode(name)
+                out |= 1 << k
+            except UnicodeDecodeError:
+                pass
+        return out
+    return lines.map(mask)
+
+
+def _lines(spark: SparkSession, paths) -> DataFrame:
+    return spark.read.text(list(paths)).select(
+        _plain(F.col("_metadata.file_path")).alias("path"), "value",
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("at"))
+
+
+def probe(spark: SparkSession, paths) -> dict[str, dict]:
+    """Per file, from all its bytes on the executors: ``charset``, ``separator``, ``headings`` and ``multiline``.
+
+    The encoding is the first that decodes every line; only files that are not UTF-8 throughout are looked at twice.
+    A field with a line break shows by a line with an odd number of quotes. One row per file reaches the driver; a file
+    without bytes has none.
+    """
+    raw = F.col("value").cast("binary")
+    quotes = F.length(raw) - F.length(F.replace(F.decode(raw, "ISO-8859-1"), F.lit('"'), F.lit("")))
+    found = _lines(spark, paths).groupBy("path").agg(
+        F.min_by(raw, "at").alias("head"), F.max(quotes % 2).alias("odd"),
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("plain")).collect()
+    other = [p for p in paths if plain_path(p) in {r["path"] for r in found if not r["plain"]}]
+    masks = {}
+    if other:
+        decoders = F.pandas_udf(_decoders, T.IntegerType())
+        masks = dict(_lines(spark, other).select("path", decoders(raw).alias("m")).groupBy("path").agg(
+            F.bit_and("m")).collect())
+    out = {}
+    for r in found:
+        mask = masks.get(r["path"], 1)
+        name, charset = next(e for k, e in enumerate(ENCODINGS) if mask >> k & 1)
+        first = bytes(r["head"]).decode(name, "replace").lstrip("\ufeff").rstrip("\r")
+        separator = "\t" if r["path"].lower().endswith(".tsv") else max(",\t;|", key=first.count)
+        headings = next(csv.reader([first], delimiter=separator), [])
+        out[r["path"]] = {"charset": charset, "separator": separator, "multiline": bool(r["odd"]),
+                          "headings": tuple(h.strip() for h in headings)}
+    return out
 
 
 def _check_extension(path: str) -> None:
@@ -86,35 +120,54 @@ def _check_extension(path: str) -> None:
         raise ValueError(f"unsupported file type: {path!r}; use .csv, .tsv or .txt")
 
 
-def read_exports(spark: SparkSession, paths) -> dict[tuple[str, ...], DataFrame]:
-    """All columns as text, one DataFrame per heading layout.
+class Layout(NamedTuple):
+    """Files with the same headings, read as text."""
+
+    headings: tuple[str, ...]
+    files: list[str]
+    rows: DataFrame
+
+
+def read_layouts(spark: SparkSession, paths, errors: list[dict] | None = None) -> list[Layout]:
+    """All columns as text, one layout per tuple of headings.
 
-    Only the head of each file is probed; files of one encoding, separator and layout form one native
-    scan. Each row keeps its file, the rank of the file in ``paths`` and its position in it.
+    Files of one encoding, separator and layout form one native scan. Each row keeps its file, the rank of the file in
+    ``paths`` and its position in it. A file that cannot be read is added to ``errors`` and left out; without ``errors``
+    it raises.
     """
-    paths = list(paths)
+    good = []
     for p in paths:
-        _check_extension(p)
+        try:
+            _check_extension(p)
+            good.append(p)
+        except ValueError as exc:
+            if errors is None:
+                raise
+            errors.append({"file": p, "error": str(exc)})
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # permits GB18030 in the CSV source
+    found = probe(spark, good) if good else {}
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for p in good:
+        seen = found.get(plain_path(p))
+        if not seen:
+            if errors is not None:
+                errors.append({"file": p, "error": "the file is empty"})
+            continue
+        groups[seen["charset"], seen["separator"], seen["multiline"], seen["headings"]].append(p)
+    ranks = _rank_table(spark, list(paths))
+    by_layout: dict[tuple[str, ...], list] = defaultdict(list)
+    for (charset, separator, multiline, headings), members in groups.items():
+        by_layout[headings].append((members, _read_group(spark, members, charset, separator, multiline, headings, ranks)))
+    return [Layout(h, [p for m, _ in parts for p in m], reduce(lambda a, b: a.unionByName(b), [df for _, df in parts]))
+            for h, parts in by_layout.items()]
 
-    def look(path: str):
-        head = read_bytes(spark, path, PROBE_BYTES)
-        return path, probe(head, path, len(head) < PROBE_BYTES)
 
-    with ThreadPoolExecutor(16) as pool:
-        found = list(pool.map(look, paths))
-    groups: dict[tuple, list[str]] = defaultdict(list)
-    for path, key in found:
-        groups[key].append(path)
-    ranks = _rank_table(spark, paths)
-    by_layout: dict[tuple[str, ...], list[DataFrame]] = defaultdict(list)
-    for (charset, separator, headings), members in groups.items():
-        by_layout[headings].append(_read_group(spark, members, charset, separator, headings, ranks))
-    return {h: reduce(lambda a, b: a.unionByName(b), dfs) for h, dfs in by_layout.items()}
+def read_exports(spark: SparkSession, paths) -> dict[tuple[str, ...], DataFrame]:
+    """The rows of :func:`read_layouts` by headings; a file that cannot be read raises."""
+    return {x.headings: x.rows for x in read_layouts(spark, paths)}
 
 
 def _rank_table(spark: SparkSession, paths) -> DataFrame:
-    from orderflux.functions.dimensions import local_table
     return local_table(spark, f"_path string, {RANK} long", [(plain_path(p), i) for i, p in enumerate(paths)])
 
 
@@ -123,15 +176,19 @@ def plain_path(path: str) -> str:
     return re.sub(r"^[a-z0-9]+:/+", "/", path)
 
 
-def _read_group(spark, members, charset, separator, headings, ranks) -> DataFrame:
+def _plain(path: Column) -> Column:
+    """:func:`plain_path` of a path as file metadata give it."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "/")
+
+
+def _read_group(spark, members, charset, separator, multiline, headings, ranks) -> DataFrame:
+    """Files with line breaks inside quotes are read whole, all others are split."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headings])
     raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
            .option("sep", separator).option("encoding", charset).option("quote", '"').option("escape", '"')
-           .option("mode", "PERMISSIVE").csv(members))
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
-                            r"^[a-z0-9]+:/+", "/")
+           .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(members))
     rows = raw.select(
-        *[F.col(f"`{h}`") for h in headings], path.alias(FILE),
+        *[F.col(f"`{h}`") for h in headings], _plain(F.col("_metadata.file_path")).alias(FILE),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("id")).alias(SEQ))
     rows = rows.join(ranks, F.col(FILE) == F.col("_path"), "left").drop("_path")
@@ -155,16 +212,36 @@ def read_periods(spark: SparkSession, root: str, workbook: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, paths) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of each file's bytes, computed where the files are read."""
-    raw = spark.read.format("binaryFile").load(list(paths))
-    return raw.select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("path"),
-                      F.left(F.sha2("content", 256), F.lit(16)).alias("file_hash"))
+    """(path, file_hash, size, modified): 16 hex digits from the number and two hash sums of each file's lines.
+
+    Files are read in splits of any size; a file with the same lines in another order has the same hash, as has the
+    batch fingerprint. A file without bytes has no row.
+    """
+    raw = spark.read.text(list(paths)).select(
+        _plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.unix_micros("_metadata.file_modification_time").alias("modified"),
+        F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"))
+    sums = raw.groupBy("path", "size", "modified").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "ab"])
+    digest = F.sha2(F.concat_ws(":", "n", "a", "b"), 256)
+    return sums.select("path", F.left(digest, F.lit(16)).alias("file_hash"), "size", "modified")
 
 
 def unprocessed(spark: SparkSession, paths, processed: DataFrame | None) -> DataFrame:
-    """Paths whose content has not been imported."""
-    hashes = file_hashes(spark, paths)
-    return hashes if processed is None else hashes.join(processed, "file_hash", "left_anti")
+    """(path, file_hash, size, modified) of files whose content has not been imported.
+
+    Files whose path, size and modification time are known are not read; only what is new is hashed.
+    """
+    if processed is None:
+        return file_hashes(spark, paths)
+    listed = [(plain_path(p), *stamp) for p, stamp in ((p, file_stamp(spark, p)) for p in paths)]
+    known = {tuple(r) for r in local_table(spark, "path string, size long, modified long", listed).join(
+        processed.select("path", "size", "modified"), ["path", "size", "modified"], "left_semi").collect()}
+    new = [p for p, row in zip(paths, listed) if row not in known]
+    if not new:
+        return file_hashes(spark, paths[:1]).limit(0)
+    return file_hashes(spark, new).join(processed.select("file_hash"), "file_hash", "left_anti").select(
+        "path", "file_hash", "size", "modified")
 
 
 def newest_user_list(spark: SparkSession, pattern: str) -> DataFrame:

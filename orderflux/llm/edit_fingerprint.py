@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType
 
 from orderflux.llm.common import col, stable, text_of
 
@@ -18,7 +18,7 @@ LIKENESS = 0.8
 #: Steps after which the random walk's choices repeat, and classes of characters that share them.
 PERIOD, CLASSES = 1 << 12, 256
 #: Characters whose steps are held at once, and texts on the way below which each goes alone.
-CELLS, FEW = 1 << 22, 32
+CELLS, FEW = 1 << 20, 24
 _rng = np.random.default_rng(20)
 #: moves[c, s]: whether the walk leaves a character of class c at step s.
 _MOVES = _rng.integers(0, 2, (CLASSES, PERIOD), np.uint8).astype(bool)
@@ -111,7 +111,7 @@ def fingerprints(texts: list[str]) -> list[bytes]:
 
 @F.pandas_udf(BinaryType())
 def fingerprint(texts: pd.Series) -> pd.Series:
-    """Texts are taken by some four million characters at once, or alone where longer."""
+    """Texts are taken by some million characters at once, or alone where longer."""
     texts, out, at, size = texts.tolist(), [], 0, 0
     for k, text in enumerate(texts):
         if k > at and size + len(text) > CELLS:
@@ -140,13 +140,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(col(id_col).cast("double").alias("v")).approxQuantile(
         "v", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    cuts = spark.sparkContext.broadcast(np.unique(np.array(cuts, float)))
-
-    @F.pandas_udf(LongType())
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(cuts.value, ids.to_numpy(float))))
-
-    rows = rows.withColumn("range", place(F.col("doc_id").cast("double")))
+    # Plain numbers rather than a UDF: a Python worker for them alone would take memory from the fingerprints.
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
+    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(
+        F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))).cast("bigint"))
     top = rows.groupBy("range").agg(F.max(F.struct("doc_id", "mark")).alias("top")).orderBy("range").collect()
     goes = [(r["range"], r["top"]["doc_id"], r["top"]["mark"], top[(k + 1) % len(top)]["range"])
             for k, r in enumerate(top)]

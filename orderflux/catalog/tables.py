@@ -18,7 +18,7 @@ from orderflux.plans import imports as I
 from orderflux.session import ensure_checkpoint_dir
 from orderflux.sources import files as S
 from orderflux.sources.orders import orders_fact, table
-from orderflux.sources.storage import MONTH, glob_paths, manifest
+from orderflux.sources.storage import MONTH, glob_paths, manifest, rename
 from orderflux.streaming.ingest import ingest_folder
 
 
@@ -29,7 +29,8 @@ def scratch(spark: SparkSession) -> str:
 def _export(df: DataFrame, folder: str, encoding: str = "UTF-8", sep: str = ",") -> None:
     df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
     (df.write.mode("overwrite").option("header", True).option("encoding", encoding).option("sep", sep)
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder))
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(folder))
 
 
 @register("S1_S2_S5_read_exports", """
@@ -50,18 +51,94 @@ def s1(spark, d):
                        F.col("用户ID").alias("user_id"), source.alias("source"))
 
 
-@register("S7_unprocessed_files", "SELECT 4 AS files, 1 AS done, 3 AS left_over")
+@register("S7_unprocessed_files", """
+SELECT 'file' || (o_orderkey % 4) AS file, count(*) AS rows, sum(o_orderkey) AS ids FROM orders
+WHERE o_orderkey % 4 > 0 GROUP BY 1
+""")
 def s7(spark, d):
+    """What is left when the first of four files is known; its rows, read back."""
     base, raw = scratch(spark), raw_export(spark, d)
     for i in range(4):
-        _export(raw.filter(F.col("_file") == f"file{i}").drop("_file").coalesce(1), f"{base}/{i}")
+        _export(raw.filter(F.col("_file") == f"file{i}").drop("_file").coalesce(1), f"{base}/file{i}")
     paths = glob_paths(spark, f"{base}/*/*.csv")
-    hashes = S.file_hashes(spark, paths)
-    done = hashes.orderBy("path").limit(1)
-    left = S.unprocessed(spark, paths, done.select("file_hash"))
-    return hashes.agg(F.count(F.lit(1)).alias("files")).select(
-        "files", done.select(F.count(F.lit(1))).scalar().alias("done"),
-        left.select(F.count(F.lit(1))).scalar().alias("left_over"))
+    done = S.file_hashes(spark, paths).orderBy("path").limit(1)
+    left = [r["path"] for r in S.unprocessed(spark, paths, done).orderBy("path").collect()]
+    rows = next(iter(S.read_exports(spark, left).values()))
+    file = F.regexp_extract(F.col(S.FILE), r"/(file\d)/[^/]*$", 1)
+    return rows.groupBy(file.alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("订单号").cast("bigint")).alias("ids"))
+
+
+@register("S3_period_folders", """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN '2' ELSE '1' END AS coupon
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0
+""")
+def s3(spark, d):
+    """Two period folders that count and one that does not; the later row of an order stays."""
+    base, raw = scratch(spark), raw_export(spark, d).drop("_file")
+    k = F.regexp_replace("订单号", "\t", "").cast("bigint")
+    for folder, rows, mark in (("whole a", k % 2 == 0, "1"), ("whole b", k % 3 == 0, "2"), ("draft", F.lit(True), "3")):
+        _export(raw.filter(rows).withColumn("优惠券金额", F.lit(mark)), f"{base}/book/{folder}")
+    return S.read_periods(spark, base, "book").select(
+        F.col("订单号").alias("order_id"), F.col("优惠券金额").alias("coupon"))
+
+
+@register("S9_newest_user_list", """
+SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_mktsegment AS source FROM customer WHERE c_custkey % 2 = 0
+""")
+def s9(spark, d):
+    """The list whose name sorts last, ids without the ending a spreadsheet adds."""
+    from orderflux.plans.customers import clean_user_list
+    base, c = scratch(spark), table(spark, d, "customer")
+    users = c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(".0")).alias("ID"),
+                     F.lit("2026-01-01").alias("注册时间"), F.col("c_mktsegment").alias("来源国家"),
+                     F.lit("x").alias("会员来源"))
+    for name, rows in (("users 1", users), ("users 2", users.filter(F.col("ID").cast("double") % 2 == 0))):
+        _export(rows.coalesce(1), f"{base}/{name}")
+        old = glob_paths(spark, f"{base}/{name}/*.csv")[0]
+        rename(spark, old, f"{base}/{name}.csv")
+    return clean_user_list(S.newest_user_list(spark, f"{base}/*.csv"), "ID").select(
+        "user_id", F.col("来源国家").alias("source"))
+
+
+@register("S6_C2_mixed_delivery", """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'B2B' ELSE 'B2C' END AS segment,
+  strftime(o_orderdate + INTERVAL 13 HOUR, '%Y-%m-%d %H:%M:%S') AS order_time,
+  CASE WHEN o_orderkey % 3 = 1 THEN 'two' || chr(10) || 'lines, "quoted"' END AS remark
+FROM orders
+""")
+def s6(spark, d):
+    """A master folder with an agent file, a file of quoted line breaks, one of 12-hour dates and one without an order id."""
+    data, root, o = scratch(spark), scratch(spark), table(spark, d, "orders")
+    k, stamp = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    common = [k.cast("string").alias("订单号"), F.lit("1").alias("售价")]
+    parts = {
+        "agents": o.filter(k % 3 == 0).select(*common, F.concat(stamp, F.lit(" 13:00:00")).alias("订单时间"),
+                                              F.lit("A").alias("代理商名称"), F.lit("B").alias("批次号")),
+        "lines": o.filter(k % 3 == 1).select(*common, F.concat(stamp, F.lit(" 13:00:00")).alias("订单时间"),
+                                             F.lit("7").alias("用户ID"), F.lit('two\nlines, "quoted"').alias("备注")),
+        "hours": o.filter(k % 3 == 2).select(
+            *common, F.concat(F.date_format("o_orderdate", "M/d/yyyy"), F.lit(" 1:00:00 PM")).alias("订单时间"),
+            F.lit("7").alias("用户ID")),
+        "broken": o.select(k.cast("string").alias("no order id"))}
+    for name, rows in parts.items():
+        _export(rows.coalesce(1), f"{data}/{name}")
+        rename(spark, glob_paths(spark, f"{data}/{name}/*.csv")[0], f"{data}/Master Data/{name}.csv")
+    done = I.import_new_daily(spark, data, root, dry_run=False)
+    assert len(done["errors"]) == 1
+    remark = F.col("备注") if "备注" in I.read_fact(spark, root).columns else F.lit(None).cast("string")
+    return I.read_fact(spark, root).select("order_id", "segment", "order_time", remark.alias("remark"))
+
+
+@register("A8_import_status", f"""
+WITH raw AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS t FROM orders
+  WHERE o_orderkey % 77 <> 0 AND o_orderkey % 50 <> 0)
+SELECT 'master' AS segment, count(*) AS rows, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS latest, 0::BIGINT AS fact_stale FROM raw
+""")
+def a8_status(spark, d):
+    root = scratch(spark)
+    _two_batches(spark, d, root)
+    return I.import_status(spark, root)
 
 
 def _two_batches(spark: SparkSession, d: str, root: str) -> None:
@@ -121,9 +198,9 @@ def k5(spark, d):
 
 
 @register("K8_full_rebuild", f"""
-WITH {_TWO} SELECT strftime(t, '%Y-%m') AS order_month, count(*) AS orders, sum(sales) AS sales
-FROM good GROUP BY 1
-""", "sales:2")
+WITH {_TWO} SELECT strftime(t, '%Y-%m') AS order_month, count(*) AS orders, sum(sales) AS sales,
+  sum(CASE WHEN k % 3 = 0 THEN 1000.0 ELSE 0.0 END) AS coupons FROM good GROUP BY 1
+""", "sales:2 coupons:2")
 def k8(spark, d):
     """History first, daily files later; the later row of an order wins."""
     data, root, raw = scratch(spark), scratch(spark), raw_export(spark, d)
@@ -134,8 +211,9 @@ def k8(spark, d):
     history = {"master": ["History/*.csv", "Master Data (RM)/part/*.csv", "Master Data/part/*.csv"]}
     I.full_rebuild(spark, data, root, history, dry_run=False)
     fact = I.read_fact(spark, root, [MONTH, "order_id", "sales", "coupon_amount"])
-    return fact.filter("coupon_amount <> 9").groupBy(MONTH).agg(
-        F.count("order_id").alias("orders"), F.sum(F.coalesce("sales", F.lit(0.0))).alias("sales"))
+    return fact.groupBy(MONTH).agg(
+        F.count("order_id").alias("orders"), F.sum(F.coalesce("sales", F.lit(0.0))).alias("sales"),
+        F.sum("coupon_amount").alias("coupons"))
 
 
 @register("S4_pruned_read", """
@@ -176,27 +254,31 @@ WITH {_TWO} SELECT status AS order_status, count(*) AS orders, sum(sales) AS sal
 WHERE c % 3 < 2 OR c % 3 > 0 GROUP BY 1
 """, "sales:2")
 def t1(spark, d):
-    """Two drops into a watched folder, the second restating orders, and one run with nothing new."""
+    """Two drops into a watched folder, the second restating orders, and one run with nothing new.
+
+    The second drop has its columns in another order and is in GB18030.
+    """
     base, raw = scratch(spark), raw_export(spark, d)
     k = F.col("用户ID").cast("bigint")
-    headings = [c for c in raw.columns if c != "_file"]
     later = raw.withColumn("订单状态", F.when(k % 7 == 0, "已退款").otherwise(F.col("订单状态")))
+    later = later.select(*reversed(later.columns))
     iso = F.regexp_replace("订单时间", r"^(\d\d)/(\d\d)/(\d{4})", "$3-$2-$1")
-    for name, rows in (("one", raw.filter(k % 3 < 2)), ("two", later.filter(k % 3 > 0))):
-        _export(rows.withColumn("订单时间", iso).drop("_file").coalesce(4), f"{base}/in/{name}")
-        ingest_folder(spark, f"{base}/in/*", headings, f"{base}/db", f"{base}/state")
-    ingest_folder(spark, f"{base}/in/*", headings, f"{base}/db", f"{base}/state")
+    for name, rows, encoding in (("one", raw.filter(k % 3 < 2), "UTF-8"), ("two", later.filter(k % 3 > 0), "GB18030")):
+        _export(rows.withColumn("订单时间", iso).drop("_file").coalesce(4), f"{base}/in/{name}", encoding)
+        ingest_folder(spark, f"{base}/in/*", f"{base}/db", f"{base}/state")
+    ingest_folder(spark, f"{base}/in/*", f"{base}/db", f"{base}/state")
     return I.read_fact(spark, f"{base}/db").groupBy("order_status").agg(
         F.count("order_id").alias("orders"), F.sum(F.coalesce("sales", F.lit(0.0))).alias("sales"))
 
 
 @register("T3_streaming_event_counts", """
-SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(value) AS value
-FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events) GROUP BY 1, 2
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(value) AS value,
+  CASE WHEN CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events) THEN 0 ELSE 1 END::BIGINT AS open
+FROM events GROUP BY 1, 2, 5
 """, "value:2")
 def t3s(spark, d):
-    """The event counts as a stream: days closed by the watermark are appended to a table."""
-    from orderflux.streaming.ingest import daily_event_counts
+    """The event counts as a stream: days closed by the watermark are appended to a table, the others counted beside."""
+    from orderflux.streaming.ingest import daily_event_counts, with_open_days
     base = scratch(spark)
     events = table(spark, d, "events")
     events.write.parquet(f"{base}/in")
@@ -204,4 +286,4 @@ def t3s(spark, d):
     query = (counts.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{base}/out")
+    return with_open_days(spark.read.schema(counts.schema).parquet(f"{base}/out"), events)

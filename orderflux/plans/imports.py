@@ -229,7 +229,7 @@ class Read(NamedTuple):
     rows: Cleaned
 
 
-def _clean_all(spark: SparkSession, paths) -> tuple[list[Read], list[dict]]:
+def clean_files(spark: SparkSession, paths) -> tuple[list[Read], list[dict]]:
     """Cleaned files by layout, each in the segment that its own headings tell, and the files that cannot be read."""
     out, errors = [], []
     for x in S.read_layouts(spark, paths, errors):
@@ -276,7 +276,7 @@ def import_new_daily(spark: SparkSession, data_root: str, root: str, dry_run: bo
     chosen = [p for p in paths if S.plain_path(p) in hashes]
     if not chosen:
         return summary
-    reads, summary["errors"] = _clean_all(spark, chosen)
+    reads, summary["errors"] = clean_files(spark, chosen)
     for segment in SEGMENTS:
         own = [r for r in reads if r.segment == segment]
         if not own:
@@ -302,7 +302,7 @@ def full_rebuild(spark: SparkSession, data_root: str, root: str, history=None, d
     """
     out: dict = {"applied": False}
     paths = [p for s in SEGMENTS for p in S.discover(spark, data_root, s, (history or {}).get(s, ()))]
-    reads, errors = _clean_all(spark, paths) if paths else ([], [])
+    reads, errors = clean_files(spark, paths) if paths else ([], [])
     for segment in SEGMENTS:
         own = [r for r in reads if r.segment == segment]
         if not own:

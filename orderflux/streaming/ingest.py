@@ -8,38 +8,42 @@ and win whenever they arrive, so there is no watermark here.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from orderflux.operators.cleaning import clean
-from orderflux.plans.imports import append_batch
-from orderflux.sources.files import FILE, RANK, SEQ, detect_stream, segment_of
-
-
-def ingest_folder(spark: SparkSession, folder: str, headings, root: str, checkpoint: str,
-                  name: str = "stream", max_files: int = 100, separator: str = ","):
-    """Import the files of a watched folder that have not been seen, then stop."""
-    headings = [h.strip() for h in headings]
-    stream = detect_stream(headings)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in headings])
-    source = (spark.readStream.schema(schema).option("header", True).option("sep", separator)
-              .option("maxFilesPerTrigger", max_files).csv(folder))
-    source = source.select(
-        *[F.col(f"`{h}`") for h in headings], F.col("_metadata.file_path").alias(FILE),
-        F.unix_micros("_metadata.file_modification_time").alias(RANK),
-        F.col("_metadata.file_block_start").alias("_block"))
+
+from orderflux.plans.imports import SEGMENTS, append_batch, clean_files
+
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def ingest_folder(spark: SparkSession, folder: str, root: str, checkpoint: str, name: str = "stream",
+                  max_files: int = 100):
+    """Import the files of a watched folder that have not been seen, then stop.
+
+    The stream carries the names of new files, not their bytes. Each micro-batch reads its files as the daily import
+    does: by their own encoding, separator and headings, and into the segment these tell. Files that cannot be
+    read are listed in ``root``/errors.
+    """
+    source = (spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", max_files).load(folder)
+              .select("path", F.unix_micros("modificationTime").alias("modified")))
 
     def load(batch: DataFrame, _: int) -> None:
-        held = batch.select(FILE, RANK).distinct().orderBy(FILE).collect()      # at most max_files
+        held = [tuple(r) for r in batch.orderBy("modified", "path").collect()]       # at most max_files
         if not held:
             return
-        batch_id = hashlib.sha256(repr([tuple(r) for r in held]).encode()).hexdigest()[:16]
-        place = F.struct(FILE, "_block", F.monotonically_increasing_id().alias("id"))
-        done = clean(batch.withColumn(SEQ, place).drop("_block"), stream)
-        append_batch(batch.sparkSession, root, done.good, segment_of(stream), f"{name}-{batch_id}",
-                     done.quarantined)
+        session = batch.sparkSession
+        batch_id = hashlib.sha256(repr(sorted(held)).encode()).hexdigest()[:16]
+        reads, errors = clean_files(session, [path for path, _ in held])
+        for segment in SEGMENTS:
+            own = [r.rows for r in reads if r.segment == segment]
+            if own:
+                append_batch(session, root, _union(r.good for r in own), segment, f"{name}-{batch_id}",
+                             _union(r.quarantined for r in own))
+        if errors:
+            rows = session.createDataFrame([(e["file"], e["error"]) for e in errors], "file string, error string")
+            rows.write.mode("overwrite").json(f"{root}/errors/run={name}-{batch_id}")
 
     query = (source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
@@ -47,6 +51,18 @@ def ingest_folder(spark: SparkSession, folder: str, headings, root: str, checkpo
     return query
 
 
+def _union(frames) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def with_open_days(closed: DataFrame, events: DataFrame) -> DataFrame:
+    """Counts of the days a stream has closed, and of those still open from the events; ``open`` tells them apart."""
+    last = closed.select(F.max("day")).scalar()
+    day = F.col("ts").cast("timestamp").cast("date")
+    still = daily_event_counts(events.where(F.coalesce(day > last, F.lit(True))))
+    return closed.withColumn("open", F.lit(False)).unionByName(still.withColumn("open", F.lit(True)))
+
+
 def daily_event_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Events per day and type; on a stream the state of a day is dropped ``delay`` after it."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -157,15 +157,15 @@ def test_full_rebuild_equals_incremental(spark, tmp_path):
 def test_streaming_ingest_is_incremental_and_replay_safe(spark, tmp_path):
     folder, root, ckpt = tmp_path / "in", str(tmp_path / "db"), str(tmp_path / "ckpt")
     write(folder / "1.csv", MASTER, [master_row("1"), master_row("2")])
-    ingest_folder(spark, str(folder), MASTER, root, ckpt)
+    ingest_folder(spark, str(folder), root, ckpt)
     assert I.read_fact(spark, root).count() == 2
     write(folder / "2.csv", MASTER, [master_row("2", status="已退款"), master_row("3")])
-    ingest_folder(spark, str(folder), MASTER, root, ckpt)
+    ingest_folder(spark, str(folder), root, ckpt)
     rows = {r["order_id"]: r["order_status"] for r in I.read_fact(spark, root).collect()}
     assert rows == {"1": "充值成功", "2": "已退款", "3": "充值成功"}
     version = manifest(spark, f"{root}/store/master")["version"]
-    ingest_folder(spark, str(folder), MASTER, root, ckpt)               # nothing new
-    ingest_folder(spark, str(folder), MASTER, root, str(tmp_path / "lost"), max_files=1)   # ids replayed
+    ingest_folder(spark, str(folder), root, ckpt)               # nothing new
+    ingest_folder(spark, str(folder), root, str(tmp_path / "lost"), max_files=1)   # ids replayed
     assert manifest(spark, f"{root}/store/master")["version"] == version
     assert I.read_audit(spark, root).count() == 2
 
@@ -187,3 +187,78 @@ def test_batch_of_rejected_rows_only(spark, tmp_path):
     write(data / "Master Data" / "b.csv", MASTER, [master_row("3")])
     I.import_new_daily(spark, str(data), root, dry_run=False)
     assert I.read_fact(spark, root).count() == 1
+
+
+def test_bad_files_do_not_hold_up_the_others(spark, tmp_path):
+    data, root = tmp_path / "data", str(tmp_path / "db")
+    write(data / "Master Data" / "a.csv", MASTER, [master_row("1")])
+    write(data / "Master Data" / "b.csv", ["x", "y"], [["1", "2"]])
+    write(data / "Master Data" / "c.csv", AGENT, [agent_row("900")])
+    done = I.import_new_daily(spark, str(data), root, dry_run=False)
+    assert [e["file"].rsplit("/", 1)[1] for e in done["errors"]] == ["b.csv"]
+    rows = {r["order_id"]: r["segment"] for r in I.read_fact(spark, root).collect()}
+    assert rows == {"1": "B2C", "900": "B2B"}
+    write(data / "Master Data" / "b.csv", MASTER, [master_row("2")])
+    I.import_new_daily(spark, str(data), root, dry_run=False)
+    assert {r["order_id"] for r in I.read_fact(spark, root).collect()} == {"1", "2", "900"}
+
+
+def test_late_bytes_decide_the_encoding_and_quoted_lines_stay_whole(spark, tmp_path):
+    rows = [master_row(str(k), country="Egypt") for k in range(20_000)] + [master_row("last", country="埃及")]
+    write(tmp_path / "a.csv", MASTER, rows, "gb18030")
+    (tmp_path / "b.csv").write_text(",".join(MASTER) + "\n" + ",".join(
+        '"line one\nline two"' if h == "国家" else "7" for h in MASTER) + "\n")
+    got = next(iter(S.read_exports(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).values()))
+    assert (tmp_path / "a.csv").stat().st_size > 1 << 20
+    assert [r["国家"] for r in got.where("`订单号` = 'last'").collect()] == ["埃及"]
+    assert [r["国家"] for r in got.where("`订单号` = '7' and `售价` = '7'").collect()] == ["line one\nline two"]
+    assert got.count() == 20_002
+
+
+def test_rebuild_forgets_files_that_were_absent(spark, tmp_path):
+    data, root = tmp_path / "data", str(tmp_path / "db")
+    write(data / "Master Data" / "a.csv", MASTER, [master_row("1")])
+    write(data / "Master Data" / "b.csv", MASTER, [master_row("2")])
+    I.import_new_daily(spark, str(data), root, dry_run=False)
+    text = (data / "Master Data" / "b.csv").read_bytes()
+    (data / "Master Data" / "b.csv").unlink()
+    I.full_rebuild(spark, str(data), root, dry_run=False)
+    assert I.read_fact(spark, root).count() == 1
+    (data / "Master Data" / "b.csv").write_bytes(text)
+    I.import_new_daily(spark, str(data), root, dry_run=False)
+    assert I.read_fact(spark, root).count() == 2
+
+
+def test_two_writers_lose_no_row(spark, tmp_path, monkeypatch):
+    from orderflux.sources import storage
+    table = str(tmp_path / "t")
+    rows = [spark.createDataFrame([(k, "2026-01")], f"id long, {storage.MONTH} string") for k in range(3)]
+    storage.write_months(rows[0], table, months=[])
+    real = storage.create_text
+
+    def late(session, path, text):
+        """The other writer publishes while this one has only written its files."""
+        monkeypatch.setattr(storage, "create_text", real)
+        storage.write_months(rows[2], table, replace=True)
+        real(session, path, text)
+    monkeypatch.setattr(storage, "create_text", late)
+    try:
+        storage.write_months(rows[1], table, replace=True)
+        raise AssertionError
+    except AssertionError:
+        raise
+    except Exception as exc:
+        assert "exist" in str(exc).lower()
+    assert [r["id"] for r in storage.read_months(spark, table).collect()] == [2]
+
+
+def test_stream_reads_each_file_by_its_own_headings(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "db")
+    write(folder / "1.csv", MASTER, [master_row("1", paid="10", listed="12")])
+    write(folder / "2.csv", MASTER[::-1], [master_row("2", paid="10", listed="12")[::-1]], "gb18030")
+    write(folder / "3.csv", AGENT, [agent_row("900")], "gb18030", ";")
+    write(folder / "4.csv", ["nothing"], [["x"]])
+    ingest_folder(spark, str(folder), root, str(tmp_path / "ckpt"))
+    rows = {r["order_id"]: (r["sales_paid"], r["sales_listed"], r["country"]) for r in I.read_fact(spark, root).collect()}
+    assert rows["1"] == rows["2"] == (10.0, 12.0, "Egypt") and rows["900"][2] == "Indonesia"
+    assert spark.read.json(f"{root}/errors").count() == 1

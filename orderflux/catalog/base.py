@@ -76,10 +76,7 @@ def oracle(query: Query) -> str | None:
 
 # --- the fact in SQL -------------------------------------------------------
 
-_SNAPSHOT = {}
-for _line in V.SNAPSHOT_RATES.strip().splitlines():
-    _country, _symbol, _iso, _rate = _line.split("|")
-    _SNAPSHOT[_iso] = float(_rate)
+_SNAPSHOT = {iso: rate for _, _, iso, rate in V.SNAPSHOT_RATES}
 
 
 def _text(value) -> str:

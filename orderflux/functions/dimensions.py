@@ -28,11 +28,7 @@ def local_table(spark: SparkSession, schema: str, rows) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _region_by_market() -> dict[str, str]:
-    return {
-        " ".join(market.split()): region
-        for region, markets in V.REGION_MARKETS.items()
-        for market in markets.split(",")
-    }
+    return {market: region for region, markets in V.REGION_MARKETS.items() for market in markets}
 
 
 @lru_cache(maxsize=4)
@@ -84,9 +80,7 @@ def category_classes(spark: SparkSession) -> DataFrame:
 
 def fx_snapshot(spark: SparkSession) -> DataFrame:
     """country, symbol, iso, rate – the indicative rates."""
-    rows = [line.split("|") for line in V.SNAPSHOT_RATES.strip().splitlines()]
-    return local_table(spark, "country string, symbol string, iso string, rate double",
-                       [(c, s, i, float(r)) for c, s, i, r in rows])
+    return local_table(spark, "country string, symbol string, iso string, rate double", V.SNAPSHOT_RATES)
 
 
 # --- lookups ---------------------------------------------------------------

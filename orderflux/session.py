@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "orderflux") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
@@ -23,15 +27,22 @@ def local_session(cpus: int | str = 8, app: str = "orderflux") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only when unset."""
+    """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session that runs in one local process gets a temporary one, which goes when the process ends;
+    on a cluster that is an error, because executors would not share it.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="orderflux-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from orderflux.session import stable
 FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "tenure_days", "days_since_reg",
             "recent_3m_orders", "revenue_30d", "interval_mean", "interval_std"]
 MIN_USERS, MIN_TRAIN, MIN_CLASS, FOLDS, SEED = 30, 40, 5, 5, 42
+DEEPEST = 30                                            # Spark ML's limit; the depth is free otherwise
 OMITTED = "Extra Trees has no Spark ML counterpart"
 
 
@@ -91,15 +92,16 @@ def training_set(df: DataFrame, churn_days: int = 60, today: datetime | None = N
         "churn", F.col("_later").isNull().cast("int")).drop("_later")
 
 
-def _models(trees: int, rounds: int) -> dict:
+def _models(trees: int, rounds: int, rows: int) -> dict:
+    """Pipelines by name. The penalty of the regression is that of C = 1 over ``rows`` rows."""
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="raw")
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
     common = {"labelCol": "churn"}
     return {
         "Logistic Regression": Pipeline(stages=[assemble, scale, LogisticRegression(
-            featuresCol="scaled", weightCol="weight", maxIter=100, regParam=1e-4, **common)]),
+            featuresCol="scaled", weightCol="weight", maxIter=100, regParam=1.0 / max(1, rows), **common)]),
         "Random Forest": Pipeline(stages=[assemble, RandomForestClassifier(
-            featuresCol="raw", weightCol="weight", numTrees=trees, maxDepth=10, seed=SEED, **common)]),
+            featuresCol="raw", weightCol="weight", numTrees=trees, maxDepth=DEEPEST, seed=SEED, **common)]),
         "Gradient Boosting": Pipeline(stages=[assemble, GBTClassifier(
             featuresCol="raw", maxIter=rounds, maxDepth=3, stepSize=0.05, seed=SEED, **common)]),
     }
@@ -139,12 +141,18 @@ def risk_tier(probability: Column) -> Column:
             .otherwise("High Risk"))
 
 
+def _parts(rows: int) -> int:
+    """Partitions for repeated passes over a training set; boosting runs hundreds of short jobs."""
+    return 1 + rows // 50_000
+
+
 def forest_importance(train: DataFrame, trees: int = 200) -> DataFrame:
     """Feature importances of the random forest fitted to a training set, largest first."""
     counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum("churn").alias("c")).first()
     weight = F.when(F.col("churn") == 1, counts["n"] / (2.0 * max(counts["c"], 1))).otherwise(
         counts["n"] / (2.0 * max(counts["n"] - counts["c"], 1)))
-    fitted = _models(trees, 1)["Random Forest"].fit(train.fillna(0.0, FEATURES).withColumn("weight", weight))
+    fitted = _models(trees, 1, counts["n"])["Random Forest"].fit(
+        train.fillna(0.0, FEATURES).withColumn("weight", weight).coalesce(_parts(counts["n"])))
     return _importance(train.sparkSession, fitted)
 
 
@@ -171,10 +179,13 @@ def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds:
     if users < MIN_USERS or size["n"] < MIN_TRAIN or min(size["churned"], kept) < MIN_CLASS:
         return None
     weight = F.when(F.col("churn") == 1, size["n"] / (2.0 * size["churned"])).otherwise(size["n"] / (2.0 * kept))
-    train = train.withColumn("weight", weight).withColumn(
-        "fold", F.pmod(F.xxhash64(F.col("user_id"), F.lit(SEED)), F.lit(folds)))
+    # Folds are dealt within each class, in the order of a hash of the user.
+    hashed = train.withColumn("weight", weight).withColumn(
+        "_h", F.xxhash64(F.col("user_id"), F.lit(SEED)).cast("double"))
+    train = stable(running_totals(hashed, "_h", ["churn"], rank="_rank").withColumn(
+        "fold", F.pmod(F.col("_rank") - 1, F.lit(folds))).drop("_h", "_rank", "cumulative").coalesce(_parts(size["n"])))
     scores, fitted = None, {}
-    for name, pipeline in _models(trees, rounds).items():
+    for name, pipeline in _models(trees, rounds, size["n"]).items():
         for fold in range(folds):
             model = pipeline.fit(train.filter(F.col("fold") != fold))
             part = _scored(model, train.filter(F.col("fold") == fold)).select(

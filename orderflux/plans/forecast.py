@@ -2,26 +2,26 @@
 
 The fact is reduced to daily series in Spark. A series holds one row per calendar day, so the closed-form
 ridge, the baseline and the recursive forecasts run per series inside one task each, many series in parallel.
-The tree models are fitted and validated by Spark ML; their nodes travel to the series for the recursion.
+The tree models are fitted and validated by Spark ML and asked for one day after the other: 63 single predictions a
+model, on the 28 latest days.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import ratio
 from orderflux.plans.series import daily_series, model_features, seasonal_baseline
-from orderflux.session import ensure_checkpoint_dir, stable
+from orderflux.session import stable
 
 FEATURES = ["t", "lag1", "lag7", "lag14", "roll7", "roll28", "dow_sin", "dow_cos", "is_weekend",
             "month_sin", "month_cos"]
@@ -113,61 +113,26 @@ def accuracy(rows: DataFrame, *by: str) -> DataFrame:
 
 # --- tree models -----------------------------------------------------------
 
+#: Spark ML's limit; the depth is free otherwise.
+DEEPEST = 30
+
+
 def _tree(name: str, trees: int):
     if name == "Gradient Boosting":
         return GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.9, seed=42)
-    return RandomForestRegressor(numTrees=trees, maxDepth=12, minInstancesPerNode=2, seed=42)
-
-
-class _Forest(NamedTuple):
-    """Nodes of all trees in flat arrays; a leaf has feature -1."""
-
-    roots: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    value: np.ndarray
-    weights: np.ndarray
-
-    def predict(self, row: np.ndarray) -> float:
-        at = self.roots.copy()
-        while (inner := self.feature[at] >= 0).any():
-            down = row[self.feature[at]] <= self.threshold[at]
-            at = np.where(inner, np.where(down, self.left[at], self.right[at]), at)
-        return float(self.value[at] @ self.weights)
-
-
-def _forest(model, spark) -> _Forest:
-    """Nodes of a fitted model, through its own writer. Their number depends on the model, not on the data."""
-    path = f"{ensure_checkpoint_dir(spark)}/orderflux-model-{uuid.uuid4().hex}"
-    model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        F.when(F.col("nodeData.leftChild") >= 0, F.col("nodeData.split.featureIndex")).otherwise(-1).alias("f"),
-        F.coalesce(F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0)).alias("t"),
-    ).orderBy("treeID", "id").toPandas()
-    roots = np.flatnonzero(nodes["id"].to_numpy() == 0)
-    base = roots[nodes["treeID"].to_numpy()]
-    weights = np.array(model.treeWeights, dtype=float)
-    if isinstance(model, RandomForestRegressionModel):
-        weights = weights / weights.sum()
-    return _Forest(roots, base + nodes["leftChild"].to_numpy(), base + nodes["rightChild"].to_numpy(),
-                   nodes["f"].to_numpy(), nodes["t"].to_numpy(), nodes["prediction"].to_numpy(), weights)
-
-
-def _tree_paths(pdf: pd.DataFrame, forests: dict[str, _Forest], horizon_days: int) -> pd.DataFrame:
-    """Recursive forecast of each tree model for one series, each on its own path."""
-    pdf = pdf.sort_values("day")
-    last, values, out = pd.Timestamp(pdf["day"].iloc[-1]), pdf["revenue"].to_numpy(float), []
-    for name, forest in forests.items():
-        path = list(values[-28:])
-        for step in range(1, horizon_days + 1):
-            day = last + pd.Timedelta(days=step)
-            row = _features(np.array(path[-28:]), len(values) + step - 1, day)
-            path.append(max(0.0, np.expm1(forest.predict(row))))
-            out.append(("forecast", day.date(), name, np.nan, path[-1]))
-    return pd.DataFrame(out, columns=["kind", "day", "model", "actual", "predicted"])
+    return RandomForestRegressor(numTrees=trees, maxDepth=DEEPEST, minInstancesPerNode=2,
+                                 featureSubsetStrategy="all", seed=42)
+
+
+def _tree_path(model, tail: list[tuple], n: int, horizon_days: int) -> list[tuple]:
+    """Recursive forecast of one fitted model: (day, predicted) from the last 28 days of a series of ``n`` days."""
+    last, path, out = pd.Timestamp(tail[-1][0]), [v for _, v in tail], []
+    for step in range(1, horizon_days + 1):
+        day = last + pd.Timedelta(days=step)
+        row = _features(np.array(path[-28:]), n + step - 1, day)
+        path.append(max(0.0, float(np.expm1(model.predict(Vectors.dense(row))))))
+        out.append((day.date(), path[-1]))
+    return out
 
 
 def tree_forecasts(series: DataFrame, horizon_weeks: int = 8, trees: int = 300) -> tuple[DataFrame, np.ndarray]:
@@ -176,7 +141,9 @@ def tree_forecasts(series: DataFrame, horizon_weeks: int = 8, trees: int = 300)
     rows = stable(VectorAssembler(inputCols=FEATURES, outputCol="features")
                   .transform(model_features(series)).withColumn("_i", F.col("t") - OFFSET)
                   .coalesce(1))                     # one row per calendar day
-    folds, tests, forests, importance = fold_bounds(rows.count()), [], {}, None
+    folds, tests, paths, importance = fold_bounds(rows.count()), [], [], None
+    n, horizon = series.count(), horizon_weeks * 7 + 7
+    tail = [(r["day"], float(r["revenue"])) for r in series.orderBy(F.desc("day")).limit(28).collect()][::-1]
     for name in TREES:
         for start, end in folds:
             model = _tree(name, trees).fit(rows.filter(F.col("_i") < start))
@@ -185,14 +152,11 @@ def tree_forecasts(series: DataFrame, horizon_weeks: int = 8, trees: int = 300)
                 F.lit("validation").alias("kind"), "day", F.lit(name).alias("model"),
                 F.col("revenue").alias("actual"), F.greatest(F.lit(0.0), F.expm1("prediction")).alias("predicted")))
         final = _tree(name, trees).fit(rows)
-        forests[name] = _forest(final, spark)
+        paths += [("forecast", day, name, None, v) for day, v in _tree_path(final, tail, n, horizon)]
         if name == "Random Forest":
             importance = final.featureImportances.toArray()
-    horizon = horizon_weeks * 7 + 7
-    paths = series.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(
-        lambda pdf: _tree_paths(pdf, forests, horizon),
-        "kind string, day date, model string, actual double, predicted double")
-    return reduce(lambda a, b: a.unionByName(b), [*tests, paths]), importance
+    future = spark.createDataFrame(paths, "kind string, day date, model string, actual double, predicted double")
+    return reduce(lambda a, b: a.unionByName(b), [*tests, future]), importance
 
 
 # --- the whole forecast ----------------------------------------------------

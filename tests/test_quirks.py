@@ -166,12 +166,14 @@ def test_rates_by_currency_and_country(spark):
     rates = spark.createDataFrame([("MYR", None, "1996-06", 0.6), (None, "Malaysia", "1999-02", 0.7)], RATES)
     q = spark.createDataFrame([("MYR", "1995-01"), ("myr ", "1996-06"), ("MYR", "1998-03"), ("MYR", "2024-01"),
                                ("MYR", None), ("USD", "2000-01"), ("QQQ", "2000-01")], "i string, m string")
-    got = [r["rate"] for r in fx.rate_for_iso(q, rates, F.col("i"), F.col("m")).collect()]
-    assert got == [0.66, 0.6, 0.6, 0.7, 0.7, 0.14, None]
+    given = [tuple(r) for r in q.collect()]                    # rows come back in any order
+    got = {(r["i"], r["m"]): r["rate"] for r in fx.rate_for_iso(q, rates, F.col("i"), F.col("m")).collect()}
+    assert [got[k] for k in given] == [0.66, 0.6, 0.6, 0.7, 0.7, 0.14, None]
     q = spark.createDataFrame([("Malaysia", "1995-01"), ("Malaysia", "1998-03"), ("Malaysia", "2024-01"),
                                ("Malaysia", None), ("Mars", "2000-01")], "c string, m string")
-    got = [r["rate"] for r in fx.rate_for_country(q, rates, F.col("c"), F.col("m")).collect()]
-    assert got == [0.6, 0.6, 0.7, 0.66, None]
+    given = [tuple(r) for r in q.collect()]
+    got = {(r["c"], r["m"]): r["rate"] for r in fx.rate_for_country(q, rates, F.col("c"), F.col("m")).collect()}
+    assert [got[k] for k in given] == [0.6, 0.6, 0.7, 0.66, None]
     none = spark.createDataFrame([], RATES)
     assert fx.rate_for_iso(q.limit(1), none, F.lit("MYR"), F.lit("2000-01")).first()["rate"] == 0.66
 

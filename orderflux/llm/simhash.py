@@ -189,30 +189,48 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are read once; beyond that only ids and fingerprints move. Equal fingerprints are reduced to one
     before any comparison, so exact copies cost nothing, and skewed joins on a fingerprint can be split.
     """
-    coded = stable(docs.select(col(id_col).alias("doc_id"), fingerprints(
-        text_of(text_col), shingle, slack is not None).alias("node")))
+    labels = _labels(docs, id_col, text_col, radius, shingle, slack)
+    return labels.select("doc_id", F.lower(F.lpad(F.hex("node.code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labels(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, shingle: int = SHINGLE,
+            slack: int | None = None) -> DataFrame:
+    """(doc_id, mark, node, root, component_id) of every row: hash of the text, codes, the component's smallest codes."""
+    coded = stable(docs.select(
+        col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("mark"),
+        fingerprints(text_of(text_col), shingle, slack is not None).alias("node")))
     points = coded.groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = connected(near_links(points.select("node.code", "node.extra"), radius, 64 if slack is None else slack))
     tied = points.join(roots, "node")
     reach = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = stable(tied.join(reach, "root").select("node", "component_id"))
+    moved = stable(tied.join(reach, "root").select("node", "root", "component_id"))
     labels = points.join(moved, "node", "left").select(
-        "node", F.coalesce("component_id", "least").alias("component_id"))
-    return coded.join(labels, "node").select(
-        "doc_id", F.lower(F.lpad(F.hex("node.code"), 16, "0")).alias("fingerprint"), "component_id")
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return coded.join(labels, "node")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one row of each component of :func:`near_copies`: the one with the smallest id.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``groups`` (doc_id, mark, group): that of the smallest id and text hash.
 
-    Repeated rows of that id count as one. Rows without id cannot be told apart and stay.
+    Rows go by id and ``mark``, the text's hash, so that a row goes only where its own group keeps another one. Rows
+    alike in both count as one. Rows without id cannot be told apart and stay.
     """
-    name = fresh(docs, "id")
-    labels = near_copies(docs, id_col, text_col, **settings).select(F.col("doc_id").alias(name), "component_id")
-    gone = labels.where(F.col(name) != F.col("component_id")).select(name).distinct()
-    kept = docs.join(gone, col(id_col) == F.col(name), "left_anti")
-    twice = labels.where(F.col(name) == F.col("component_id")).groupBy(name).count().where("count > 1").select(name)
+    name, mark = fresh(docs, "id"), fresh(docs, "mark")
+    rows = stable(groups.where("doc_id is not null").groupBy("doc_id", "mark", "group").agg(F.count("*").alias("n")))
+    place = F.struct("doc_id", "mark")
+    least = rows.groupBy("group").agg(F.min(place).alias("least"))
+    placed = rows.join(least, "group").select(F.col("doc_id").alias(name), F.col("mark").alias(mark), "n",
+                                              (place == F.col("least")).alias("stays"))
+    same = (col(id_col) == F.col(name)) & (F.xxhash64(text_of(text_col)) == F.col(mark))
+    kept = docs.join(placed.where("not stays").select(name, mark), same, "left_anti")
+    twice = placed.where("stays and n > 1").select(name, mark)
     if twice.isEmpty():
         return kept
-    first = kept.join(twice, col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, col(id_col) == F.col(name), "left_anti").union(first)
+    first = kept.join(twice, same).dropDuplicates([name, mark]).select(*[col(c) for c in docs.columns])
+    return kept.join(twice, same, "left_anti").union(first)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_copies`: see :func:`keep_first`."""
+    return keep_first(docs, _labels(docs, id_col, text_col, **settings).select(
+        "doc_id", "mark", F.col("root").alias("group")), id_col, text_col)

@@ -1,0 +1,121 @@
+"""Near copies by exact similarity of word shingles; SimHash and MinHash bands only propose the pairs."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+from orderflux.llm import simhash
+from orderflux.llm.common import col, connected, stable, text_of
+
+#: Words of a shingle; texts are near from ``NEAR`` / 10 of their joint shingles on.
+WORDS, NEAR = 5, 8
+#: Bands and minima of each: a pair at 0.8 shares no band with odds of (1 - 0.8 ** 3) ** 30 < 1e-9. Buckets of over
+#: ``LARGE`` texts are dealt again by ``AGAIN`` further bands, which miss such a pair with odds below 1e-6.
+BANDS, BAND, AGAIN, LARGE = 30, 3, 20, 2048
+_rng = np.random.default_rng(23)
+_TURN = _rng.integers(0, 1 << 63, (BANDS + AGAIN) * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _rng.integers(0, 1 << 63, len(_TURN), np.uint64)
+
+
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; of all words together below ``WORDS``; blank texts have one of no words."""
+    found = [h for h, _ in simhash.gram_hashes(text, WORDS, simhash.SEED)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """One key for each band of each set, the further bands last."""
+    every = np.concatenate(sets)
+    every ^= every >> np.uint64(29)
+    starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
+    keys = np.zeros((len(sets), BANDS + AGAIN), np.uint64)
+    for k, (turn, shift) in enumerate(zip(_TURN, _SHIFT)):
+        least = np.minimum.reduceat(every * turn + shift, starts)
+        keys[:, k // BAND] = (keys[:, k // BAND] ^ least ^ (least >> np.uint64(31))) * turn
+    return keys.view(np.int64)
+
+
+_LONGS = ArrayType(LongType())
+
+
+@F.pandas_udf(StructType([StructField("size", IntegerType()), StructField("keys", _LONGS), StructField("more", _LONGS)]))
+def _sketch(texts: pd.Series) -> pd.DataFrame:
+    parts = []
+    for at in range(0, len(texts), 64):
+        sets = [shingles(t) for t in texts.iloc[at:at + 64]]
+        keys = bands(sets)
+        parts.append(pd.DataFrame({"size": [len(s) for s in sets], "keys": list(keys[:, :BANDS]),
+                                   "more": list(keys[:, BANDS:])}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"size": [], "keys": [], "more": []})
+
+
+@F.pandas_udf(_LONGS)
+def _shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+
+
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that SimHash links: a forest over the distinct fingerprints, and the texts of each."""
+    points = nodes.groupBy("code").agg(F.min("node").alias("least"))
+    links = simhash.near_links(points.select("code", F.lit(0).cast("bigint").alias("extra")))
+    ends = [points.select(F.col("code").alias(f"{c}_code"), F.col("least").alias(c)) for c in "ab"]
+    far = links.select(F.col("a.code").alias("a_code"), F.col("b.code").alias("b_code")).join(
+        ends[0], "a_code").join(ends[1], "b_code").select("a", "b")
+    return far.union(nodes.join(points, "code").where("node <> least").select(F.col("least"), F.col("node")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingles are near, counted exactly."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where((10 + NEAR) * common >= NEAR * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group of every row: (doc_id, mark, group); ``mark`` is the text's hash.
+
+    Groups are the components of distinct texts whose shingles of ``WORDS`` words have a Jaccard similarity of 0.8 or
+    more. Words are what stands between ASCII blanks, A-Z in lower case. A text of fewer words is one shingle; null, empty
+    and blank texts are alike.
+
+    Texts meet in buckets of bands and by SimHash. First each is held against the smallest of its buckets, which ties
+    families of copies; then all pairs of a bucket that are not tied yet and may be near by their sizes. Every link
+    is counted from both sets of shingles, so none is due to a sketch. Texts in no bucket with others move no more.
+    """
+    rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("mark"),
+                       F.md5(text_of(text_col)).alias("group"))
+    texts = docs.select(F.md5(text_of(text_col)).alias("node"), text_of(text_col).alias("text"))
+    nodes = stable(texts.select("node", _sketch("text").alias("x"), simhash.fingerprints(
+        F.col("text"), simhash.SHINGLE, False).alias("c")).select("node", "x.*", "c.code").dropDuplicates(["node"]))
+    dealt = nodes.select("node", "size", F.explode("keys").alias("key"))
+    leads = dealt.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    met = stable(dealt.join(leads, "key"))
+    first = stable(met.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(
+        _proposed(nodes).select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
+    need = met.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    sets = stable(texts.join(need, "node", "left_semi").dropDuplicates(["node"]).select("node", _shingles("text")))
+    links = stable(_verified(first, sets))
+
+    open_ = met.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = stable(open_.select("key", "node", "size", "root"))
+    mixed = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    open_ = stable(open_.join(mixed.where("low < high").select("key", "n"), "key"))
+    again = open_.where(F.col("n") > LARGE).join(nodes.select("node", F.posexplode("more").alias("k", "m")), "node").select(
+        F.xxhash64("key", "k", "m").alias("key"), "node", "size", "root")
+    left = open_.where(F.col("n") <= LARGE).select("key", "node", "size", "root").union(again)
+    right = left.select("key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    pairs = left.join(right, "key").where(
+        (F.col("root") < F.col("b_root")) & (10 * F.least("size", "b_size") >= NEAR * F.greatest("size", "b_size")))
+    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    late = _verified(pairs.join(first, ["a", "b"], "left_anti"), sets)
+    roots = connected(links.union(late)).select(F.col("node").alias("group"), "root")
+    return rows.join(roots, "group", "left").select("doc_id", "mark", F.coalesce("root", "group").alias("group"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of :func:`near_groups`: see :func:`simhash.keep_first`."""
+    return simhash.keep_first(docs, near_groups(docs, id_col, text_col), id_col, text_col)

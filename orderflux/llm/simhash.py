@@ -25,10 +25,10 @@ PIECE = 1 << 20
 TILE, LARGE, SMALL = 1024, 2048, 32
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a text; zero without words. Memory is bounded by a piece of the text."""
+def gram_hashes(text: str, shingle: int, seed: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Hashes of the word shingles, a piece of the text at a time; of all words together, marked False, below that many."""
     data = text.encode("utf-8", "surrogatepass").lower()     # of bytes: A-Z only
-    ones, total, carry, at = np.zeros(64, np.int64), 0, [], 0
+    total, carry, at = 0, [], 0
     while at < len(data):
         gap = GAP.search(data, at + PIECE)
         end = gap.start() if gap else len(data)
@@ -36,12 +36,22 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)
         if len(hashes):
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+            yield hashes, True
             total += len(hashes)
         carry, at = words[max(0, len(words) - shingle + 1):], end
-    if not total:
-        return xxhash.xxh64_intdigest(b" ".join(carry), seed) if carry else 0
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+    if not total and carry:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), seed)], np.uint64), False
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit SimHash of a text; zero without words. Memory is bounded by a piece of the text."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes, whole in gram_hashes(text, shingle, seed):
+        if not whole:
+            return int(hashes[0])
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+        total += len(hashes)
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0]) if total else 0
 
 
 def fingerprints(text: Column, shingle: int, doubled: bool) -> Column:

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from orderflux.llm.common import col, stable, text_of
 
-#: Sampled places of the embedding (one byte of the fingerprint each), bands, and sampled places of each band.
-SAMPLES, BANDS, BAND = 64, 6, 4
+#: Sampled places of the embedding (one byte of the fingerprint each).
+SAMPLES = 64
 LIKENESS = 0.8
+#: Samples in which near fingerprints may differ; they agree on one of one more bands.
+UNLIKE = int(SAMPLES * (1 - LIKENESS) + 1e-9)
+#: Fingerprints beyond which a bucket is dealt again by bands of the other samples, and side by side in a tile.
+LARGE, TILE = 2048, 256
 #: Steps after which the random walk's choices repeat, and classes of characters that share them.
 PERIOD, CLASSES = 1 << 12, 256
 #: Characters whose steps are held at once, and texts on the way below which each goes alone.
@@ -159,25 +165,87 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         "next_fingerprint", F.lead("fingerprint").over(order)).where("copy = 0").drop("copy", "range", "mark")
 
 
+def _bands(samples: list[int]) -> list[list[int]]:
+    """``samples`` in so many bands that near fingerprints agree on one of them."""
+    return [part.tolist() for part in np.array_split(samples, UNLIKE + 1)]
+
+
+def _keys(fingerprint: Column, bands: list[list[int]], *salt: Column) -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *salt, *[F.substring(fingerprint, p + 1, 1) for p in row])
+                     for b, row in enumerate(bands)])
+
+
+def first_near(prints: np.ndarray) -> np.ndarray:
+    """For each fingerprint (a row of bytes) the first one that is near; itself where none before is.
+
+    Rows that have found theirs are compared no more; tiles bound the memory.
+    """
+    out, left = np.arange(len(prints)), np.arange(len(prints))
+    for at in range(0, len(prints), TILE):
+        left = left[left > at]
+        still = []
+        for k in range(0, len(left), TILE):
+            own = left[k:k + TILE]
+            near = (prints[own, None] == prints[None, at:at + TILE]).sum(2, np.uint8) >= SAMPLES - UNLIKE
+            first = np.minimum(at + near.argmax(1), own)
+            found = near.any(1) & (first < own)
+            out[own[found]] = first[found]
+            still.append(own[~found])
+        left = np.concatenate([*still, np.zeros(0, int)]).astype(int)
+    return out
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, head, code, fingerprint) sorted by these; gives (head, code, near) where another head is near."""
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        band, head = rows["band"].to_numpy(), rows["head"].to_numpy()
+        prints = np.frombuffer(b"".join(rows["fingerprint"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        cuts = np.r_[0, np.flatnonzero(np.diff(band)) + 1, len(band)]
+        first = np.concatenate([a + first_near(prints[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+        tied = np.flatnonzero(first != np.arange(len(band)))
+        return pa.RecordBatch.from_arrays([pa.array(head[tied]), pa.array(rows["code"].to_numpy()[tied]),
+                                           pa.array(head[first[tied]])], names=["head", "code", "near"])
+
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            last = np.flatnonzero(held["band"].to_numpy() != held["band"][-1].as_py())
+            if len(last):
+                yield found(held.slice(0, last[-1] + 1))
+                held = held.slice(last[-1] + 1)
+    if held is not None:
+        yield found(held)
+
+
 def near_heads(codes: DataFrame) -> DataFrame:
-    """(fingerprint, near_id) from rows (doc_id, fingerprint): the smallest id found near by banding.
+    """(fingerprint, near_id) from rows (doc_id, fingerprint): the smallest id of all near fingerprints, its own included.
 
-    Equal fingerprints are reduced to their smallest id. Each band takes ``BAND`` of the samples; within the fingerprints
-    that agree on a band each is held against the one with the smallest id, and counts where ``LIKENESS`` of all samples
-    agree. near_id is the smallest id so verified, else the smallest id of that very fingerprint.
+    Equal fingerprints are reduced to their smallest id. Near ones agree in ``LIKENESS`` of all samples, so they differ in
+    ``UNLIKE`` at most and agree on one of ``UNLIKE`` + 1 bands: no pair is missed. Within a bucket each is held against
+    all with smaller ids until one is near. Buckets of over ``LARGE`` are dealt again by bands of the other samples,
+    where the same holds.
     """
     classes = codes.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
-    places = np.random.default_rng(21).permutation(SAMPLES)[:BANDS * BAND].reshape(BANDS, BAND).tolist()
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.substring("fingerprint", p + 1, 1) for p in row])
-                      for b, row in enumerate(places)])
-    met = classes.select("head", F.explode(bands).alias("band"))
-    least = met.groupBy("band").agg(F.min("head").alias("least"), F.count("*").alias("n")).where("n > 1")
-    pairs = met.join(least, "band").where("least < head").select("head", "least").distinct()
-    pairs = pairs.join(classes, "head").withColumnRenamed("fingerprint", "a").join(
-        classes.select(F.col("head").alias("least"), F.col("fingerprint").alias("b")), "least")
-    near = pairs.where(likeness(F.col("a"), F.col("b")) >= LIKENESS).groupBy("head").agg(
-        F.min("least").alias("near"))
-    return classes.join(near, "head", "left").select("fingerprint", F.coalesce("near", "head").alias("near_id"))
+    every = np.random.default_rng(21).permutation(SAMPLES).tolist()
+    coarse = _bands(every)
+    fine = [_bands([p for p in every if p not in row]) for row in coarse]
+    # A repeated id may be the head of unlike fingerprints, so their hash goes with it.
+    classes = classes.withColumn("code", F.xxhash64("fingerprint"))
+    met = classes.select("head", "code", F.posexplode(_keys(F.col("fingerprint"), coarse)).alias("b", "band"))
+    sizes = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = met.join(sizes, "band").join(classes, ["head", "code"])
+    again = met.where(F.col("n") > LARGE)
+    parts = [again.where(F.col("b") == b).select(F.explode(_keys(F.col("fingerprint"), bands, F.col("band"))).alias("band"),
+                                                 "head", "code", "fingerprint") for b, bands in enumerate(fine)]
+    rows = met.where(F.col("n") <= LARGE).select("band", "head", "code", "fingerprint")
+    if not sizes.where(F.col("n") > LARGE).isEmpty():
+        for part in parts:
+            rows = rows.union(part)
+    near = rows.repartition("band").sortWithinPartitions("band", "head", "code").mapInArrow(
+        _nearest, "head long, code long, near long").groupBy("head", "code").agg(F.min("near").alias("near"))
+    return classes.join(near, ["head", "code"], "left").select("fingerprint", F.coalesce("near", "head").alias("near_id"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from llm_tables import documents
 
-from orderflux.llm import near_dup, simhash
+from orderflux.llm import edit_fingerprint, near_dup, simhash
 
 
 def some_words(rng, n, low=3, high=9):
@@ -50,3 +50,21 @@ def test_rows_of_one_id_with_unlike_texts_stay(spark):
     for keep in (simhash.keep_one, near_dup.keep_one):
         got = sorted((r["doc_id"], r["text"]) for r in keep(df).collect() if r["text"] != x + " end")
         assert got == [(3, x), (5, y), (7, "unlike")]
+
+
+def test_near_id_against_all_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(33)
+    prints = []
+    for _ in range(15):
+        base = rng.integers(0, 256, 64, np.uint8)
+        for changes in rng.integers(0, 26, 20):
+            one = base.copy()
+            one[rng.permutation(64)[:changes]] = rng.integers(0, 256, changes)
+            prints.append(one)
+    same = np.array([[(a == b).mean() for b in prints] for a in prints])
+    want = {i: min(np.flatnonzero(row >= 0.8)) for i, row in enumerate(same)}
+    df = spark.createDataFrame([(i, bytes(p)) for i, p in enumerate(prints)], "doc_id long, fingerprint binary")
+    for large in (edit_fingerprint.LARGE, 8):
+        monkeypatch.setattr(edit_fingerprint, "LARGE", large)
+        got = {bytes(r["fingerprint"]): r["near_id"] for r in edit_fingerprint.near_heads(df).collect()}
+        assert {i: got[bytes(p)] for i, p in enumerate(prints)} == want

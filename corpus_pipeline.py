@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflux.llm import decontaminate, line_dedup, mixing, near_dup, quality
+from orderflux.llm import decontaminate, line_dedup, mixing, quality, simhash
 from orderflux.llm.common import removed, table, written
 
 
@@ -23,10 +23,9 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies.
 
-    Texts are near where their five-word shingles are similar to 0.8 or more; SimHash and MinHash bands propose pairs,
-    and each link is counted from the shingles themselves.
+    The SimHash operator with the shingle length and the bit distance of its contract, which are its defaults.
     """
-    return near_dup.keep_one(docs)
+    return simhash.keep_one(docs, radius=simhash.RADIUS, shingle=simhash.SHINGLE)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,43 +3,36 @@
 import numpy as np
 from llm_tables import documents
 
-from orderflux.llm import edit_fingerprint, near_dup, simhash
+from orderflux.llm import edit_fingerprint, simhash
 
 
 def some_words(rng, n, low=3, high=9):
     return ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(low, high))) for _ in range(n)]
 
 
-def plain_groups(texts):
-    """{text: smallest text of its component} by the Jaccard similarity of all pairs."""
-    grams = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
-    root = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if root[a] != root[b] and 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b]):
-                root = [root[b] if r == root[a] else r for r in root]
-    return root
+def test_stage_keeps_one_of_each_component(spark):
+    """The pipeline's near-dup stage against all pairs of fingerprints."""
+    import corpus_pipeline
 
-
-def test_near_copies_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(31)
     texts = []
     for _ in range(12):
-        base = some_words(rng, 120)
-        for changes in (0, 1, 2, 3, 4, 6, 9):
+        base = some_words(rng, 400)
+        for changes in (0, 0, 1, 1, 2, 3, 9):
             words = list(base)
             for at in rng.integers(0, len(words), changes):
                 words[at] = "changed" + words[at]
             texts.append(" ".join(words))
-    texts = sorted(set(texts))
-    want = plain_groups(texts)
     ids = rng.permutation(len(texts)).tolist()
-    least = {r: min(i for i, x in zip(ids, want) if x == r) for r in set(want)}
+    codes = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    group = list(range(len(texts)))
+    for a, b in zip(*np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None]) <= simhash.RADIUS)):
+        group = [group[b] if g == group[a] else g for g in group]
+    want = sorted(min(i for i, g in zip(ids, group) if g == one) for one in set(group))
     df = documents(spark, [(i, t, None, None) for i, t in zip(ids, texts)])
-    for large in (near_dup.LARGE, 3):
-        monkeypatch.setattr(near_dup, "LARGE", large)
-        assert sorted(r["doc_id"] for r in near_dup.keep_one(df).collect()) == sorted(least.values())
-    assert len(least) > 24
+    got = corpus_pipeline.distinct_documents(spark, df, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == want and got.columns == df.columns
+    assert 12 <= len(want) < len(set(texts))
 
 
 def test_rows_of_one_id_with_unlike_texts_stay(spark):
@@ -47,9 +40,8 @@ def test_rows_of_one_id_with_unlike_texts_stay(spark):
     x, y = (" ".join(some_words(rng, 60)) for _ in "xy")
     df = documents(spark, [(3, x, None, None), (5, x, None, None), (5, y, None, None), (7, x + " end", None, None),
                            (7, "unlike", None, None), (8, x, None, None), (8, y, None, None)])
-    for keep in (simhash.keep_one, near_dup.keep_one):
-        got = sorted((r["doc_id"], r["text"]) for r in keep(df).collect() if r["text"] != x + " end")
-        assert got == [(3, x), (5, y), (7, "unlike")]
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect() if r["text"] != x + " end")
+    assert got == [(3, x), (5, y), (7, "unlike")]
 
 
 def test_near_id_against_all_fingerprints(spark, monkeypatch):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderflux.llm import (chunks, decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, pii, quality,
+from orderflux.llm import (chat, chunks, decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, pii, quality,
                            simhash)
 from orderflux.llm.common import table
 
@@ -115,3 +116,31 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.passage_report(table(spark, sf_dir, "documents"))
+
+
+_GUARDED = r"([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
+
+
+@query(f"""
+WITH row_ AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+said AS (
+  SELECT conv_id, row_number() OVER (ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM row_)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length('<|im_end|>') + 2
+           + length(replace(replace(regexp_replace(role, '{_GUARDED}', '\\1\\\\\\2\\3', 'g'), '%', '%25'), chr(10), '%0A'))
+           + length(regexp_replace(text, '{_GUARDED}', '\\1\\\\\\2\\3', 'g')))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id
+""")
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as events in the order of their turns, and conversation -1, whose texts are control strings."""
+    said = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat.chat_digest(chat.format_chats(rows.withColumn("kind", F.lit("message")), seq="turn", place="turn"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflux.llm import (chat, chunks, decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, pii, quality,
-                           simhash)
+from orderflux.llm import (chat, chunks, decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, pii,
+                           prefix_trie, quality, simhash)
 from orderflux.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -144,3 +144,41 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
     return chat.chat_digest(chat.format_chats(rows.withColumn("kind", F.lit("message")), seq="turn", place="turn"))
+
+
+@query("""
+WITH turn_ AS (
+  SELECT conv_id, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, g, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS d FROM turn_),
+conv AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), c -> ord(c)::BIGINT)),
+           (c, b) -> list_reduce(list_prepend(xor(c, b), range(8)), (x, i) -> xor(x >> 1, 3988292384 * (x & 1)))),
+           4294967295) % 4 AS h
+  FROM turns GROUP BY conv_id),
+fork AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM conv c LEFT JOIN conv b ON b.conv_id = c.base),
+built AS (
+  SELECT f.conv_id, t.d, t.g, t.w FROM fork f JOIN turns t ON t.conv_id = f.base AND t.d <= f.taken
+  UNION ALL SELECT f.conv_id, t.d - f.h + f.taken, t.g, t.w FROM fork f JOIN turns t ON t.conv_id = f.conv_id AND t.d > f.h),
+path AS (
+  SELECT conv_id, d, md5(string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d)) AS p, w FROM built
+  UNION ALL SELECT conv_id, 0, '', 0 FROM conv),
+member AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY d) AS pp,
+                  lead(p) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS stops FROM path),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, min(pp) AS pp, count(*) AS n_convs, min(w) AS w, bool_and(stops) AS leaf,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '')) AS ends_sha256
+  FROM member GROUP BY p, d),
+below AS (
+  SELECT m.p, m.d, count(*) FILTER (y.leaf) AS n_leaves, sum((y.n_convs - 1) * y.w) AS saved_tokens
+  FROM node y JOIN member m ON m.conv_id = y.conv_id AND m.d <= y.d GROUP BY m.p, m.d),
+child AS (SELECT pp AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY pp)
+SELECT x.conv_id, x.d::BIGINT AS depth, up.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, x.ends_sha256
+FROM node x JOIN below b ON b.p = x.p AND b.d = x.d LEFT JOIN child c ON c.p = x.p
+LEFT JOIN node up ON up.p = x.pp
+""")
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.forked(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))

@@ -154,8 +154,8 @@ WITH turn_ AS (
 turns AS (SELECT conv_id, g, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS d FROM turn_),
 conv AS (
   SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
-         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), c -> ord(c)::BIGINT)),
-           (c, b) -> list_reduce(list_prepend(xor(c, b), range(8)), (x, i) -> xor(x >> 1, 3988292384 * (x & 1)))),
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))),
            4294967295) % 4 AS h
   FROM turns GROUP BY conv_id),
 fork AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM conv c LEFT JOIN conv b ON b.conv_id = c.base),

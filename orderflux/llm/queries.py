@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflux.llm import (chat, chunks, decontaminate, edit_fingerprint, language, licenses, line_dedup, mixing, pii,
-                           prefix_trie, quality, simhash)
+from orderflux.llm import (chat, chunks, collocations, decontaminate, edit_fingerprint, language, licenses, line_dedup,
+                           mixing, pii, prefix_trie, quality, simhash)
 from orderflux.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -182,3 +182,38 @@ LEFT JOIN node up ON up.p = x.pp
 """)
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.forked(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+@query("""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+size AS (SELECT k FROM range(1, 6) t(k)),
+gram AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, size)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY lang, k, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cut AS (
+  SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS left_,
+         array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS right_
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+scored AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, c, x.f AS l, y.f AS r, n,
+         ((1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = left_ AND x.k = c
+           JOIN f y ON y.lang = cut.lang AND y.phrase = right_ AND y.k = cut.k - c JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + s - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT lang, phrase, a, s, unnest(range(1, k - s + 2)) AS i
+        FROM (SELECT *, unnest(range(2, k)) AS s FROM best)) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+         WHERE around IS NULL OR 100 * around < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -83,6 +83,21 @@ def c_report(spark, d):
                     F.col("优惠券名称_filled").alias("coupon_filled"))
 
 
+@register("C8_renamed_and_unreadable", f"""
+WITH {_RAW} SELECT f AS file, '用户ID>用户id' AS renamed, '订单时间,售价,实际支付,优惠券金额' AS coerced,
+  0::BIGINT AS time_unreadable, count(*) FILTER (k % 51 = 0 AND k % 50 <> 0) AS paid_unreadable,
+  0::BIGINT AS listed_unreadable FROM raw GROUP BY 1
+""")
+def c8(spark, d):
+    """Headings that got another name, columns read as dates or numbers, and texts that are neither, per file."""
+    r = clean(raw_export(spark, d), "master").report
+    return r.select("file", F.array_join(F.transform(F.map_entries("renamed"), lambda e: F.concat_ws(">", e["key"], e["value"])),
+                                         ",").alias("renamed"),
+                    F.array_join("coerced", ",").alias("coerced"), F.col("订单时间_unreadable").alias("time_unreadable"),
+                    F.col("实际支付_unreadable").alias("paid_unreadable"),
+                    F.col("售价_unreadable").alias("listed_unreadable"))
+
+
 @register("Q1_import_split", f"""
 WITH {_RAW} SELECT CASE WHEN coalesce(paid < 0, false) THEN 'negative amount' WHEN t IS NULL THEN 'order time missing'
   ELSE 'kept' END AS outcome, count(*) AS rows FROM raw GROUP BY 1

@@ -147,8 +147,7 @@ def _two_batches(spark: SparkSession, d: str, root: str) -> None:
     k = F.col("用户ID").cast("bigint")
     later = raw.withColumn("订单状态", F.when(k % 7 == 0, "已退款").otherwise(F.col("订单状态")))
     for name, rows in (("one", raw.filter(k % 3 < 2)), ("two", later.filter(k % 3 > 0))):
-        done = clean(rows, "master")
-        I.append_batch(spark, root, done.good, "master", name, done.quarantined)
+        I.append_batch(spark, root, clean(rows, "master").rows, "master", name)
 
 
 _TWO = """raw AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 77 <> 0 THEN o_orderdate END AS t,
@@ -224,8 +223,7 @@ WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderdate < TIMESTAMP '2001-01
 def s4(spark, d):
     """Column and month pruning on the published fact; a column that does not exist is tolerated."""
     root = scratch(spark)
-    done = clean(raw_export(spark, d), "master")
-    I.append_batch(spark, root, done.good, "master", "one", done.quarantined)
+    I.append_batch(spark, root, clean(raw_export(spark, d), "master").rows, "master", "one")
     months = {m for m in manifest(spark, f"{root}/fact")["partitions"] if m.startswith("2000-")}
     fact = I.read_fact(spark, root, [MONTH, "order_id", "not_there"], months=months)
     return fact.groupBy(MONTH).agg(F.count("order_id").alias("orders"))

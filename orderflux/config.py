@@ -9,6 +9,13 @@ RESTATEMENT_SAMPLES = 25
 FRESH_AMBER_DAYS = 2
 FRESH_RED_DAYS = 7
 
+KEY_BUCKETS = 32                    # of the order id index, fixed when it is made
+KEY_FILTER_WORDS = 1 << 16          # of 64 bits in the Bloom filter of a bucket
+KEY_FOLDERS = 8                     # beyond so many a bucket is merged
+COMMIT_ATTEMPTS = 5                 # merges of one batch while others write the same rows
+RETAINED_VERSIONS = 10
+RETAINED_SECONDS = 86_400.0
+
 # Metrics
 REFUND_RATE_MIN_ORDERS = 200
 DENOMINATION_BAND_EDGES = (10, 20, 30, 40)

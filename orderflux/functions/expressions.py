@@ -43,44 +43,68 @@ def to_flag(c: Column) -> Column:
 _YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
 _YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})(?!\d)"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})(?!\d)"
+#: Two-digit years: 69 to 99 lie in the last century.
+_LAST_CENTURY = r"^(\d{1,2})[-/](\d{1,2})[-/](69|[7-9]\d)(?!\d)"
 _SHORT_YEAR = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2})(?!\d)"
 _NAMED_MONTH = r"^(\d{1,2})[- ]([A-Za-z]{3})[A-Za-z]*[-, ]+(\d{4}|\d{2})(?!\d)"
-_HALF_DAY = r"(\d{1,2}):(\d{2})(?::(\d{2}))? ?([AaPp])[Mm]$"
+_HALF_DAY = r" ?([AaPp])[Mm]$"
 #: Months as exports abbreviate them.
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_EITHER = "~"
 
 
-def _full_year(year: Column) -> Column:
-    """Four digits from two: 69 to 99 lie in the last century."""
-    return F.when(F.length(year) == 4, year).when(year >= "69", F.concat(F.lit("19"), year)).otherwise(
-        F.concat(F.lit("20"), year))
+def _named(s: Column) -> Column:
+    """Dates with a named month, year first."""
+    day, name, year = (F.regexp_extract(s, _NAMED_MONTH, k) for k in (1, 2, 3))
+    century = F.when(F.length(year) == 4, "").when(year >= "69", "19").otherwise("20")
+    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(name))
+    arranged = F.concat(century, F.concat_ws("-", year, month.cast("string"), day), F.regexp_replace(s, _NAMED_MONTH, ""))
+    return F.when(s.rlike(_NAMED_MONTH), arranged).otherwise(s)
+
+
+def date_text(c: Column) -> Column:
+    """Date text in year-month-day order, NULL for blank text and 'nan'.
+
+    A ``~`` stands before dates whose day and month could be either way round, with the month first. Each layout is one
+    replacement that leaves all other text alone, so the expression stays small.
+    """
+    s = strip_ws(c.cast("string"))
+    s = _named(F.when((s != "") & (F.lower(s) != "nan"), s))
+    for layout, arranged in ((_YEAR_FIRST, "$1-$2-$3"), (_COMPACT, "$1-$2-$3"), (_YEAR_LAST, "~$3-$1-$2"),
+                             (_LAST_CENTURY, "~19$3-$1-$2"), (_SHORT_YEAR, "~20$3-$1-$2")):
+        s = F.regexp_replace(s, layout, arranged)
+    return s
+
+
+def chosen_order(text: Column, day_first: Column) -> Column:
+    """The one reading of :func:`date_text`; without a date in it, NULL."""
+    either = text.startswith(_EITHER)
+    swapped = F.regexp_replace(text, r"^~(\d+)-(\d+)-(\d+)", "$1-$3-$2")
+    return F.when(either & day_first, swapped).when(either, F.substr(text, F.lit(2))).otherwise(text)
+
+
+def time_of(text: Column) -> Column:
+    """Timestamp of a text from :func:`chosen_order`; NULL when no known layout fits."""
+    plain = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?!\d)"), text)
+    bare = F.regexp_replace(plain, _HALF_DAY, "").try_cast("timestamp_ntz")
+    shift = F.when(text.rlike("[Pp][Mm]$"), 12).otherwise(0) - F.when(F.hour(bare) == 12, 12).otherwise(0)
+    half = F.when(plain.rlike(r"\d:\d{2} ?[AaPp][Mm]$") & F.hour(bare).between(1, 12),
+                  (bare + F.make_dt_interval(F.lit(0), shift)).cast("timestamp"))
+    return F.when(text.rlike("[AaPp][Mm]$"), half).otherwise(plain.try_cast("timestamp"))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def parse_timestamp(c: Column, day_first: bool = False) -> Column:
     """Timestamp from text; NULL when no known layout fits.
 
-    The date part is put in year-month-day order and cast, so no format is tried in vain; rare layouts (two-digit
-    years, named months, hours of half a day) are looked for only where the common ones do not fit. Year-first text and
-    named months are never ambiguous; otherwise the month comes first, or the day with ``day_first``.
+    Year-first text and named months are never ambiguous; otherwise the month comes first, or the day with ``day_first``.
+    The cleaner takes the three steps in columns of their own, which is faster on whole files.
     """
-    s = strip_ws(c.cast("string"))
-    order = "$3-$2-$1" if day_first else "$3-$1-$2"
-    first, second = (F.regexp_extract(s, _SHORT_YEAR, k) for k in ((2, 1) if day_first else (1, 2)))
-    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.regexp_extract(s, _NAMED_MONTH, 2)))
-    arranged = (F.when(s.rlike(_YEAR_FIRST), F.regexp_replace(s, _YEAR_FIRST, "$1-$2-$3"))
-                .when(s.rlike(_YEAR_LAST), F.regexp_replace(s, _YEAR_LAST, order))
-                .when(s.rlike(_COMPACT), F.regexp_replace(s, _COMPACT, "$1-$2-$3"))
-                .when(s.rlike(_SHORT_YEAR), F.concat(F.concat_ws(
-                    "-", _full_year(F.regexp_extract(s, _SHORT_YEAR, 3)), first, second),
-                    F.regexp_replace(s, _SHORT_YEAR, "")))
-                .when(s.rlike(_NAMED_MONTH), F.concat(F.concat_ws(
-                    "-", _full_year(F.regexp_extract(s, _NAMED_MONTH, 3)), month.cast("string"),
-                    F.regexp_extract(s, _NAMED_MONTH, 1)), F.regexp_replace(s, _NAMED_MONTH, ""))))
-    hour, minute, second, half = (F.regexp_extract(s, _HALF_DAY, k) for k in range(1, 5))
-    whole = F.when(hour.cast("int").between(1, 12), hour.cast("int") % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
-    time = F.concat_ws(":", whole.cast("string"), minute, F.when(second == "", "00").otherwise(second))
-    late = F.concat(F.regexp_replace(arranged, _HALF_DAY, ""), F.when(whole.isNotNull(), time))
-    return F.when(s.rlike("[AaPp][Mm]$"), late).otherwise(arranged).try_cast("timestamp")
+    return _bound(date_text(c), lambda text: _bound(chosen_order(text, F.lit(day_first)), time_of))
 
 
 def status_group(c: Column) -> Column:

@@ -89,13 +89,26 @@ def restatement_summary(changes: DataFrame, samples: int = config.RESTATEMENT_SA
     return changes.agg(F.count(F.lit(1)).alias("restated")).withColumn("restatement_samples", listed)
 
 
+def row_number_of(columns) -> Column:
+    """A row's content as a number: 60 bits of the MD5 of its texts, NULL and blank alike."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("decimal(38,0)")
+
+
+def fingerprint_of(columns, rows: Column, total: Column) -> Column:
+    """Sixteen digits from the names of the columns, the number of rows and the sum of :func:`row_number_of`."""
+    return F.left(F.sha2(F.concat_ws("|", F.lit(",".join(columns)), rows, F.coalesce(total, F.lit(0))), 256), F.lit(16))
+
+
+def content_columns(df: DataFrame) -> list[str]:
+    return sorted(c for c in df.columns if not c.startswith("_") and c != "reason")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive content fingerprint of a batch."""
-    columns = sorted(c for c in df.columns if not c.startswith("_"))
-    row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s")).select(
-        F.left(F.sha2(F.concat_ws("|", F.lit(",".join(columns)), "n", F.coalesce("s", F.lit(0))), 256),
-               F.lit(16)).alias("file_hash"))
+    columns = content_columns(df)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_number_of(columns)).alias("s")).select(
+        fingerprint_of(columns, F.col("n"), F.col("s")).alias("file_hash"))
 
 
 def known_headings() -> set[str]:
@@ -104,16 +117,23 @@ def known_headings() -> set[str]:
 
 def validate(df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     """(one row with the date range, unknown columns, missing required columns)."""
-    names = [c for c in df.columns if not c.startswith("_")]
-    unknown = sorted(c for c in names if c.strip().lower().replace(" ", "_") not in known_headings())
-    missing = [c for c in (KEY, "订单时间") if c not in names]
-    when = next((c for c in ("订单时间", "order_time") if c in names), None)
+    t = time_column(df)
+    return df.agg(F.min(t).alias("date_min"), F.max(t).alias("date_max")), *checked_headings(df)
+
+
+def time_column(df: DataFrame) -> Column:
+    """The order time, NULL where there is no such column."""
+    when = next((c for c in ("订单时间", "order_time") if c in df.columns), None)
     if when is None:
-        empty = F.lit(None).cast("timestamp")
-        return df.limit(0).agg(F.max(empty).alias("date_min"), F.max(empty).alias("date_max")), unknown, missing
-    t = F.col(when)
-    t = t if dict(df.dtypes)[when].startswith("timestamp") else parse_timestamp(t)
-    return df.agg(F.min(t).alias("date_min"), F.max(t).alias("date_max")), unknown, missing
+        return F.lit(None).cast("timestamp")
+    return F.col(when) if dict(df.dtypes)[when].startswith("timestamp") else parse_timestamp(F.col(when))
+
+
+def checked_headings(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Unknown columns and missing required ones."""
+    names = [c for c in df.columns if not c.startswith("_") and c != "reason"]
+    unknown = sorted(c for c in names if c.strip().lower().replace(" ", "_") not in known_headings())
+    return unknown, [c for c in (KEY, "订单时间") if c not in names]
 
 
 def coverage(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from orderflux.functions import expressions as E
 from orderflux.functions import values as V
 from orderflux.functions.dimensions import add_region, translate_country
 
-_AMOUNTS = ("sales", "sales_listed", "settlement_price", "coupon_amount")
+_AMOUNTS = ("sales", "sales_paid", "sales_listed", "settlement_price", "coupon_amount")
 _FLAGS = ("coupon_used", "new_user_promo", "badge_product")
 _TIMES = ("order_time", "register_time")
 
@@ -31,9 +31,9 @@ def resolve_sales(df: DataFrame) -> DataFrame:
     """sales = paid, else listed. The choice precedes number parsing, so unreadable paid text gives NULL."""
     paid, listed = "sales_paid" in df.columns, "sales_listed" in df.columns
     if paid and listed:
-        return df.withColumn("sales", F.coalesce("sales_paid", "sales_listed")).drop("sales_paid")
+        return df.withColumn("sales", F.coalesce("sales_paid", "sales_listed"))
     if paid:
-        return df.withColumnRenamed("sales_paid", "sales")
+        return df.withColumn("sales", F.col("sales_paid"))
     return df.withColumn("sales", F.col("sales_listed")) if listed else df
 
 

@@ -1,13 +1,13 @@
 """Import of exports into the segment stores, publication of the fact, full rebuild.
 
-Layout under ``root``: ``store/<segment>``, ``fact``, ``quarantine``, ``audit``, ``processed``.
-A batch is identified by its id; importing the same id again changes nothing.
+Layout under ``root``: ``store/<segment>``, ``keys``, ``fact``, ``quarantine``, ``audit``, ``processed``.
+A batch is identified by its id; importing the same id again changes nothing. What a batch needs of the stores is found
+by the index of order ids, so neither store is read beyond the months that the batch changes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import time
 from functools import reduce
 from typing import NamedTuple
@@ -16,20 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderflux import config
 from orderflux.functions import expressions as E
 from orderflux.functions import values as V
 from orderflux.functions.dimensions import local_table
 from orderflux.operators import merge as M
-from orderflux.operators.cleaning import Cleaned, clean, split_at_import
+from orderflux.operators.cleaning import Cleaned, clean, mark_at_import
 from orderflux.operators.normalise import enrich, normalise
 from orderflux.session import stable
 from orderflux.sources import files as S
+from orderflux.sources import key_index as K
 from orderflux.sources.storage import (
-    MONTH, list_names, manifest, month_of, read_bytes, read_months, write_months)
+    MONTH, Conflict, changed_since, holds_batch, list_names, manifest, month_of, read_months, retain, write_months)
 
 SEGMENTS = {"agent": "B2B", "master": "B2C"}
 KEY, TIME = M.KEY, "订单时间"
-_HELPERS = (S.FILE, S.SEQ, S.RANK, "_row")
+_HELPERS = (S.FILE, S.SEQ, S.RANK, "_row", "_turned", "reason")
 
 
 def store(root: str, segment: str) -> str:
@@ -53,73 +55,110 @@ def _months(df: DataFrame) -> list[str]:
     return [r[0] for r in df.select(MONTH).distinct().collect()]     # bounded by the calendar
 
 
+def stores(root: str) -> dict[str, str]:
+    return {s: store(root, s) for s in SEGMENTS}
+
+
 def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: str, batch_id: str,
-                 rejected: DataFrame | None = None) -> dict:
+                 rejected: DataFrame | None = None, source_stamp: int | None = None) -> dict:
     """Validate, fingerprint, quarantine, merge, publish and audit one batch of a segment.
 
-    ``rejected`` are rows the cleaner has already turned away; they are stored as well.
+    Rows the cleaner has turned away are stored as well: those with a ``reason``, and ``rejected``. ``source_stamp`` is the
+    newest modification time of the files the batch comes from. Another batch may be imported at the same time: where both
+    change the same months or ids, the one that is second merges again into what the first has left.
     """
     started = time.time()
-    table = store(root, segment)
-    current = manifest(spark, table)
-    if current and batch_id in current["batches"]:
-        publish(spark, root)                       # completes an interrupted run; else does nothing
+    if holds_batch(spark, store(root, segment), manifest(spark, store(root, segment)), batch_id):
+        K.refresh(spark, root, stores(root), KEY)  # completes an interrupted run; else does nothing
+        publish(spark, root)
         return {"segment": segment, "batch_id": batch_id, "skipped": True}
 
-    batch = incoming.withColumn("_row", F.monotonically_increasing_id()).persist()
+    columns, (unknown, missing) = M.content_columns(incoming), M.checked_headings(incoming)
+    turned = F.col("reason").isNotNull() if "reason" in incoming.columns else F.lit(False)
+    marked = mark_at_import(incoming.withColumn("_turned", turned))
+    if rejected is not None:
+        marked = marked.unionByName(rejected.withColumn("_turned", F.lit(True)), allowMissingColumns=True)
+    batch = marked.withColumn("_row", F.monotonically_increasing_id()).persist()
     try:
-        dates, unknown, missing = M.validate(batch)
-        file_hash = M.fingerprint(batch.drop("_row")).first()[0]
-        duplicate_file = _seen(spark, root, file_hash)
-        good, bad = split_at_import(batch)
-        good = _typed(good)
-        good = good.withColumn(MONTH, month_of(F.col(TIME)))
-        quarantined = _quarantine(spark, root, segment, batch_id, [bad, rejected])
-        rows = _latest(good).drop(*_HELPERS)
-
-        arriving = rows.select(KEY).filter(F.col(KEY).isNotNull())
-        keys = read_months(spark, table, [KEY, MONTH])
-        known = stable(keys.join(arriving, KEY, "left_semi")) if keys is not None else None
-        counts = M.merge_counts(known, good, KEY).first()
-        touched = set(_months(rows)) | set(_months(known) if known is not None else [])
-        existing = read_months(spark, table, months=touched) if known is not None else None
-        summary = None
-        if existing is not None:
-            changes = stable(M.restatements(existing, rows))
-            summary = M.restatement_summary(changes).first()
-        merged = M.upsert(existing, rows)
-        other = next(s for s in SEGMENTS if s != segment)
-        other_keys = read_months(spark, store(root, other), [KEY])
-        overlap = bool(current and current.get("overlap")) or (
-            other_keys is not None and not other_keys.join(arriving, KEY, "left_semi").isEmpty())
-        write_months(merged, table, months=touched, extra={
-            "batches": [*(current or {}).get("batches", []), batch_id],
-            "changed": sorted(touched), "overlap": overlap})
+        came, when = ~F.col("_turned"), M.time_column(incoming)
+        facts = batch.agg(
+            F.count_if(came).alias("n"), F.sum(F.when(came, M.row_number_of(columns))).alias("s"),
+            F.min(F.when(came, when)).alias("date_min"), F.max(F.when(came, when)).alias("date_max"),
+            F.count_if(F.col("reason").isNotNull()).alias("quarantined")).withColumn(
+            "file_hash", M.fingerprint_of(columns, F.col("n"), F.col("s"))).first()
+        duplicate_file = _seen(spark, root, facts["file_hash"])
+        if facts["quarantined"]:
+            _quarantine(root, segment, batch_id, batch.filter("reason IS NOT NULL"))
+        good = _typed(batch.filter("reason IS NULL")).withColumn(MONTH, month_of(F.col(TIME)))
+        rows = stable(_latest(good).drop(*_HELPERS))
+        for attempt in range(config.COMMIT_ATTEMPTS):
+            try:
+                merged = _merge(spark, root, segment, batch_id, good, rows, source_stamp)
+                break
+            except Conflict:
+                if attempt + 1 == config.COMMIT_ATTEMPTS:
+                    raise
         publish(spark, root)
-        total = _row_count(spark, table)
-        span = dates.first()
+        counts, summary = merged["counts"], merged["summary"]
         samples = [r.asDict() for r in summary["restatement_samples"]] if summary else []
         result = {
             "ts": time.strftime("%Y-%m-%d %H:%M:%S"), "segment": segment, "batch_id": batch_id,
-            "file_hash": file_hash, "duplicate_file": duplicate_file,
-            "rows_in": counts["rows"] + quarantined, "added": counts["added"],
+            "file_hash": facts["file_hash"], "duplicate_file": duplicate_file,
+            "rows_in": counts["rows"] + facts["quarantined"], "added": counts["added"],
             "duplicates": counts["duplicates"], "distinct_new": counts["distinct_new"],
-            "quarantined": quarantined,
-            "quarantine_file": quarantine_folder(root, segment, batch_id) if quarantined else None, "restated": summary["restated"] if summary else 0,
-            "restatement_samples": samples, "total_rows": total,
+            "quarantined": facts["quarantined"],
+            "quarantine_file": quarantine_folder(root, segment, batch_id) if facts["quarantined"] else None,
+            "restated": summary["restated"] if summary else 0,
+            "restatement_samples": samples, "total_rows": sum(merged["entry"]["rows"].values()),
             "elapsed_seconds": round(time.time() - started, 1),
-            "date_min": str(span["date_min"])[:16] if span["date_min"] else None,
-            "date_max": str(span["date_max"])[:16] if span["date_max"] else None,
+            "date_min": str(facts["date_min"])[:16] if facts["date_min"] else None,
+            "date_max": str(facts["date_max"])[:16] if facts["date_max"] else None,
             "unknown_columns": unknown, "missing_expected": missing}
         _audit(spark, root, result)
-        return {**result, "restatement_samples": samples[:5], "skipped": False}
+        return {**result, "restatement_samples": samples[:5], "buckets_read": merged["buckets_read"], "skipped": False}
     finally:
         batch.unpersist()
 
 
-def _row_count(spark: SparkSession, table: str) -> int:
-    rows = read_months(spark, table, [MONTH])
-    return rows.count() if rows is not None else 0           # answered by file footers
+def _merge(spark: SparkSession, root: str, segment: str, batch_id: str, good: DataFrame, rows: DataFrame,
+           source_stamp: int | None) -> dict:
+    """Merge the distinct ``rows`` of a batch into the store as it is now, and add their ids to the index."""
+    table = store(root, segment)
+    K.refresh(spark, root, stores(root), KEY)
+    head = manifest(spark, table)
+    arriving = rows.select(F.col(KEY).alias("id")).filter(F.col("id").isNotNull())
+    found, buckets_read = K.lookup(spark, root, arriving)
+    known = found.filter(F.col("segment") == segment).select(F.col("id").alias(KEY), F.col("month").alias(MONTH))
+    overlap = not found.filter(F.col("segment") != segment).isEmpty()
+    counts = M.merge_counts(known.select(KEY) if head else None, good, KEY).first()
+    touched = set(_months(rows)) | set(_months(known))
+    existing = read_months(spark, table, months=touched, entry=head) if head else None
+    summary = None
+    if existing is not None:
+        summary = M.restatement_summary(stable(M.restatements(existing, rows))).first()
+
+    def fits(newer: dict, months: set[str]) -> bool:
+        """None of the ids has come into a month that another batch has changed meanwhile."""
+        theirs = read_months(spark, table, [KEY], months=months, entry=newer)
+        return theirs is None or arriving.join(theirs, arriving["id"] == theirs[KEY], "left_semi").isEmpty()
+
+    stamp = max(source_stamp or 0, (head or {}).get("source_stamp", 0))
+    entry = write_months(M.upsert(existing, rows), table, months=touched, base=head, batch=batch_id, fits=fits,
+                         extra={"source_stamp": stamp})
+    # Only ids that are new or have moved to another month.
+    moved = rows.select(F.col(KEY).alias("id"), MONTH).join(
+        known.select(F.col(KEY).alias("id"), MONTH), ["id", MONTH], "left_anti")
+    K.add(spark, root, moved.select("id", F.lit(segment).alias("segment"), F.col(MONTH).alias("month")),
+          {segment: entry["version"]}, overlap, follows=True)
+    return {"entry": entry, "counts": counts, "summary": summary, "buckets_read": buckets_read}
+
+
+def maintain(spark: SparkSession, root: str, versions: int = config.RETAINED_VERSIONS,
+             seconds: float = config.RETAINED_SECONDS) -> dict[str, int]:
+    """Merge the index folders of much-used buckets and remove files out of use; folders removed per table."""
+    K.compact(spark, root)
+    removed = {s: retain(spark, t, versions, seconds) for s, t in {**stores(root), "fact": f"{root}/fact"}.items()}
+    return {**removed, "keys": K.clear(spark, root, versions, seconds)}
 
 
 AUDIT_SCHEMA = T.StructType([
@@ -159,14 +198,9 @@ def quarantine_folder(root: str, segment: str, batch_id: str) -> str:
     return f"{root}/quarantine/segment={segment}/batch_id={batch_id}"
 
 
-def _quarantine(spark: SparkSession, root: str, segment: str, batch_id: str, parts) -> int:
-    """Store rejected rows by segment and batch, with the reason; returns their number."""
-    frames = [p.drop(S.SEQ, "_row") for p in parts if p is not None]
-    rows = reduce(lambda a, b: a.unionByName(_texts(b), allowMissingColumns=True), frames[1:],
-                  _texts(frames[0]))
-    folder = quarantine_folder(root, segment, batch_id)
-    rows.write.mode("overwrite").parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder).count()
+def _quarantine(root: str, segment: str, batch_id: str, rows: DataFrame) -> None:
+    """Store rejected rows by segment and batch, with the reason."""
+    _texts(rows.drop(S.SEQ, "_row", "_turned")).write.mode("overwrite").parquet(quarantine_folder(root, segment, batch_id))
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -179,38 +213,39 @@ def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
 
 # --- the fact --------------------------------------------------------------
 
-def _changed_since(spark: SparkSession, table: str, version: int) -> set[str]:
-    out: set[str] = set()
-    for name in list_names(spark, f"{table}/_manifest"):
-        if name.endswith(".json") and int(name[:-5]) > version:
-            entry = json.loads(read_bytes(spark, f"{table}/_manifest/{name}").decode("utf-8"))
-            out |= set(entry.get("changed", entry["partitions"]))
-    return out
-
-
 def publish(spark: SparkSession, root: str, full: bool = False) -> dict | None:
     """Bring the fact up to the stores: only months changed since its last version are rebuilt."""
+    for attempt in range(config.COMMIT_ATTEMPTS):
+        try:
+            return _publish(spark, root, full)
+        except Conflict:
+            if attempt + 1 == config.COMMIT_ATTEMPTS:
+                raise
+
+
+def _publish(spark: SparkSession, root: str, full: bool) -> dict | None:
     fact = manifest(spark, f"{root}/fact")
     seen = {} if full or not fact else fact.get("sources", {})
-    heads = {s: manifest(spark, store(root, s)) for s in SEGMENTS}
-    heads = {s: h for s, h in heads.items() if h}
+    heads = {s: h for s, t in stores(root).items() if (h := manifest(spark, t))}
     versions = {s: h["version"] for s, h in heads.items()}
     if not heads or (not full and fact and seen == versions):
         return None
     months: set[str] = set()
-    for s in heads:
-        months |= _changed_since(spark, store(root, s), seen.get(s, 0))
+    for s, head in heads.items():
+        months |= changed_since(head, seen.get(s, 0))
     parts = []
-    for s in heads:
-        df = read_months(spark, store(root, s), months=months)
+    for s, head in heads.items():
+        df = read_months(spark, store(root, s), months=months, entry=head)
         if df is not None:
             parts.append(normalise(df.drop(MONTH)).withColumn("segment", F.lit(SEGMENTS[s])))
     if not parts:
         return None                                # nothing but rejected rows so far
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     rows = rows.distinct().withColumn(MONTH, month_of(F.col("order_time")))
-    return write_months(rows, f"{root}/fact", replace=full or not fact, months=months, extra={
-        "sources": versions, "unique": not any(h.get("overlap") for h in heads.values())})
+    overlap = bool((manifest(spark, K.table_of(root)) or {}).get("overlap"))
+    # Another publication may have seen other versions: nothing fits, it is done again from the newest.
+    return write_months(rows, f"{root}/fact", replace=full or not fact, months=months, base=fact,
+                        fits=lambda head, theirs: False, extra={"sources": versions, "unique": not overlap})
 
 
 def read_fact(spark: SparkSession, root: str, columns=None, months=None, enriched: bool = False):
@@ -272,8 +307,8 @@ def import_new_daily(spark: SparkSession, data_root: str, root: str, dry_run: bo
     if not paths:
         return summary
     fresh = stable(S.unprocessed(spark, paths, read_processed(spark, root)))
-    hashes = {r["path"]: r["file_hash"] for r in fresh.collect()}
-    chosen = [p for p in paths if S.plain_path(p) in hashes]
+    found = {r["path"]: r for r in fresh.collect()}
+    chosen = [p for p in paths if S.plain_path(p) in found]
     if not chosen:
         return summary
     reads, summary["errors"] = clean_files(spark, chosen)
@@ -286,11 +321,11 @@ def import_new_daily(spark: SparkSession, data_root: str, root: str, dry_run: bo
         if dry_run:
             continue
         files = [p for r in own for p in r.files]
-        keys = sorted(hashes[S.plain_path(p)] for p in files)
-        batch_id = hashlib.sha256("".join(keys).encode()).hexdigest()[:16]
+        sources = [found[S.plain_path(p)] for p in files]
+        batch_id = hashlib.sha256("".join(sorted(r["file_hash"] for r in sources)).encode()).hexdigest()[:16]
         summary["import"][segment] = append_batch(
-            spark, root, _union(r.rows.good for r in own), segment, batch_id,
-            _union(r.rows.quarantined for r in own))
+            spark, root, _union(r.rows.rows for r in own), segment, batch_id,
+            source_stamp=max((r["modified"] for r in sources if r["modified"] is not None), default=None))
         _of_files(fresh, files).write.mode("overwrite").json(f"{root}/processed/run={segment}-{batch_id}")
     return summary
 
@@ -303,12 +338,14 @@ def full_rebuild(spark: SparkSession, data_root: str, root: str, history=None, d
     out: dict = {"applied": False}
     paths = [p for s in SEGMENTS for p in S.discover(spark, data_root, s, (history or {}).get(s, ()))]
     reads, errors = clean_files(spark, paths) if paths else ([], [])
+    hashed = S.file_hashes(spark, [p for r in reads for p in r.files]) if reads and not dry_run else None
     for segment in SEGMENTS:
         own = [r for r in reads if r.segment == segment]
         if not own:
             out[segment] = {"rows": 0, "errors": errors}
             continue
-        rows = _latest(_union(r.rows.good for r in own))
+        marked = mark_at_import(_union(r.rows.rows for r in own))
+        rows = _latest(marked.filter("reason IS NULL"))
         if dry_run:
             r = rows.agg(F.count(F.lit(1)).alias("rows"), F.min(TIME).alias("lo"), F.max(TIME).alias("hi")).first()
             out[segment] = {"rows": r["rows"], "date_min": str(r["lo"])[:10], "date_max": str(r["hi"])[:10],
@@ -316,30 +353,22 @@ def full_rebuild(spark: SparkSession, data_root: str, root: str, history=None, d
             continue
         rows = rows.drop(*_HELPERS).withColumn(MONTH, month_of(F.col(TIME)))
         batch_id = "rebuild-" + time.strftime("%Y%m%d%H%M%S")
-        n_bad = _quarantine(spark, root, segment, batch_id, [_union(r.rows.quarantined for r in own)])
-        write_months(rows, store(root, segment), replace=True, extra={"batches": [], "overlap": False})
-        out[segment] = {"rows": _row_count(spark, store(root, segment)), "quarantined": n_bad,
-                        "errors": errors}
+        _quarantine(root, segment, batch_id, marked.filter("reason IS NOT NULL"))
+        bad = spark.read.parquet(quarantine_folder(root, segment, batch_id)).count()
+        entry = write_months(rows, store(root, segment), replace=True, extra={
+            "batches": [], "source_stamp": _newest(hashed, [p for r in own for p in r.files])})
+        out[segment] = {"rows": sum(entry["rows"].values()), "quarantined": bad, "errors": errors}
     if not dry_run:
-        files = [p for r in reads for p in r.files]
-        if files:
-            _of_files(S.file_hashes(spark, files), files).write.mode("overwrite").json(f"{root}/processed")
-        _mark_overlap(spark, root)
+        if hashed is not None:
+            _of_files(hashed, [p for r in reads for p in r.files]).write.mode("overwrite").json(f"{root}/processed")
+        K.refresh(spark, root, stores(root), KEY)
         publish(spark, root, full=True)
         out["applied"] = True
     return out
 
 
-def _mark_overlap(spark: SparkSession, root: str) -> None:
-    """Record whether an order id occurs in both stores; one join of the id columns."""
-    a, b = (read_months(spark, store(root, s), [KEY]) for s in SEGMENTS)
-    if a is None or b is None or a.join(b, KEY, "left_semi").isEmpty():
-        return
-    table = store(root, "agent")
-    entry = manifest(spark, table)
-    entry.update({"version": entry["version"] + 1, "overlap": True, "changed": []})
-    from orderflux.sources.storage import create_text
-    create_text(spark, f"{table}/_manifest/{entry['version']:08d}.json", json.dumps(entry, ensure_ascii=False))
+def _newest(hashed: DataFrame, files) -> int:
+    return _of_files(hashed, files).agg(F.max("modified")).first()[0] or 0
 
 
 def import_status(spark: SparkSession, root: str) -> DataFrame:
@@ -357,6 +386,25 @@ def import_status(spark: SparkSession, root: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def source_freshness(spark: SparkSession, data_root: str, root: str, history=None) -> DataFrame:
+    """Per segment whether its sources hold files newer than what its store was built from.
+
+    (segment, files, newer, newest_source, store_stamp, stale): files of the segment's folders by their modification time
+    against the newest one that the store's manifest names. One listing, and no file is read.
+    """
+    rows = []
+    for s in SEGMENTS:
+        paths = S.discover(spark, data_root, s, (history or {}).get(s, ()))
+        head = manifest(spark, store(root, s)) or {}
+        rows += [(s, p, modified, head.get("source_stamp", 0)) for p, (_, modified) in S.stamps(spark, paths).items()]
+        rows += [] if paths else [(s, None, None, head.get("source_stamp", 0))]
+    listed = local_table(spark, "segment string, path string, modified long, stamp long", rows)
+    return listed.groupBy("segment").agg(
+        F.count("path").alias("files"), F.count_if(F.col("modified") > F.col("stamp")).alias("newer"),
+        F.timestamp_micros(F.max("modified")).alias("newest_source"),
+        F.timestamp_micros(F.nullif(F.max("stamp"), F.lit(0))).alias("store_stamp")).withColumn("stale", F.col("newer") > 0)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """The filtered view as CSV with a header, written in parallel."""
     df.write.mode("overwrite").option("header", True).csv(path)

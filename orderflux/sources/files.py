@@ -10,7 +10,7 @@ from pathlib import PurePosixPath
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from orderflux.functions import values as V
 from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import clean_id
 from orderflux.operators.merge import keep_last
-from orderflux.sources.storage import file_stamp, glob_paths
+from orderflux.sources.storage import folder_stamps, glob_paths
 
 FILE, SEQ, RANK = "_file", "_seq", "_source_rank"
 _YEAR = re.compile(r"^20\d{2}$")
@@ -85,17 +85,22 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("at"))
 
 
+#: A whole quoted field, and the beginning of one.
+_QUOTED, _OPENING = r'(^|[,\t;|])"[^"]*+(?:""[^"]*+)*+"(?=[,\t;|]|\r?$)', r'(^|[,\t;|])"'
+
+
 def probe(spark: SparkSession, paths) -> dict[str, dict]:
     """Per file, from all its bytes on the executors: ``charset``, ``separator``, ``headings`` and ``multiline``.
 
     The encoding is the first that decodes every line; only files that are not UTF-8 throughout are looked at twice.
-    A field with a line break shows by a line with an odd number of quotes. One row per file reaches the driver; a file
+    A field with a line break shows by a line on which a field opens with a quote and does not end; quotes inside a field, such
+    as inch marks, do not count. One row per file reaches the driver; a file
     without bytes has none.
     """
     raw = F.col("value").cast("binary")
-    quotes = F.length(raw) - F.length(F.replace(F.decode(raw, "ISO-8859-1"), F.lit('"'), F.lit("")))
+    unquoted = F.regexp_replace(F.decode(raw, "ISO-8859-1"), _QUOTED, "$1")
     found = _lines(spark, paths).groupBy("path").agg(
-        F.min_by(raw, "at").alias("head"), F.max(quotes % 2).alias("odd"),
+        F.min_by(raw, "at").alias("head"), F.bool_or(unquoted.rlike(_OPENING)).alias("open"),
         F.bool_and(F.expr("is_valid_utf8(value)")).alias("plain")).collect()
     other = [p for p in paths if plain_path(p) in {r["path"] for r in found if not r["plain"]}]
     masks = {}
@@ -110,7 +115,7 @@ def probe(spark: SparkSession, paths) -> dict[str, dict]:
         first = bytes(r["head"]).decode(name, "replace").lstrip("\ufeff").rstrip("\r")
         separator = "\t" if r["path"].lower().endswith(".tsv") else max(",\t;|", key=first.count)
         headings = next(csv.reader([first], delimiter=separator), [])
-        out[r["path"]] = {"charset": charset, "separator": separator, "multiline": bool(r["odd"]),
+        out[r["path"]] = {"charset": charset, "separator": separator, "multiline": bool(r["open"]),
                           "headings": tuple(h.strip() for h in headings)}
     return out
 
@@ -212,21 +217,41 @@ def read_periods(spark: SparkSession, root: str, workbook: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, paths) -> DataFrame:
-    """(path, file_hash, size, modified): 16 hex digits from the number and two hash sums of each file's lines.
+    """(path, file_hash, size, modified): 16 hex digits from the lines of each file and their order.
 
-    Files are read in splits of any size; a file with the same lines in another order has the same hash, as has the
-    batch fingerprint. A file without bytes has no row.
+    Each line counts with its number: sums of h and of h times the place in a split, of two hashes h, give those of the whole
+    file once the splits before are counted. So files are read in splits of any size, with the same result. A file without
+    bytes has no row.
     """
+    at = F.monotonically_increasing_id()
     raw = spark.read.text(list(paths)).select(
         _plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size"),
         F.unix_micros("_metadata.file_modification_time").alias("modified"),
-        F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"))
-    sums = raw.groupBy("path", "size", "modified").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "ab"])
+        F.col("_metadata.file_block_start").alias("block"), at.bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(12,0)").alias("at"),
+        *[F.pmod(F.xxhash64(F.lit(k), "value"), F.lit(2**31 - 1)).cast("decimal(12,0)").alias(c) for k, c in enumerate("ab")])
+    splits = raw.groupBy("path", "size", "modified", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), *[F.sum(c).alias(c) for c in "ab"],
+        *[F.sum(F.col(c) * F.col("at")).alias(f"{c}_at") for c in "ab"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))                     # a row per split
+    sums = splits.withColumn("before", before - F.col("first")).groupBy("path", "size", "modified").agg(
+        F.sum("n").alias("n"), *[F.sum(F.col(f"{c}_at") + F.col(c) * F.col("before")).cast("decimal(38,0)").alias(c) for c in "ab"])
     digest = F.sha2(F.concat_ws(":", "n", "a", "b"), 256)
     return sums.select("path", F.left(digest, F.lit(16)).alias("file_hash"), "size", "modified")
 
 
+def stamps(spark: SparkSession, paths) -> dict[str, tuple[int, int]]:
+    """(size, modification time in microseconds) of each path, from one listing per folder."""
+    folders = defaultdict(list)
+    for p in paths:
+        folders[p.rsplit("/", 1)[0]].append(p)
+    out = {}
+    for folder, members in folders.items():
+        listed = folder_stamps(spark, folder)
+        out.update((p, listed[PurePosixPath(p).name]) for p in members)
+    return out
+
+
 def unprocessed(spark: SparkSession, paths, processed: DataFrame | None) -> DataFrame:
     """(path, file_hash, size, modified) of files whose content has not been imported.
 
@@ -234,7 +259,7 @@ def unprocessed(spark: SparkSession, paths, processed: DataFrame | None) -> Data
     """
     if processed is None:
         return file_hashes(spark, paths)
-    listed = [(plain_path(p), *stamp) for p, stamp in ((p, file_stamp(spark, p)) for p in paths)]
+    listed = [(plain_path(p), *stamp) for p, stamp in stamps(spark, paths).items()]
     known = {tuple(r) for r in local_table(spark, "path string, size long, modified long", listed).join(
         processed.select("path", "size", "modified"), ["path", "size", "modified"], "left_semi").collect()}
     new = [p for p, row in zip(paths, listed) if row not in known]

@@ -39,8 +39,8 @@ def ingest_folder(spark: SparkSession, folder: str, root: str, checkpoint: str,
         for segment in SEGMENTS:
             own = [r.rows for r in reads if r.segment == segment]
             if own:
-                append_batch(session, root, _union(r.good for r in own), segment, f"{name}-{batch_id}",
-                             _union(r.quarantined for r in own))
+                append_batch(session, root, _union(r.rows for r in own), segment, f"{name}-{batch_id}",
+                             source_stamp=max(modified for _, modified in held))
         if errors:
             rows = session.createDataFrame([(e["file"], e["error"]) for e in errors], "file string, error string")
             rows.write.mode("overwrite").json(f"{root}/errors/run={name}-{batch_id}")

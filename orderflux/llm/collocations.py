@@ -16,7 +16,7 @@ from orderflux.llm.common import col, ensure_checkpoint_dir, removed, stable, te
 
 LONGEST, LEAST, TOP, CLOSED = 5, 100, 2000, 100
 #: Shards of the corpus, and the slots of the tables of reached phrases (one for each length below the longest).
-SHARDS, SLOT_BITS = 3, 22
+SHARDS, SLOT_BITS = 3, 21
 #: Bytes of text that are counted at once.
 BLOCK = 8 << 20
 NEVER = 255
@@ -25,7 +25,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(GAPS)] = 1
 _KIND[list(BREAKS)] = 2
-WORDS_OF = "lang string, k int, phrase string, count long"
+#: Counts of a scan. A key is the language, a tab and the phrase; a place is the length and the slot of the phrase.
+COUNTS = "key string, place long, count long"
 
 
 def blocks(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
@@ -77,11 +78,14 @@ def counted(ids: np.ndarray, size: int, at: np.ndarray, k: int) -> tuple[np.ndar
     code, bound = ids[at], size
     for j in range(1, k):
         if bound * size >= 1 << 62:
-            seen, code = np.unique(code, return_inverse=True)
-            bound = len(seen)
+            coded = pa.array(code).dictionary_encode()
+            code, bound = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
         code, bound = code * size + ids[at + j], bound * size
-    _, places, numbers = np.unique(code, return_index=True, return_counts=True)
-    return at[places], numbers
+    which = pa.array(code).dictionary_encode().indices.to_numpy()
+    numbers = np.bincount(which)
+    places = np.empty(len(numbers), np.int64)
+    places[which[::-1]] = at[::-1]
+    return places, numbers
 
 
 def block_counts(data: bytes, lang: str, step: int, shards: int, reached: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -93,29 +97,30 @@ def block_counts(data: bytes, lang: str, step: int, shards: int, reached: list[n
     words, piece = tokens(data)
     if not len(words):
         return
+    bits = len(reached[0]).bit_length() - 1
     coded = words.dictionary_encode()
     vocab, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab.to_pylist()), np.uint64, len(vocab))[ids]
     phrase = first_hash(hashes, lang)
+    blank, head = pa.scalar(b" ", pa.large_binary()), pa.scalar(lang.encode() + b"\t", pa.large_binary())
     for k in range(1, LONGEST + 1):
         if k > 1:
             if len(ids) < k:
                 return
-            since = reached[k - 2][slot(phrase, len(reached[k - 2]).bit_length() - 1)]
-            begin = np.maximum(since[:-1], since[1:]).astype(np.int64)
-            at = np.flatnonzero((begin <= step) & (step < begin + shards) & (piece[:-k + 1] == piece[k - 1:]))
+            since = reached[k - 2][slot(phrase, bits)]
+            begin = np.maximum(since[:-1], since[1:])
+            at = np.flatnonzero((begin <= step) & (begin > step - shards) & (piece[:-k + 1] == piece[k - 1:]))
             phrase = longer_hash(phrase[:-1], hashes[k - 1:])
-        elif step < shards:
-            at = np.arange(len(ids))
         else:
-            at = np.zeros(0, np.int64)
+            at = np.arange(len(ids) if step < shards else 0)
         if len(at):
             places, numbers = counted(ids, len(vocab), at, k)
             parts = [vocab.take(pa.array(ids[places + j])) for j in range(k)]
-            text = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
+            text = pc.binary_join_element_wise(*parts, blank) if k > 1 else parts[0]
+            key = pc.binary_join_element_wise(head, text, pa.scalar(b"", pa.large_binary()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(places)), pa.array(np.full(len(places), k, np.int32)),
-                 text.cast(pa.large_string()).cast(pa.string()), pa.array(numbers.astype(np.int64))], names=["lang", "k", "phrase", "count"])
+                [key.cast(pa.large_string()).cast(pa.string()), pa.array((k << 32) + slot(phrase[places], bits)),
+                 pa.array(numbers.astype(np.int64))], names=["key", "place", "count"])
 
 
 def shard_counts(step: int, shards: int, reached, block_size: int) -> Callable:
@@ -139,20 +144,6 @@ def shard_counts(step: int, shards: int, reached, block_size: int) -> Callable:
     return run
 
 
-def phrase_slots(bits: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist()):
-                words = [np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in phrase.encode().split(b" ")]
-                value = first_hash(words[0], lang)
-                for w in words[1:]:
-                    value = longer_hash(value, w)
-                out.append(int(slot(value, bits)[0]))
-            yield pa.RecordBatch.from_arrays([batch["k"], pa.array(out, pa.int32())], names=["k", "slot"])
-    return run
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text",
                      shards: int = SHARDS, slot_bits: int = SLOT_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``LONGEST`` words that occur ``least`` times in their language, (lang, k, phrase, f), and the number of
@@ -166,6 +157,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang"
     Which phrases have reached the threshold, and when, stands in one table of ``2 ** slot_bits`` bytes for each length,
     broadcast to the scans: its size is fixed. Phrases that share a slot begin together, so a full table costs needless
     counting and never a result: sums are by the phrase itself. Counts of a block are summed before the shuffle.
+
+    A phrase that reaches the threshold in one cycle has at least its part of it, one in ``shards``, in some scan. So only counts
+    in the slots of such phrases are summed over scans; their number is bounded by the slots.
     """
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
@@ -173,27 +167,39 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang"
      .withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
      .write.partitionBy("shard").parquet(f"{folder}/shards"))
     corpus = spark.read.schema("lang string, text string, shard long").parquet(f"{folder}/shards")
-    counts = spark.read.schema(WORDS_OF)
+
+    def summed(steps, heavy: list[np.ndarray]) -> DataFrame:
+        """Phrases with the sums of their counts in these steps, where they lie in a slot of ``heavy``."""
+        places = spark.createDataFrame(pa.table({"place": np.unique(np.concatenate(heavy))}))     # bounded by the slots
+        counts = spark.read.schema(COUNTS).parquet(*[f"{folder}/steps/{t}" for t in steps])
+        return counts.join(F.broadcast(places), "place", "left_semi").groupBy("key", "place").agg(
+            F.sum("count").alias("f")).where(F.col("f") >= least)
+
     reached, latest, step = [np.full(1 << slot_bits, NEVER, np.uint8) for _ in range(LONGEST - 1)], 0, 0
+    heavy: list[np.ndarray] = []
     while step < shards or step < latest + shards:
         shared = spark.sparkContext.broadcast(reached)
         (corpus.where(F.col("shard") == step % shards).select("lang", "text")
-         .mapInArrow(shard_counts(step, shards, shared, block), WORDS_OF)
-         .groupBy("lang", "k", "phrase").agg(F.sum("count").alias("count")).write.parquet(f"{folder}/steps/{step}"))
+         .mapInArrow(shard_counts(step, shards, shared, block), COUNTS)
+         .groupBy("key", "place").agg(F.sum("count").alias("count")).write.parquet(f"{folder}/steps/{step}"))
         shared.destroy()
-        cycle = [f"{folder}/steps/{t}" for t in range(max(0, step - shards + 1), step + 1)]
-        now = (counts.parquet(*cycle).where(F.col("k") < LONGEST).groupBy("lang", "k", "phrase")
-               .agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("lang", "k", "phrase")
-               .mapInArrow(phrase_slots(slot_bits), "k int, slot int").distinct().toPandas())
+        now = spark.read.schema(COUNTS).parquet(f"{folder}/steps/{step}").where(F.col("count") >= -(-least // shards))
+        heavy.append(now.select("place").distinct().toPandas()["place"].to_numpy(np.int64))
+        cycle = range(max(0, step - shards + 1), step + 1)
         step += 1
-        for k, slots in now.groupby("k")["slot"]:
-            table, slots = reached[k - 1], slots.to_numpy()
+        if not len(heavy[-1]):
+            continue
+        over = summed(cycle, heavy[-shards:]).select("place").distinct().toPandas()["place"].to_numpy(np.int64)
+        for k, table in enumerate(reached, 1):
+            slots = over[over >> 32 == k] & ((1 << 32) - 1)
             new = slots[table[slots] == NEVER]
             table[new] = step
             latest = step if len(new) else latest
-    every = counts.parquet(*[f"{folder}/steps/{t}" for t in range(step)])
-    words = stable(every.where("k = 1").groupBy("lang").agg(F.sum("count").alias("n")))
-    found = stable(every.groupBy("lang", "k", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
+    first = spark.read.schema(COUNTS).parquet(*[f"{folder}/steps/{t}" for t in range(min(shards, step))])
+    lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang")
+    words = stable(first.where(F.col("place") < 2 << 32).groupBy(lang).agg(F.sum("count").alias("n")))
+    found = stable(summed(range(step), heavy).select(
+        lang, F.shiftright("place", 32).cast("int").alias("k"), F.substring_index("key", "\t", -1).alias("phrase"), "f"))
     removed(spark, folder)
     return found, words
 

@@ -16,7 +16,7 @@ from orderflux.llm.common import col, ensure_checkpoint_dir, removed, stable, te
 
 LONGEST, LEAST, TOP, CLOSED = 5, 100, 2000, 100
 #: Shards of the corpus, and the slots of the tables of reached phrases (one for each length below the longest).
-SHARDS, SLOT_BITS = 3, 21
+SHARDS, SLOT_BITS = 2, 21
 #: Bytes of text that are counted at once.
 BLOCK = 8 << 20
 NEVER = 255
@@ -53,7 +53,7 @@ def tokens(data: bytes) -> tuple[pa.Array, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
-    return words, np.cumsum(kind == 2)[starts]
+    return words, np.cumsum(kind == 2, dtype=np.int32)[starts]
 
 
 def seed_of(lang: str) -> np.uint64:
@@ -88,7 +88,13 @@ def counted(ids: np.ndarray, size: int, at: np.ndarray, k: int) -> tuple[np.ndar
     return places, numbers
 
 
-def block_counts(data: bytes, lang: str, step: int, shards: int, reached: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def growing_lengths(step: int, shards: int, reached: list[np.ndarray]) -> set[int]:
+    """Lengths of which some phrase has reached the threshold within the last cycle: phrases one word longer are active."""
+    return {k for k, table in enumerate(reached, 1) if ((table <= step) & (table > step - shards)).any()}
+
+
+def block_counts(data: bytes, lang: str, step: int, shards: int, reached: list[np.ndarray],
+                 growing: set[int]) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of a block that are active in this step.
 
     Words are active in the first cycle. A longer phrase is from the step by which both its subphrases of one word less have
@@ -107,9 +113,11 @@ def block_counts(data: bytes, lang: str, step: int, shards: int, reached: list[n
         if k > 1:
             if len(ids) < k:
                 return
-            since = reached[k - 2][slot(phrase, bits)]
-            begin = np.maximum(since[:-1], since[1:])
-            at = np.flatnonzero((begin <= step) & (begin > step - shards) & (piece[:-k + 1] == piece[k - 1:]))
+            at = ids[:0]
+            if k - 1 in growing:
+                since = reached[k - 2][slot(phrase, bits)]
+                begin = np.maximum(since[:-1], since[1:])
+                at = np.flatnonzero((begin <= step) & (begin > step - shards) & (piece[:-k + 1] == piece[k - 1:]))
             phrase = longer_hash(phrase[:-1], hashes[k - 1:])
         else:
             at = np.arange(len(ids) if step < shards else 0)
@@ -125,12 +133,13 @@ def block_counts(data: bytes, lang: str, step: int, shards: int, reached: list[n
 
 def shard_counts(step: int, shards: int, reached, block_size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        growing = growing_lengths(step, shards, reached.value)
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
         def flushed(lang):
             for block in blocks(b"\n".join(held.pop(lang)).lower(), block_size):     # of bytes: A-Z only
-                yield from block_counts(block, lang, step, shards, reached.value)
+                yield from block_counts(block, lang, step, shards, reached.value, growing)
             sizes.pop(lang)
 
         for batch in batches:
@@ -165,7 +174,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang"
     folder = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     (docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
      .withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
-     .write.partitionBy("shard").parquet(f"{folder}/shards"))
+     .write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards"))
     corpus = spark.read.schema("lang string, text string, shard long").parquet(f"{folder}/shards")
 
     def summed(steps, heavy: list[np.ndarray]) -> DataFrame:
@@ -181,7 +190,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang"
         shared = spark.sparkContext.broadcast(reached)
         (corpus.where(F.col("shard") == step % shards).select("lang", "text")
          .mapInArrow(shard_counts(step, shards, shared, block), COUNTS)
-         .groupBy("key", "place").agg(F.sum("count").alias("count")).write.parquet(f"{folder}/steps/{step}"))
+         .groupBy("key", "place").agg(F.sum("count").alias("count"))
+         .write.option("compression", "zstd").parquet(f"{folder}/steps/{step}"))
         shared.destroy()
         now = spark.read.schema(COUNTS).parquet(f"{folder}/steps/{step}").where(F.col("count") >= -(-least // shards))
         heavy.append(now.select("place").distinct().toPandas()["place"].to_numpy(np.int64))

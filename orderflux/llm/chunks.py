@@ -16,8 +16,12 @@ from orderflux.llm.common import col, fresh, text_of
 
 #: One byte in so many may end a chunk, unless another such byte stands among the ``GAP`` before it.
 RARE, GAP = 24, 16
-#: Bytes of a passage: repeated whole chunks, and these with the two chunks that the passage may reach into.
-LEAST_CHUNKS, LEAST_REACH = 64, 250
+#: Of a passage: bytes of its repeated whole chunks, and words of these and the two chunks that it may reach into.
+LEAST_BYTES, LEAST_WORDS = 24, 51
+#: Bytes at the beginning of a passage within which the text before it can set other ends of chunks.
+SHIFT = 16 + GAP
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _GEAR = np.random.default_rng(4).integers(0, 1 << 16, 256, np.uint16)
 
 
@@ -40,9 +44,24 @@ def chunk_ends(data: bytes) -> np.ndarray:
     return np.r_[small[(raw[small] & 0xC0) != 0x80], len(raw)] if len(raw) else np.zeros(0, int)
 
 
+def words_around(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words between blanks that begin in each chunk, in what may belong to a passage before it, and in the chunk after it.
+
+    Near the beginning of a passage the bytes before it can move an end of a chunk by ``SHIFT``; so what a passage may reach
+    into is the chunk before and so many bytes more.
+    """
+    blank = _BLANK[np.frombuffer(data, np.uint8)]
+    begun = np.r_[0, np.cumsum(~blank & np.r_[True, blank[:-1]])] if len(blank) else np.zeros(1, int)
+    words = begun[ends] - begun[starts]
+    if not len(ends):
+        return np.zeros((3, 0), int)
+    reach = np.maximum(np.r_[0, starts[:-1]] - SHIFT, 0)
+    return np.stack([words, begun[starts] - begun[reach], np.r_[words[1:], 0]])
+
+
 def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All chunks: (id, mark, k, start, size, before, after, d1, d2): number, first byte, bytes of the chunk and of its
-    neighbours, and its 128-bit digest; ``mark`` is the text's hash."""
+    """All chunks: (id, mark, k, start, size, words, before, after, d1, d2): number, first byte, bytes, words that begin in
+    the chunk and in its neighbours, and its 128-bit digest; ``mark`` is the text's hash."""
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("mark"),
                        text_of(text_col).alias("text"))
 
@@ -57,19 +76,19 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     starts = np.r_[0, ends[:-1]] if len(ends) else ends
                     size = ends - starts
                     owner += [n] * len(ends)
-                    parts.append(np.stack([np.arange(len(ends)), starts, size, np.r_[0, size[:-1]] if len(ends) else size,
-                                           np.r_[size[1:], 0] if len(ends) else size]))
+                    parts.append(np.concatenate([np.stack([np.arange(len(ends)), starts, size]),
+                                                 words_around(data, starts, ends)]))
                     digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 values = np.concatenate(parts, axis=1).astype(np.int32)
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 own = part.select(["id", "mark"]).take(pa.array(owner, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, *map(pa.array, values), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                    names=["id", "mark", "k", "start", "size", "before", "after", "d1", "d2"])
+                    names=["id", "mark", "k", "start", "size", "words", "before", "after", "d1", "d2"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"id {kind}, mark long, k int, start int, size int, before int, after int, "
-                                "d1 long, d2 long")
+    return rows.mapInArrow(cut, f"id {kind}, mark long, k int, start int, size int, words int, before int, "
+                                "after int, d1 long, d2 long")
 
 
 def _runs(kind):
@@ -84,8 +103,8 @@ def _runs(kind):
             spans, ids, run = [], [], []
             for c in [*chunks, None]:
                 if run and (c is None or c["k"] != run[-1]["k"] + 1):
-                    size = sum(r["size"] for r in run)
-                    if size >= LEAST_CHUNKS and size + run[0]["before"] + run[-1]["after"] >= LEAST_REACH:
+                    words = sum(r["words"] for r in run) + run[0]["before"] + run[-1]["after"]
+                    if sum(r["size"] for r in run) >= LEAST_BYTES and words >= LEAST_WORDS:
                         spans.append({"start": run[0]["start"], "end": run[-1]["start"] + run[-1]["size"]})
                         ids += [r["first"] for r in run if r["first"] is not None]
                     run = []
@@ -101,7 +120,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Passages of each text that stand earlier in some text: (id, mark, spans, earlier), texts with any only.
 
     Chunks are ordered by id (null first), text hash and place. Of equal chunks the first stays; runs of
-    later ones that come to ``LEAST_CHUNKS`` bytes, and with the chunks on both sides to ``LEAST_REACH``, are passages.
+    later ones that come to ``LEAST_BYTES``, and with the chunks on both sides to ``LEAST_WORDS``, are passages.
     ``spans`` are their places in bytes and ``earlier`` the ids of the first chunks (the text's own id where it repeats
     itself). Rows alike in id and text count as one; null and empty texts have no chunk.
 
@@ -113,7 +132,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = chunks.join(first, ["d1", "d2"]).where(place > F.col("first"))
     found = later.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct(
-        "k", "start", "size", "before", "after", F.col("first.id").alias("first")))).alias("chunks"))
+        "k", "start", "size", "words", "before", "after", F.col("first.id").alias("first")))).alias("chunks"))
     runs = _runs(docs.schema[id_col].dataType)
     return found.withColumn("x", runs("chunks")).select("id", "mark", "x.spans", "x.earlier").where(F.size("spans") > 0)
 

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from orderflux.llm.common import col, fresh, text_of
 
-WORD = re.compile(r"\w+")
-#: Words of the shortest tile, and the share of a test item that tiles must cover.
+#: Letters of scripts that are written without blanks: each is a word of its own.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
+#: Words of the shortest tile (of items that are shorter, all their words), and the share of a test item that tiles must
+#: cover.
 LEAST, COVERAGE = 5, 0.6
-#: Words of benchmark items that one pass over the documents looks for; more items are more passes.
-BLOCK_WORDS = 2_000_000
+#: Bytes of benchmark items that one pass over the documents looks for; more items are more passes.
+BLOCK_BYTES = 12 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,60 +72,68 @@ def tiled(doc_at: np.ndarray, item_at: np.ndarray, least: int, item_len: int) ->
 
 
 class Items:
-    """A block of benchmark items with an index of their seeds."""
+    """A block of benchmark items with an index of their seeds, one for each length of seeds."""
 
     def __init__(self, rows: list[tuple], least: int):
-        self.least, self.ids, self.words = least, [r[0] for r in rows], {}
+        self.ids, self.words = [r[0] for r in rows], {}
         texts = [[self.words.setdefault(w, len(self.words) + 1) for w in WORD.findall((r[1] or "").lower())]
                  for r in rows]
-        self.lengths = np.array([len(t) for t in texts], np.int64)
         self.tokens = [np.array(t, np.int64) for t in texts]
-        seeds = [rolled(t, least) for t in self.tokens]
-        owner = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])
-        place = np.concatenate([np.arange(len(s)) for s in seeds] or [np.zeros(0, np.int64)])
-        seed = np.concatenate(seeds or [np.zeros(0, np.uint64)])
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.owner, self.place = seed[order], owner[order], place[order]
+        self.seeds = {}
+        for size in range(1, least + 1):
+            members = [k for k, t in enumerate(texts) if min(least, len(t)) == size]
+            if members:
+                hashes = [rolled(self.tokens[k], size) for k in members]
+                owner = np.repeat(members, [len(h) for h in hashes])
+                place, seed = np.concatenate([np.arange(len(h)) for h in hashes]), np.concatenate(hashes)
+                order = np.argsort(seed, kind="stable")
+                self.seeds[size] = seed[order], owner[order], place[order]
 
     def coverage(self, text: str) -> tuple[list, list[float]]:
         """Ids of the items that share a seed with the text, and the share of their words that tiling covers."""
         ids = np.fromiter(map(self.words.get, WORD.findall(text.lower()), iter(int, 1)), np.int64)
-        found = rolled(ids, self.least)
-        if not len(found) or not len(self.seed):
-            return [], []
-        known = np.convolve(ids > 0, np.ones(self.least, np.int64), "valid") == self.least
+        items, shares = [], []
+        for size, index in self.seeds.items():
+            for item, covered in self._covered(ids, size, *index):
+                items.append(self.ids[item])
+                shares.append(covered)
+        return items, shares
+
+    def _covered(self, ids: np.ndarray, size: int, seed: np.ndarray, owner: np.ndarray, place: np.ndarray):
+        found = rolled(ids, size)
+        if not len(found):
+            return
+        known = np.convolve(ids > 0, np.ones(size, np.int64), "valid") == size
         at = np.flatnonzero(known)
-        low = np.searchsorted(self.seed, found[at], "left")
-        n = np.searchsorted(self.seed, found[at], "right") - low
+        low = np.searchsorted(seed, found[at], "left")
+        n = np.searchsorted(seed, found[at], "right") - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         if not len(at):
-            return [], []
+            return
         rows = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        doc_at, owner, item_at = np.repeat(at, n), self.owner[rows], self.place[rows]
-        items, shares = [], []
-        for item in np.unique(owner):
-            own = owner == item
+        doc_at, who, item_at = np.repeat(at, n), owner[rows], place[rows]
+        for item in np.unique(who):
+            own = who == item
             a, b, tokens = doc_at[own], item_at[own], self.tokens[item]
             same = np.ones(len(a), bool)
-            for k in range(self.least):
+            for k in range(size):
                 same &= ids[a + k] == tokens[b + k]
             if same.any():
-                items.append(self.ids[item])
-                shares.append(tiled(a[same], b[same], self.least, len(tokens)) / len(tokens))
-        return items, shares
+                yield item, tiled(a[same], b[same], size, len(tokens)) / len(tokens)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """Benchmark items that share a seed with a text: (id, mark, item_id, coverage), one row per pair.
 
-    Words are runs of word characters in lower case; ``mark`` is the text's hash. Benchmark items are a stated query
-    set: they are dealt into blocks of some ``BLOCK_WORDS`` words, and every block is held against all documents in one
-    pass, whole texts and without a shuffle. Items of under ``least`` words have no seed and are not found.
+    Words are runs of word characters in lower case, in scripts without blanks single letters; ``mark`` is the text's
+    hash. Benchmark items are a stated query set: they are dealt into blocks of some ``BLOCK_BYTES``, and every block is held
+    against all documents in one pass, whole texts and without a shuffle. Items of under ``least`` words have all their words
+    as their only seed, so they are found as a whole; items without words are not.
     """
     items = benchmark.select(col(item_col).alias("item_id"), text_of(item_text).alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\W+", -1)))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_WORDS))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("mark"),
                        text_of(text_col).alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, mark long, " \
@@ -155,9 +166,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   coverage: float = COVERAGE, **names) -> DataFrame:
     """For every row of ``docs``: (doc_id, contaminated, item_ids, coverage).
 
-    item_ids are the items whose words tiles of at least ``LEAST`` words cover to ``coverage`` or more, in whatever
+    item_ids are the items whose words tiles of at least ``LEAST`` words (or all of a shorter item's) cover to ``coverage`` or more, in whatever
     order their parts stand; coverage is the largest share over all items, 0 without a common seed. Null and empty
-    texts and an empty benchmark give clean rows. Rows alike in id and text share their result.
+    texts and an empty benchmark give clean rows. Rows alike in id and text share their result. Of matches of one length
+    the first in the item is marked first, then the first in the text. Very long texts are held whole, one at a time.
     """
     hits = benchmark_hits(docs, benchmark, id_col, text_col, **names)
     found = hits.groupBy("id", "mark").agg(

@@ -130,14 +130,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sizes = docs.select(col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("mark"),
                         col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"))
-    sizes = stable(sizes)
+    # Rows alike in all that counts get numbers, so that they are dealt to several groups.
+    sizes = stable(sizes.groupBy(*sizes.columns).agg(F.count("*").alias("n")).withColumn(
+        "nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).drop("n"))
     targets = stable(source_targets(sizes, weights, share, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     buckets = F.ceil(F.col("n_rows") / GROUP)
     rows = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "mark", "size", "source_size", "target", "place",
         F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"),
-        F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), buckets).alias("bucket"))
+        F.pmod(F.xxhash64("doc_id", "mark", "nth", F.lit(seed)), buckets).alias("bucket"))
     schema = rows.schema
     most_buckets = targets.agg(F.max(buckets)).first()[0] or 1
     depth = max(1, math.ceil(math.log(most_buckets, GROUP) - 1e-9) + 1) if most_buckets > 1 else 1
@@ -157,12 +159,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
           **settings) -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` takes them, with the columns of ``docs``.
 
-    Rows alike in id and text are taken as often as the first of them by copies.
+    Rows alike in id and text share their copies: each gets the whole part of their mean, and as many as are left, by their
+    numbers, one more. The numbers are given within partitions first, so that no task holds all of them.
     """
     plan = mix(docs, id_col, text_col, source_col, **settings).groupBy("doc_id", "mark").agg(
-        F.max("copies").alias("copies"))
-    key, mark = fresh(docs, "id"), fresh(docs, "mark")
-    plan = plan.where("copies > 0").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.explode(
-        F.sequence(F.lit(1).cast("bigint"), "copies")).alias(fresh(docs, "copy")))
-    return docs.join(plan, col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_of(text_col)) == F.col(mark))
-                     ).select(*[col(c) for c in docs.columns])
+        F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    key, mark, copies, n, part, at, nth, k2, m2, p2, count, before = (fresh(docs, c) for c in (
+        "id", "mark", "copies", "n", "part", "at", "nth", "id2", "mark2", "part2", "count", "before"))
+    plan = plan.select(*[F.col(c).alias(name) for c, name in (("doc_id", key), ("mark", mark), ("copies", copies), ("n", n))])
+    numbered = docs.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()})
+    taken = numbered.join(plan, col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_of(text_col)) == F.col(mark)))
+    single = taken.where(F.col(n) == 1).withColumn(nth, F.lit(1).cast("bigint"))
+    alike = taken.where(F.col(n) > 1)
+    earlier = F.sum(count).over(Window.partitionBy(key, mark).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    counts = alike.groupBy(key, mark, part).agg(F.count("*").alias(count)).select(
+        F.col(key).alias(k2), F.col(mark).alias(m2), F.col(part).alias(p2), F.coalesce(earlier, F.lit(0)).alias(before))
+    local = F.row_number().over(Window.partitionBy(key, mark, part).orderBy(at))
+    alike = alike.withColumn(nth, local.cast("bigint")).join(counts, F.col(key).eqNullSafe(F.col(k2)) & (
+        F.col(mark) == F.col(m2)) & (F.col(part) == F.col(p2))).withColumn(nth, F.col(nth) + F.col(before)).drop(k2, m2, p2, before)
+    more = (F.col(nth) <= F.col(copies) % F.col(n)).cast("bigint")
+    every = single.unionByName(alike).withColumn(copies, F.floor(F.col(copies) / F.col(n)) + more).where(F.col(copies) > 0)
+    return every.withColumn(part, F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select(*[col(c) for c in docs.columns])

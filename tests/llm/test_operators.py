@@ -262,7 +262,7 @@ def test_blocks_of_items_give_one_result(spark, monkeypatch):
     items = spark.createDataFrame([(k, f"the quick brown fox number{k} jumps over the lazy dog") for k in range(5)],
                                   "item_id long, text string")
     whole = decontaminate.contamination(df, items).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
     assert decontaminate.contamination(df, items).orderBy("doc_id").collect() == whole
     assert [r["item_ids"] for r in whole][:5] == [[k] for k in range(5)]
 

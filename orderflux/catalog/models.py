@@ -115,6 +115,48 @@ def m4a(spark, d):
     return FC.accuracy(FC.baseline_validation(series, "country"), "country")
 
 
+_X = ("t", "ln(1 + l1)", "ln(1 + l7)", "ln(1 + l14)", "ln(1 + r7)", "ln(1 + r28)", "sin(2 * pi() * (isodow(day) - 1) / 7)",
+      "cos(2 * pi() * (isodow(day) - 1) / 7)", "CASE WHEN isodow(day) >= 6 THEN 1 ELSE 0 END",
+      "sin(2 * pi() * month(day) / 12)", "cos(2 * pi() * month(day) / 12)")
+
+
+@register("M4_ridge_validation", f"""
+WITH RECURSIVE {_BASE}, lags AS (
+  SELECT country, day, revenue, row_number() OVER w - 1 AS t, lag(revenue, 1) OVER w AS l1, lag(revenue, 7) OVER w AS l7,
+    lag(revenue, 14) OVER w AS l14, avg(revenue) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS r7,
+    avg(revenue) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS r28
+  FROM series WINDOW w AS (PARTITION BY country ORDER BY day)),
+feat AS (SELECT country, day, revenue, ln(1 + revenue) AS y, t - 28 AS i, [{", ".join(f"CAST({x} AS DOUBLE)" for x in _X)}] AS x
+         FROM lags WHERE t >= 28),
+size AS (SELECT country, count(*) AS n FROM feat GROUP BY 1),
+fold AS (SELECT country, n - 14 * k - 14 AS start_, n - 14 * k AS end_ FROM size, range(0, 3) r(k) WHERE n - 14 * k - 14 > 30),
+train AS (SELECT f.country, start_, x, y FROM feat f JOIN fold ON fold.country = f.country AND i < start_),
+mean AS (SELECT country, start_, count(*) AS n, avg(y) AS level, [{", ".join(f"avg(x[{k}])" for k in range(1, 12))}] AS m,
+           [{", ".join(f"CASE WHEN stddev_pop(x[{k}]) > 1e-4 THEN stddev_pop(x[{k}]) ELSE 1 END" for k in range(1, 12))}] AS s
+         FROM train GROUP BY 1, 2),
+unit AS (SELECT t.country, t.start_, y - level AS y, list_transform(range(1, 12), lambda k: (x[k] - m[k]) / s[k]) AS z
+         FROM train t JOIN mean USING (country, start_)),
+cell AS (SELECT country, start_, a, b, sum(z[a] * CASE WHEN b = 12 THEN y ELSE z[b] END) + CASE WHEN a = b THEN 1 ELSE 0 END AS v
+         FROM unit, range(1, 12) p(a), range(1, 13) q(b) GROUP BY country, start_, a, b),
+line AS (SELECT country, start_, a, list(v ORDER BY b) AS r FROM cell GROUP BY country, start_, a),
+elim AS (
+  SELECT country, start_, 0 AS k, list(r ORDER BY a) AS m FROM line GROUP BY country, start_
+  UNION ALL
+  SELECT country, start_, k + 1, list_transform(range(1, 12), lambda i: list_transform(range(1, 13), lambda j:
+    CASE WHEN i = k + 1 THEN m[i][j] / m[k + 1][k + 1] ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END))
+  FROM elim WHERE k < 11)
+SELECT f.country, strftime(day, '%Y-%m-%d') AS day, revenue AS actual, greatest(0, level + list_sum(list_transform(
+    range(1, 12), lambda k: (f.x[k] - mean.m[k]) / mean.s[k] * e.m[k][12]))) AS log_predicted
+FROM feat f JOIN fold ON fold.country = f.country AND i >= fold.start_ AND i < end_
+JOIN mean ON mean.country = f.country AND mean.start_ = fold.start_
+JOIN elim e ON e.country = f.country AND e.start_ = fold.start_ AND e.k = 11
+""", "actual:2 log_predicted:4")
+def m4r(spark, d):
+    """Ridge on the rows before each of the last three fortnights, for every market."""
+    series = daily_series(successful(spark, d, "sales", "order_time", "country"), "country")
+    return FC.ridge_validation(series, "country").select("country", "day", "actual", F.log1p("predicted").alias("log_predicted"))
+
+
 @register("M5_forecast_by_market")
 def m5m(spark, d):
     series = stable(daily_series(successful(spark, d, "sales", "order_time", "country"), "country"))

@@ -486,6 +486,16 @@ def g50(spark, d):
     return R.settlement_audit(costed(spark, d, "sales", "country"))
 
 
+@register("G50_median_refined", """
+SELECT l_returnflag AS flag, median(l_extendedprice) AS median_price, count(*) AS rows FROM lineitem GROUP BY 1
+""", "median_price:4")
+def g50r(spark, d):
+    """The exact median where a value bucket holds far more values than one task may order."""
+    from orderflux.operators.ordering import exact_median
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("price"))
+    return exact_median(rows, ["flag"], "price", "median_price", resolution=1, most=64).select("flag", "median_price", "rows")
+
+
 @register("G50_settlement_audit_with_gaps", """
 WITH t AS (SELECT CASE WHEN okey % 3 > 0 THEN settlement_iso END AS settlement_iso, country,
     CASE WHEN okey % 5 > 0 THEN sales END AS sales, settlement_rmb FROM okcost)

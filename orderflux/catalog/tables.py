@@ -15,10 +15,13 @@ from orderflux.catalog.ingest import raw_export
 from orderflux.operators import fx
 from orderflux.operators.cleaning import clean
 from orderflux.plans import imports as I
+from orderflux.plans.revenue import discount_depth
 from orderflux.session import ensure_checkpoint_dir
 from orderflux.sources import files as S
 from orderflux.sources.orders import orders_fact, table
-from orderflux.sources.storage import MONTH, glob_paths, manifest, rename
+from orderflux.sources import key_index as K
+from orderflux.sources.storage import (
+    MONTH, Conflict, glob_paths, manifest, manifest_names, month_of, read_months, rename, retain, write_months)
 from orderflux.streaming.ingest import ingest_folder
 
 
@@ -169,6 +172,93 @@ def a7(spark, d):
         F.count("order_id").alias("orders"), F.sum(F.coalesce("sales", F.lit(0.0))).alias("sales"))
 
 
+@register("A7_key_index", f"""
+WITH {_TWO} SELECT CAST(k AS VARCHAR) AS order_id, 'master' AS segment, strftime(t, '%Y-%m') AS order_month FROM good
+""")
+def a7_index(spark, d):
+    """Segment and month of every order id, from the index that two batches have left."""
+    root = scratch(spark)
+    _two_batches(spark, d, root)
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    return K.lookup(spark, root, ids)[0].select(F.col("id").alias("order_id"), "segment", F.col("month").alias("order_month"))
+
+
+@register("K1_two_writers", """
+SELECT strftime(o_orderdate, '%Y-%m') AS order_month, count(*) AS orders, count(*) FILTER (o_orderkey % 7 = 0) AS marked FROM orders
+WHERE year(o_orderdate) >= 1996 OR o_orderkey % 2 = 0 GROUP BY 1
+""")
+def k1_writers(spark, d):
+    """Three writers that have read the same version: the second one's months are its own, the third merges again."""
+    path = f"{scratch(spark)}/t"
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), month_of(F.col("o_orderdate")).alias(MONTH))
+    o = o.withColumn("marked", F.lit(False))
+    write_months(o.where("year < 1996 and o_orderkey % 2 = 0"), path)
+    base = manifest(spark, path)
+    write_months(o.where("year between 1996 and 1997"), path, base=base)
+    write_months(o.where("year > 1997"), path, base=base)
+    marked = read_months(spark, path, entry=base).withColumn("marked", F.expr("o_orderkey % 7 = 0"))
+    months = set(base["partitions"])
+    mine = o.where("year >= 1996").withColumn("marked", F.expr("o_orderkey % 7 = 0"))
+    try:
+        write_months(marked.unionByName(mine), path, months=months, base=base)
+    except Conflict:
+        newest = manifest(spark, path)
+        again = read_months(spark, path, entry=newest).withColumn("marked", F.expr("o_orderkey % 7 = 0"))
+        write_months(again, path, months=set(newest["partitions"]), base=newest)
+    return read_months(spark, path).groupBy(MONTH).agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if("marked").alias("marked"))
+
+
+@register("K1_K2_retained_versions", """
+SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS orders, 5::BIGINT AS version, 1::BIGINT AS manifests FROM orders GROUP BY 1
+""")
+def k1_retained(spark, d):
+    """A table rewritten five times, of which the newest version is all that stays."""
+    path = f"{scratch(spark)}/t"
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias(MONTH)).withColumn("version", F.lit(0))
+    for k in range(1, 6):
+        write_months(o.withColumn("version", F.lit(k)), path, batch=f"b{k}")
+    retain(spark, path, versions=1, seconds=0)
+    left = len(manifest_names(spark, path))
+    return read_months(spark, path).groupBy(F.col(MONTH).alias("year")).agg(
+        F.count(F.lit(1)).alias("orders"), F.max("version").cast("bigint").alias("version"),
+        F.lit(left).cast("bigint").alias("manifests"))
+
+
+@register("A8_source_freshness", """
+SELECT CASE WHEN k = 1 THEN 'agent' ELSE 'master' END AS segment, CASE WHEN k = 1 THEN 2 ELSE 1 END::BIGINT AS files,
+  CASE WHEN k = 1 THEN 1 ELSE 0 END::BIGINT AS newer, CASE WHEN k = 1 THEN 1 ELSE 0 END::BIGINT AS stale
+FROM (SELECT DISTINCT o_orderkey % 2 AS k FROM orders)
+""")
+def a8_sources(spark, d):
+    """One file of each segment is imported; then the agents deliver another."""
+    data, root, o = scratch(spark), scratch(spark), table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    common = [k.cast("string").alias("订单号"), F.lit("1").alias("售价"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("订单时间")]
+    agents = o.where(k % 2 == 1).select(*common, F.lit("A").alias("代理商名称"), F.lit("B").alias("批次号"))
+    parts = {"Agent Data/1": agents.where(k % 3 > 0), "Master Data/1": o.where(k % 2 == 0).select(*common, F.lit("7").alias("用户ID")),
+             "Agent Data/2": agents.where(k % 3 == 0)}
+    for name, rows in parts.items():
+        if name == "Agent Data/2":
+            I.import_new_daily(spark, data, root, dry_run=False)
+        _export(rows.coalesce(1), f"{data}/out/{name}")
+        rename(spark, glob_paths(spark, f"{data}/out/{name}/*.csv")[0], f"{data}/{name}.csv")
+    return I.source_freshness(spark, data, root).select("segment", "files", "newer", "stale")
+
+
+@register("G45_discount_depth_published", """
+SELECT 'B2C' AS segment, avg(1 - round((floor(o_totalprice) + 0.5) * (1 - (o_orderkey % 4) / 10.0), 2) / (floor(o_totalprice) + 0.5))
+  FILTER (o_orderkey % 9 > 0) AS discount_depth, count(*) FILTER (o_orderkey % 9 > 0) AS rows FROM orders WHERE o_orderkey % 77 > 0
+""", "discount_depth:6")
+def g45p(spark, d):
+    """Discount depth on a fact that went through the import."""
+    root, raw = scratch(spark), raw_export(spark, d)
+    k, listed = F.regexp_replace("订单号", "\t", "").cast("bigint"), F.replace("售价", F.lit(","), F.lit("")).cast("double")
+    paid = F.when(k % 9 > 0, F.round(listed * (1 - (k % 4) / 10.0), 2).cast("string"))
+    I.append_batch(spark, root, clean(raw.withColumn("实际支付", paid), "master").rows, "master", "one")
+    return discount_depth(I.read_fact(spark, root), "segment")
+
+
 @register("K4_audit_log", f"""
 WITH {_TWO}, a AS (SELECT 'one' AS batch_id, count(*) FILTER (NOT neg AND t IS NOT NULL) AS added,
     count(*) FILTER (neg OR t IS NULL) AS quarantined, 0::BIGINT AS duplicates, 0::BIGINT AS restated FROM raw WHERE c % 3 < 2

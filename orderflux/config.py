@@ -26,6 +26,8 @@ SUPPLIER_TOP_SHARE_LIMIT = 0.80
 LTV_WINDOW_DAYS = 90
 PIN_STOCK_WEEKS = 4
 
+MEDIAN_VALUES = 100_000             # ordered in one task to find a median
+
 # Signals
 ANOMALY_THRESHOLD = 0.30            # |last 7 days / prior 4-week baseline - 1|
 DIGEST_REFUND_RATE = 0.10

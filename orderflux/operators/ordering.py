@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderflux import config
 from orderflux.functions.expressions import ratio
 from orderflux.session import stable
 
@@ -90,35 +91,67 @@ def last_periods(df: DataFrame, period: str, n: int) -> DataFrame:
     return df.join(latest, period, "left_semi")
 
 
+#: Parts into which a bucket of middle values is split.
+PARTS = 64
+
+
+def _middle(rows: DataFrame, keys, bucket: str) -> DataFrame:
+    """The buckets (keys, bucket) of ``rows`` (with ``_bn`` values each) that hold a middle position, with ``_before``.
+
+    ``_low`` and ``_high`` are the positions among all values, ``_start`` the number of values before the first bucket.
+    """
+    w = Window.partitionBy(*keys).orderBy(bucket)
+    upto = F.col("_start") + F.sum("_bn").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_bn"))
+    hit = [(F.col(p) > F.col("_before")) & (F.col(p) <= F.col("_upto")) for p in ("_low", "_high")]
+    return rows.where((hit[0] | hit[1]) & (F.col("_bn") > 0)).drop("_upto", "_start", "_bn")
+
+
+def refined(placed: DataFrame, keys, value: str, most: int) -> DataFrame:
+    """``placed`` (keys, ``_b``, value, _n, _before, _low, _high) cut down to buckets of at most ``most`` values.
+
+    A bucket of more is split at approximate quantiles of its values, which follow any distribution, and only the parts
+    that hold a middle position stay. Each round leaves about one in ``PARTS`` values, so rounds are few; a sketch, a histogram
+    of ``PARTS`` rows and joins with them are all that a round shuffles.
+    """
+    while True:
+        largest = placed.groupBy(*keys, "_b").count().agg(F.max("count")).first()[0]
+        if largest is None or largest <= most:
+            return placed
+        cuts = F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 100 * PARTS)
+        splits = placed.groupBy(*keys, "_b").agg(cuts.alias("_cuts"))
+        parts = null_safe_join(placed, splits, [*keys, "_b"]).withColumn(
+            "_c", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+        parts = stable(parts)
+        hist = parts.groupBy(*keys, "_b", "_c").agg(F.sum("_n").alias("_bn"), *[
+            F.min(c).alias(c) for c in ("_low", "_high")], F.min("_before").alias("_start"))
+        kept = _middle(hist, [*keys, "_b"], "_c").select(*keys, "_b", "_c", F.col("_before").alias("_from"))
+        placed = stable(null_safe_join(parts, kept, [*keys, "_b", "_c"]).withColumns(
+            {"_before": F.col("_from"), "_b": F.concat_ws(".", F.col("_b").cast("string"), "_c")}).drop("_c", "_from"))
+
+
 def exact_median(df: DataFrame, keys, value: str, out: str = "median", resolution: int = 256,
-                 sums: dict[str, str] | None = None) -> DataFrame:
+                 sums: dict[str, str] | None = None, most: int = config.MEDIAN_VALUES) -> DataFrame:
     """Exact median per key (mean of the two middle values) with bounded tasks; ``rows`` and sums beside it.
 
     Equal values are merged first, with the sums of other columns that ``sums`` names, and stored once. A histogram over
-    value buckets finds the bucket of each middle position, and only those buckets are ordered. NULL values count as
+    value buckets finds the bucket of each middle position; buckets of over ``most`` values are split again until none is
+    larger (see :func:`refined`), and only those are ordered. NULL values count as
     rows and in the sums but not in the median; NULL keys are keys.
     """
     keys, sums = list(keys), sums or {}
     by_value = stable(df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(o) for o, c in sums.items()])
         .withColumn("_b", value_bucket(F.col(value), resolution)))
-    w = Window.partitionBy(*keys).orderBy("_b")
     seen = F.when(F.col("_b").isNotNull(), F.col("_n"))
-    hist = (by_value.groupBy(*keys, "_b").agg(
-                F.coalesce(F.sum(seen), F.lit(0)).alias("_bn"), F.sum("_n").alias("_rows"),
-                *[F.sum(o).alias(o) for o in sums])
-            .withColumn("_upto", F.sum("_bn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*keys)))
-            .withColumn("_low", F.floor((F.col("_total") + 1) / 2))
-            .withColumn("_high", F.floor((F.col("_total") + 2) / 2))
-            .withColumn("_before", F.col("_upto") - F.col("_bn")))
-    middle = (((F.col("_low") > F.col("_before")) & (F.col("_low") <= F.col("_upto")))
-              | ((F.col("_high") > F.col("_before")) & (F.col("_high") <= F.col("_upto"))))
-    hist = stable(hist.withColumn("_middle", middle & (F.col("_bn") > 0)))
-    inside = (Window.partitionBy(*keys, "_b").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    placed = null_safe_join(by_value.drop(*sums), hist.filter("_middle").select(*keys, "_b", "_before", "_low", "_high"),
-                            [*keys, "_b"])
+    total = F.sum("_bn").over(Window.partitionBy(*keys))
+    hist = stable(by_value.groupBy(*keys, "_b").agg(
+        F.coalesce(F.sum(seen), F.lit(0)).alias("_bn"), F.sum("_n").alias("_rows"), *[F.sum(o).alias(o) for o in sums])
+        .withColumns({"_low": F.floor((total + 1) / 2), "_high": F.floor((total + 2) / 2), "_start": F.lit(0)}))
+    middle = _middle(hist.select(*keys, "_b", "_bn", "_low", "_high", "_start"), keys, "_b")
+    placed = null_safe_join(by_value.drop(*sums), middle, [*keys, "_b"])
+    placed = refined(stable(placed), keys, value, most)
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     placed = (placed.withColumn("_to", F.col("_before") + F.sum("_n").over(inside))
               .withColumn("_from", F.col("_to") - F.col("_n")))
 

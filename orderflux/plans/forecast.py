@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflux.functions.dimensions import local_table
@@ -99,6 +99,78 @@ def linear_forecasts(series: DataFrame, *by: str, horizon_weeks: int = 8) -> Dat
     return grouped.applyInPandas(run, schema)
 
 
+def series_folds(features: DataFrame, *by: str) -> DataFrame:
+    """(by, start, end) of every validation window of every series, over its feature rows: see :func:`fold_bounds`."""
+    rows = features.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.col("_n") - k * TEST_DAYS)
+    usual = F.filter(F.transform(ends, lambda e: F.struct((e - TEST_DAYS).alias("start"), e.alias("end"))),
+                     lambda f: f["start"] > MIN_TRAIN)
+    one = F.array(F.struct(F.greatest(F.lit(1), F.col("_n") - TEST_DAYS).cast("bigint").alias("start"), F.col("_n").alias("end")))
+    return rows.select(*by, F.inline(F.when(F.size(usual) > 0, usual).otherwise(one)))
+
+
+def solved(matrix: Column) -> Column:
+    """Solution of a positive definite system given as rows of coefficients and right side, by elimination in column order."""
+    size = len(FEATURES)
+
+    def step(m: Column, k: Column) -> Column:
+        pivot = F.transform(F.get(m, k), lambda v: v / F.get(F.get(m, k), k))
+        return F.transform(m, lambda row, i: F.when(i == k, pivot).otherwise(
+            F.zip_with(row, pivot, lambda v, p: v - F.get(row, k) * p)))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, step)
+    return F.transform(done, lambda row: F.get(row, F.lit(size)))
+
+
+def ridge_models(features: DataFrame, folds: DataFrame, *by: str, alpha: float = 1.0) -> DataFrame:
+    """Ridge of each series and fold on the rows before the fold: (by, start, end, mean, scale, beta, level).
+
+    One aggregate gives the sums of all products of features and label, 12 by 12 of them, for all series and folds at once; the
+    equations of the standardised features follow from these and are solved row by row. The label's mean is the free
+    intercept; a feature that does not vary counts as 0.
+    """
+    x = FEATURES
+    before = features.withColumn("_i", F.col("t") - OFFSET).join(folds, list(by)) if by else features.withColumn(
+        "_i", F.col("t") - OFFSET).join(folds)
+    before = before.where(F.col("_i") < F.col("start"))
+    pairs = [(a, b) for i, a in enumerate(x) for b in x[i:]]
+    sums = before.groupBy(*by, "start", "end").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.avg("label").alias("level"),
+        F.array(*[F.avg(a) for a in x]).alias("mean"), F.array(*[F.sum(F.col(a) * F.col("label")) for a in x]).alias("_xy"),
+        F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("_xx"))
+    n, size = F.col("_n"), len(x)
+    place = {p: k for k, p in enumerate(pairs)}
+
+    def spread(i: int, j: int) -> Column:
+        """Sum of products of two features, each less its mean."""
+        at = place[x[min(i, j)], x[max(i, j)]]
+        return F.get("_xx", F.lit(at)) - n * F.get("mean", F.lit(i)) * F.get("mean", F.lit(j))
+
+    # What rounding leaves of a feature without variance is not variance.
+    scale = F.array(*[F.when(spread(i, i) > 1e-9 * n, F.sqrt(spread(i, i) / n)).otherwise(1.0) for i in range(size)])
+    scaled = sums.withColumn("scale", scale)
+    s = [F.get("scale", F.lit(i)) for i in range(size)]
+    rows = [F.array(*[spread(i, j) / (s[i] * s[j]) + (alpha if i == j else 0.0) for j in range(size)],
+                    (F.get("_xy", F.lit(i)) - n * F.get("mean", F.lit(i)) * F.col("level")) / s[i]) for i in range(size)]
+    return scaled.withColumn("_m", F.array(*rows)).select(*by, "start", "end", "mean", "scale", "level",
+                                                          solved(F.col("_m")).alias("beta"))
+
+
+def ridge_validation(series: DataFrame, *by: str) -> DataFrame:
+    """Validation rows of the ridge for every series, without a loop over series, days or folds."""
+    features = stable(model_features(series, *by))
+    models = stable(ridge_models(features, series_folds(features, *by), *by))
+    rows = features.withColumn("_i", F.col("t") - OFFSET)
+    rows = rows.join(models, list(by)) if by else rows.join(models)          # at most three models a series
+    rows = rows.where((F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("end")))
+    fitted = F.col("level")
+    for k, name in enumerate(FEATURES):
+        at = F.lit(k)
+        fitted = fitted + (F.col(name) - F.get("mean", at)) / F.get("scale", at) * F.get("beta", at)
+    return rows.select(*by, F.lit("validation").alias("kind"), "day", F.lit(RIDGE).alias("model"), F.col("revenue").alias("actual"),
+                       F.greatest(F.lit(0.0), F.expm1(fitted)).alias("predicted"))
+
+
 def accuracy(rows: DataFrame, *by: str) -> DataFrame:
     """RMSE, MAE, R2 and MAPE (actuals near zero left out) per model over validation rows."""
     v = rows.filter("kind = 'validation'")

@@ -251,6 +251,31 @@ def test_running_totals_and_median_against_brute_force(spark):
     assert medians == {g: statistics.median(x for h, x in data if h == g) for g in "ab"}
 
 
+def test_median_of_one_crowded_bucket(spark):
+    """Distinct values that all lie in one bucket, ties, NULLs and a NULL key; the part that is ordered stays small."""
+    import statistics
+    from pyspark.sql import functions as F
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"),
+        F.when(F.col("id") % 1000 != 7, F.when(F.col("id") % 3 == 1, F.floor(F.col("id") / 5_000) / 1e6).otherwise(
+            F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e12) + 1000.0).alias("v"))
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r["g"], []).append(r["v"])
+    assert rows.where("v is not null").select(O.value_bucket(F.col("v"))).distinct().count() == 1
+    for most in (100_000, 40):
+        got = {r["g"]: (r["median"], r["rows"]) for r in O.exact_median(rows, ["g"], "v", most=most).collect()}
+        assert got == {g: (statistics.median(x for x in v if x is not None), len(v)) for g, v in values.items()}
+
+
+def test_refinement_leaves_bounded_buckets(spark):
+    rows = spark.range(50_000).select(F.lit("a").alias("g"), F.lit(0).alias("_b"), F.exp(F.col("id") / 100.0).alias("v"),
+                                      F.lit(1).alias("_n"), F.lit(0).alias("_before"), F.lit(25_000).alias("_low"),
+                                      F.lit(25_001).alias("_high"))
+    left = O.refined(rows, ["g"], "v", 200)
+    assert left.groupBy("_b").count().agg(F.max("count")).first()[0] <= 200 and left.count() <= 400
+
+
 def test_ip_lookup_takes_the_most_specific_range(spark):
     ranges = spark.createDataFrame(
         [(10 << 24, (11 << 24) - 1, 8, "AA", "A", "wide", None, 0.0, 0.0),

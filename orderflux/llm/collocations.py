@@ -25,8 +25,11 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(GAPS)] = 1
 _KIND[list(BREAKS)] = 2
-#: Counts of a scan. A key is the language, a tab and the phrase; a place is the length and the slot of the phrase.
-COUNTS = "key string, place long, count long"
+#: Counts of a scan. A key is the language, a tab and the phrase.
+COUNTS = "key string, count long"
+#: Where a key lies among a fixed number of places: what the sums over scans are narrowed down by.
+PLACES = 1 << 22
+PLACE = f"cast(pmod(xxhash64(key), {PLACES}) as int)"
 
 
 def blocks(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
@@ -127,8 +130,7 @@ def block_counts(data: bytes, lang: str, step: int, shards: int, reached: list[n
             text = pc.binary_join_element_wise(*parts, blank) if k > 1 else parts[0]
             key = pc.binary_join_element_wise(head, text, pa.scalar(b"", pa.large_binary()))
             yield pa.RecordBatch.from_arrays(
-                [key.cast(pa.large_string()).cast(pa.string()), pa.array((k << 32) + slot(phrase[places], bits)),
-                 pa.array(numbers.astype(np.int64))], names=["key", "place", "count"])
+                [key.cast(pa.large_string()).cast(pa.string()), pa.array(numbers.astype(np.int64))], names=["key", "count"])
 
 
 def shard_counts(step: int, shards: int, reached, block_size: int) -> Callable:
@@ -153,6 +155,23 @@ def shard_counts(step: int, shards: int, reached, block_size: int) -> Callable:
     return run
 
 
+def phrase_slots(bits: int) -> Callable:
+    """(k, slot) of each key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, slots = [], []
+            for key in batch["key"].to_pylist():
+                lang, phrase = key.rsplit("\t", 1)
+                words = [np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in phrase.encode().split(b" ")]
+                value = first_hash(words[0], lang)
+                for w in words[1:]:
+                    value = longer_hash(value, w)
+                sizes.append(len(words))
+                slots.append(int(slot(value, bits)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(slots, pa.int32())], names=["k", "slot"])
+    return run
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text",
                      shards: int = SHARDS, slot_bits: int = SLOT_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``LONGEST`` words that occur ``least`` times in their language, (lang, k, phrase, f), and the number of
@@ -168,7 +187,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang"
     counting and never a result: sums are by the phrase itself. Counts of a block are summed before the shuffle.
 
     A phrase that reaches the threshold in one cycle has at least its part of it, one in ``shards``, in some scan. So only counts
-    in the slots of such phrases are summed over scans; their number is bounded by the slots.
+    in the places of such phrases are summed over scans; their number is bounded by ``PLACES``.
     """
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
@@ -177,12 +196,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang"
      .write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards"))
     corpus = spark.read.schema("lang string, text string, shard long").parquet(f"{folder}/shards")
 
+    def counts(steps) -> DataFrame:
+        return spark.read.schema(COUNTS).parquet(*[f"{folder}/steps/{t}" for t in steps])
+
     def summed(steps, heavy: list[np.ndarray]) -> DataFrame:
-        """Phrases with the sums of their counts in these steps, where they lie in a slot of ``heavy``."""
-        places = spark.createDataFrame(pa.table({"place": np.unique(np.concatenate(heavy))}))     # bounded by the slots
-        counts = spark.read.schema(COUNTS).parquet(*[f"{folder}/steps/{t}" for t in steps])
-        return counts.join(F.broadcast(places), "place", "left_semi").groupBy("key", "place").agg(
-            F.sum("count").alias("f")).where(F.col("f") >= least)
+        """Phrases with the sums of their counts in these steps, where they lie in a place of ``heavy``."""
+        places = spark.createDataFrame(pa.table({"place": np.unique(np.concatenate(heavy))}))     # PLACES at most
+        near = counts(steps).withColumn("place", F.expr(PLACE)).join(F.broadcast(places), "place", "left_semi")
+        return near.groupBy("key").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
 
     reached, latest, step = [np.full(1 << slot_bits, NEVER, np.uint8) for _ in range(LONGEST - 1)], 0, 0
     heavy: list[np.ndarray] = []
@@ -190,26 +211,28 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang"
         shared = spark.sparkContext.broadcast(reached)
         (corpus.where(F.col("shard") == step % shards).select("lang", "text")
          .mapInArrow(shard_counts(step, shards, shared, block), COUNTS)
-         .groupBy("key", "place").agg(F.sum("count").alias("count"))
+         .groupBy("key").agg(F.sum("count").alias("count"))
          .write.option("compression", "zstd").parquet(f"{folder}/steps/{step}"))
         shared.destroy()
-        now = spark.read.schema(COUNTS).parquet(f"{folder}/steps/{step}").where(F.col("count") >= -(-least // shards))
-        heavy.append(now.select("place").distinct().toPandas()["place"].to_numpy(np.int64))
+        now = counts([step]).where(F.col("count") >= -(-least // shards)).select(F.expr(PLACE).alias("place"))
+        heavy.append(now.distinct().toPandas()["place"].to_numpy(np.int32))
         cycle = range(max(0, step - shards + 1), step + 1)
         step += 1
         if not len(heavy[-1]):
             continue
-        over = summed(cycle, heavy[-shards:]).select("place").distinct().toPandas()["place"].to_numpy(np.int64)
-        for k, table in enumerate(reached, 1):
-            slots = over[over >> 32 == k] & ((1 << 32) - 1)
+        over = summed(cycle, heavy[-shards:]).select("key").mapInArrow(phrase_slots(slot_bits), "k int, slot int").where(
+            F.col("k") < LONGEST).distinct().toPandas()
+        for k, slots in over.groupby("k")["slot"]:
+            table, slots = reached[k - 1], slots.to_numpy()
             new = slots[table[slots] == NEVER]
             table[new] = step
             latest = step if len(new) else latest
-    first = spark.read.schema(COUNTS).parquet(*[f"{folder}/steps/{t}" for t in range(min(shards, step))])
+    phrase = F.substring_index("key", "\t", -1)
     lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang")
-    words = stable(first.where(F.col("place") < 2 << 32).groupBy(lang).agg(F.sum("count").alias("n")))
+    single = counts(range(min(shards, step))).where(~phrase.contains(" "))
+    words = stable(single.groupBy(lang).agg(F.sum("count").alias("n")))
     found = stable(summed(range(step), heavy).select(
-        lang, F.shiftright("place", 32).cast("int").alias("k"), F.substring_index("key", "\t", -1).alias("phrase"), "f"))
+        lang, F.size(F.split(phrase, " ")).alias("k"), phrase.alias("phrase"), "f"))
     removed(spark, folder)
     return found, words
 

@@ -7,9 +7,10 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from orderflux.catalog.base import register
+from orderflux.functions.dimensions import local_table
 from orderflux.operators.geo import locate_ips
 from orderflux.plans import customers as C
-from orderflux.sources.orders import orders_fact, successful, user_list
+from orderflux.sources.orders import orders_fact, successful, table, user_list
 
 B2C = "(SELECT * FROM ok WHERE segment = 'B2C')"
 _TYPE = """CASE WHEN date_trunc('month', register_time) = date_trunc('month', order_time) THEN 'New'
@@ -267,6 +268,27 @@ def ip_ranges(spark, d):
     return wide.unionByName(narrow)
 
 
+@register("J5_mixed_versions", """
+WITH a AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'narrow' WHEN 1 THEN 'wide' WHEN 2 THEN 'dotted' END AS place FROM customer)
+SELECT k AS custkey, CASE WHEN k % 10 < 9 THEN place END AS subdivision FROM a
+""")
+def j5_mixed(spark, d):
+    """Addresses of both versions, some of them unreadable, against networks of both."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"))
+    k = F.col("custkey")
+    digits = F.lower(F.hex(k % 4096))
+    ip = (F.when(k % 10 == 9, F.when(k % 20 == 9, "2001:db8:::1")).when(k % 4 == 0, F.concat(F.lit("2001:DB8:1:2::"), digits))
+          .when(k % 4 == 1, F.concat(F.lit("2001:db8:ffff:0:0:0:0:"), digits))
+          .when(k % 4 == 2, F.concat(F.lit("10.1."), (k % 256).cast("string"), F.lit(".7"))).otherwise(
+              F.concat(F.lit("fe80::"), digits)))
+    rows = [("2001:db8::/32", "wide"), ("2001:db8:1:2::/64", "narrow"), ("2001:db8:1:2::/120", "narrow"), ("10.0.0.0/8", "dotted"),
+            ("not a network", "x"), ("10.2.0.0/16", "other")]
+    ranges = local_table(spark, "network string, subdivision string", rows).select(
+        "network", F.lit("AA").alias("iso2"), F.lit("A").alias("country"), "subdivision", F.lit(None).cast("string").alias("city"),
+        F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    return locate_ips(c.withColumn("ip_address", ip), ranges).select("custkey", F.col("geo.subdivision").alias("subdivision"))
+
+
 @register("J5_ip_lookup", """
 WITH g AS (SELECT order_id, CAST(split_part(ip_address, '.', 2) AS INTEGER) AS o2,
     CAST(split_part(ip_address, '.', 3) AS INTEGER) AS o3 FROM fact)

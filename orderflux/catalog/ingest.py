@@ -191,11 +191,34 @@ def a4s(spark, d):
     return out.select("restated", F.array_join("restatement_samples.order_id", ",").alias("sampled"))
 
 
-@register("A5_fingerprint")
+_PRINT = """sha256(concat_ws('|', '{columns}', count(*), coalesce(sum(('0x' || left(md5(concat_ws(chr(31), {texts})), 15))::BIGINT), 0)))"""
+
+
+def _print_sql(*columns: tuple[str, str]) -> str:
+    """The fingerprint of columns, given with the SQL of their texts."""
+    return _PRINT.format(columns=",".join(c for c, _ in columns), texts=", ".join(f"coalesce({t}, '')" for _, t in columns))
+
+
+_PRINTED = [("实际支付", "cents"), ("订单号", "order_id"), ("订单时间", "stamp"), ("订单状态", "st")]
+
+
+@register("A5_fingerprint", f"""
+WITH f AS (SELECT okey, order_id, order_status AS st, sales_paid AS paid, strftime(order_time, '%Y-%m-%d %H:%M:%S') AS stamp FROM fact),
+ex AS (SELECT *, CAST(CAST(round(paid * 100) AS BIGINT) AS VARCHAR) AS cents FROM f WHERE okey % 3 < 2),
+inc AS (SELECT okey, order_id, stamp, CASE WHEN okey % 7 = 0 THEN '已退款' ELSE st END AS st,
+  CAST(CAST(round((CASE WHEN okey % 11 = 0 THEN paid + 1 ELSE paid END) * 100) AS BIGINT) AS VARCHAR) AS cents FROM f WHERE okey % 3 > 0)
+SELECT left({_print_sql(*_PRINTED)}, 16) AS file_hash, 'existing' AS side FROM ex
+UNION ALL SELECT left({_print_sql(_PRINTED[0], ("渠道", "'new'"), *_PRINTED[1:])}, 16), 'incoming' FROM inc
+""")
 def a5(spark, d):
+    """Fingerprints of texts, amounts in cents."""
+    def told(df):
+        return df.withColumns({"实际支付": F.round(F.col("实际支付") * 100).cast("bigint"),
+                               "订单时间": F.date_format("订单时间", "yyyy-MM-dd HH:mm:ss")})
+
     existing, incoming = _store_rows(spark, d)
-    return M.fingerprint(existing).withColumn("side", F.lit("existing")).unionByName(
-        M.fingerprint(incoming).withColumn("side", F.lit("incoming")))
+    return M.fingerprint(told(existing)).withColumn("side", F.lit("existing")).unionByName(
+        M.fingerprint(told(incoming)).withColumn("side", F.lit("incoming")))
 
 
 @register("A6_validate", """

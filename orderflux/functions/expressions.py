@@ -204,3 +204,48 @@ def month_text(c: Column) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division that gives NULL for a zero or missing denominator."""
     return numerator / F.nullif(denominator, F.lit(0))
+
+
+def ip_halves(c: Column) -> Column:
+    """The two 64-bit halves (hi, lo) of an IPv6 or IPv4 address; NULL for any other text.
+
+    IPv4 addresses lie in ``::ffff:0:0/96``, as they are written inside IPv6.
+    """
+    s = F.lower(strip_ws(c.cast("string")))
+    v4 = ipv4_to_long(F.regexp_extract(s, r"([0-9.]+)$", 1))
+    digits = F.lpad(F.lower(F.hex(v4)), 8, "0")
+    # A trailing dotted part becomes two groups; a dotted address alone stands behind ::ffff:.
+    front = F.regexp_replace(s, r"[0-9.]+$", "")
+    dotted = F.when(v4.isNotNull() & ((front == "") | front.endswith(":")), F.concat(
+        F.when(front == "", "::ffff:").otherwise(front), F.left(digits, F.lit(4)), F.lit(":"), F.right(digits, F.lit(4))))
+    text = F.when(s.contains("."), dotted).otherwise(F.when(s.contains(":"), s))
+    return _bound(text, _halves_of)
+
+
+def _halves_of(text: Column) -> Column:
+    halves = F.split(text, "::", -1)
+
+    def groups(k: int) -> Column:
+        part = F.get(halves, F.lit(k))
+        return F.when(part.isNull() | (part == ""), F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
+
+    def joined(left: Column, right: Column) -> Column:
+        missing = 8 - F.size(left) - F.size(right)
+        whole = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing > 0))
+        every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        return F.when(whole & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                      F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    digits = joined(groups(0), groups(1))
+    return _bound(digits, lambda d: F.when(d.isNotNull(), F.struct(
+        F.conv(F.left(d, F.lit(16)), 16, -10).cast("bigint").alias("hi"),
+        F.conv(F.right(d, F.lit(16)), 16, -10).cast("bigint").alias("lo"))))
+
+
+def network_of(halves: Column, length: Column) -> Column:
+    """The first ``length`` of 128 bits of an address, as (hi, lo) of what is left of them."""
+    def top(half: Column, bits: Column) -> Column:
+        return F.when(bits <= 0, F.lit(0).cast("bigint")).otherwise(
+            F.call_function("shiftrightunsigned", half, (F.lit(64) - bits).cast("int")))
+
+    return F.struct(top(halves["hi"], F.least(length, F.lit(64))).alias("hi"), top(halves["lo"], length - 64).alias("lo"))

@@ -380,3 +380,36 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
     plan = M.keep_last(spark.range(10).select(F.lit("k").alias("k"), "id"), "k", ["id"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in text and "Window" not in text
+
+
+def test_addresses_against_the_standard_library(spark):
+    import ipaddress
+    import random
+    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    texts_ = ["::", "::1", "1::", "::ffff:1.2.3.4", "2001:db8::1.2.3.4", "1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "FE80::A",
+              "1:2:3:4:5:6:7", "1::2::3", ":::", "12345::", "g::", "1.2.3", "256.1.1.1", "", "x", None, "1:2:3:4:5:6:7:8:9", ":1", "1:",
+              "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.4.5"]
+    for _ in range(200):
+        whole = ipaddress.IPv6Address(rng.getrandbits(128) & ~(rng.getrandbits(1) * (0xFFFF << 16 * rng.randrange(8))))
+        texts_ += [whole.compressed, whole.exploded.upper()]
+
+    def plain(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return int(ip) if ip.version == 6 else int(ip) | 0xFFFF << 32
+
+    df = texts(spark, texts_)
+    bits = {r["c"]: r for r in df.select("c", E.ip_halves(F.col("c")).alias("h"), *[
+        E.network_of(E.ip_halves(F.col("c")), F.lit(n)).alias(f"n{n}") for n in (0, 1, 33, 64, 65, 127, 128)]).collect()}
+
+    def joined(x, low):
+        return ((x["hi"] & (1 << 64) - 1) << low) | (x["lo"] & (1 << 64) - 1)
+
+    for text in texts_:
+        got, want = bits[text], plain(text)
+        assert (got["h"] and joined(got["h"], 64)) == want, text
+        if want is not None:
+            assert all(joined(got[f"n{n}"], max(0, n - 64)) == want >> 128 - n for n in (0, 1, 33, 64, 65, 127, 128))

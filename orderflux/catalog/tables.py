@@ -22,6 +22,7 @@ from orderflux.sources.orders import orders_fact, table
 from orderflux.sources import key_index as K
 from orderflux.sources.storage import (
     MONTH, Conflict, glob_paths, manifest, manifest_names, month_of, read_months, rename, retain, write_months)
+from orderflux.streaming.digest import streamed_digest
 from orderflux.streaming.ingest import ingest_folder
 
 
@@ -359,6 +360,29 @@ def t1(spark, d):
         F.count("order_id").alias("orders"), F.sum(F.coalesce("sales", F.lit(0.0))).alias("sales"))
 
 
+@register("T3_streamed_digest", f"""
+WITH {_TWO}, f AS (SELECT 'Op ' || (c % 5) AS op, status, k % 6 = 0 AS missing, t FROM good)
+SELECT 'refund rate' AS signal, op AS subject, count(*) FILTER (status = '已退款') / count(*) AS value, 0.01 AS "limit" FROM f GROUP BY op
+  HAVING count(*) FILTER (status = '已退款') / count(*) > 0.01
+UNION ALL SELECT 'routing gap', op, count(*) FILTER (status = '充值成功' AND missing), 5 FROM f GROUP BY op
+  HAVING count(*) FILTER (status = '充值成功' AND missing) > 5
+UNION ALL SELECT 'data age', 'fact', datediff('day', max(CAST(t AS DATE)), DATE '2001-08-05'), 1 FROM f
+  HAVING datediff('day', max(CAST(t AS DATE)), DATE '2001-08-05') > 1
+""", "value:8 \"limit\":2")
+def t3d(spark, d):
+    """The exception digest of a watched folder, the second drop of which restates orders."""
+    base, raw = scratch(spark), raw_export(spark, d)
+    k, c = F.regexp_replace("订单号", "\t", "").cast("bigint"), F.col("用户ID").cast("bigint")
+    raw = raw.withColumns({"运营商": F.concat(F.lit("Op "), (c % 5).cast("string")),
+                           "接口商订单号": F.when(k % 6 == 0, "--").otherwise("s1")})
+    later = raw.withColumn("订单状态", F.when(c % 7 == 0, "已退款").otherwise(F.col("订单状态")))
+    iso = F.regexp_replace("订单时间", r"^(\d\d)/(\d\d)/(\d{4})", "$3-$2-$1")
+    for name, rows in (("one", raw.filter(c % 3 < 2)), ("two", later.filter(c % 3 > 0))):
+        _export(rows.withColumn("订单时间", iso).drop("_file"), f"{base}/in/{name}")
+        ingest_folder(spark, f"{base}/in/*", f"{base}/db", f"{base}/state")
+    return streamed_digest(spark, f"{base}/db", F.lit("2001-08-05").cast("date"), 0.01, 5, 1)
+
+
 @register("T3_streaming_event_counts", """
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS events, sum(value) AS value,
   CASE WHEN CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events) THEN 0 ELSE 1 END::BIGINT AS open

@@ -28,6 +28,7 @@ from orderflux.sources import files as S
 from orderflux.sources import key_index as K
 from orderflux.sources.storage import (
     MONTH, Conflict, changed_since, holds_batch, list_names, manifest, month_of, read_months, retain, write_months)
+from orderflux.streaming.digest import digest_deltas
 
 SEGMENTS = {"agent": "B2B", "master": "B2C"}
 KEY, TIME = M.KEY, "订单时间"
@@ -60,11 +61,12 @@ def stores(root: str) -> dict[str, str]:
 
 
 def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: str, batch_id: str,
-                 rejected: DataFrame | None = None, source_stamp: int | None = None) -> dict:
+                 rejected: DataFrame | None = None, source_stamp: int | None = None, digest: bool = False) -> dict:
     """Validate, fingerprint, quarantine, merge, publish and audit one batch of a segment.
 
     Rows the cleaner has turned away are stored as well: those with a ``reason``, and ``rejected``. ``source_stamp`` is the
-    newest modification time of the files the batch comes from. Another batch may be imported at the same time: where both
+    newest modification time of the files the batch comes from; with ``digest`` what the batch changes in the counts of the
+    exception digest is stored too. Another batch may be imported at the same time: where both
     change the same months or ids, the one that is second merges again into what the first has left.
     """
     started = time.time()
@@ -93,7 +95,7 @@ def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: s
         rows = stable(_latest(good).drop(*_HELPERS))
         for attempt in range(config.COMMIT_ATTEMPTS):
             try:
-                merged = _merge(spark, root, segment, batch_id, good, rows, source_stamp)
+                merged = _merge(spark, root, segment, batch_id, good, rows, source_stamp, digest)
                 break
             except Conflict:
                 if attempt + 1 == config.COMMIT_ATTEMPTS:
@@ -121,7 +123,7 @@ def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: s
 
 
 def _merge(spark: SparkSession, root: str, segment: str, batch_id: str, good: DataFrame, rows: DataFrame,
-           source_stamp: int | None) -> dict:
+           source_stamp: int | None, digest: bool) -> dict:
     """Merge the distinct ``rows`` of a batch into the store as it is now, and add their ids to the index."""
     table = store(root, segment)
     K.refresh(spark, root, stores(root), KEY)
@@ -137,6 +139,12 @@ def _merge(spark: SparkSession, root: str, segment: str, batch_id: str, good: Da
     if existing is not None:
         summary = M.restatement_summary(stable(M.restatements(existing, rows))).first()
 
+    if digest:
+        # Before the commit and under the batch's name: a batch that is repeated writes the same place again.
+        old = None if existing is None else existing.join(arriving.withColumnRenamed("id", KEY), KEY, "left_semi")
+        digest_deltas(None if old is None else enrich(normalise(old.drop(MONTH))), enrich(normalise(rows.drop(MONTH)))).write.mode(
+            "overwrite").parquet(f"{root}/digest/run={segment}-{batch_id}")
+
     def fits(newer: dict, months: set[str]) -> bool:
         """None of the ids has come into a month that another batch has changed meanwhile."""
         theirs = read_months(spark, table, [KEY], months=months, entry=newer)

@@ -24,7 +24,8 @@ def ingest_folder(spark: SparkSession, folder: str, root: str, checkpoint: str,
 
     The stream carries the names of new files, not their bytes. Each micro-batch reads its files as the daily import
     does: by their own encoding, separator and headings, and into the segment these tell. Files that cannot be
-    read are listed in ``root``/errors.
+    read are listed in ``root``/errors. What each batch changes in the counts of the exception digest is kept under
+    ``root``/digest, so that the digest follows restatements without reading the stores.
     """
     source = (spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", max_files).load(folder)
               .select("path", F.unix_micros("modificationTime").alias("modified")))
@@ -40,7 +41,7 @@ def ingest_folder(spark: SparkSession, folder: str, root: str, checkpoint: str,
             own = [r.rows for r in reads if r.segment == segment]
             if own:
                 append_batch(session, root, _union(r.rows for r in own), segment, f"{name}-{batch_id}",
-                             source_stamp=max(modified for _, modified in held))
+                             source_stamp=max(modified for _, modified in held), digest=True)
         if errors:
             rows = session.createDataFrame([(e["file"], e["error"]) for e in errors], "file string, error string")
             rows.write.mode("overwrite").json(f"{root}/errors/run={name}-{batch_id}")

@@ -226,3 +226,21 @@ def test_only_fields_with_line_breaks_keep_a_file_whole(spark, tmp_path, line, m
     path = tmp_path / "a.csv"
     path.write_text(f"订单号,a,b\n{line}\n3,4,5\n")
     assert next(iter(S.probe(spark, [str(path)]).values()))["multiline"] is multiline
+
+
+def test_streamed_digest_follows_restatements(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from orderflux.streaming.digest import exception_digest, streamed_digest
+    from orderflux.streaming.ingest import ingest_folder
+    root = str(tmp_path / "db")
+    heads = [*MASTER, "运营商", "接口商订单号"]
+    drops = [[(str(k), "充值成功", f"2026-01-{k % 9 + 1:02d} 10:00:00", f"Op{k % 3}", "--" if k % 2 else "x") for k in range(30)],
+             [(str(k), "已退款", f"2026-02-{k % 9 + 1:02d} 10:00:00", "Op9", "x") for k in range(0, 30, 4)] + [("", "充值成功", "2026-03-01", "Op0", "--")],
+             [(str(k), "充值成功", "2026-01-02 10:00:00", "Op1", "--") for k in range(0, 12, 4)]]
+    for n, rows in enumerate(drops):
+        write(tmp_path / "in" / f"{n}.csv", heads, [[*master_row(o, time=t, status=s), op, i] for o, s, t, op, i in rows])
+        ingest_folder(spark, str(tmp_path / "in"), root, str(tmp_path / "state"))
+        limits = (F.lit("2026-04-01").cast("date"), 0.0, 0, 0)
+        fact = I.read_fact(spark, root, enriched=True)
+        want = {tuple(r) for r in exception_digest(fact, *limits).collect()}
+        assert {tuple(r) for r in streamed_digest(spark, root, *limits).collect()} == want and len(want) > 3

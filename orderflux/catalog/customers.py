@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from datetime import date
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from orderflux.catalog.base import register
 from orderflux.functions.dimensions import local_table
 from orderflux.operators.geo import locate_ips
+from orderflux.plans import bitmaps as B
 from orderflux.plans import customers as C
+from orderflux.session import stable
 from orderflux.sources.orders import orders_fact, successful, table, user_list
 
 B2C = "(SELECT * FROM ok WHERE segment = 'B2C')"
@@ -103,6 +107,41 @@ def g32(spark, d):
     return C.repurchase_rate(successful(spark, d, "segment", "user_id", "order_time"))
 
 
+def _bitmaps(df):
+    """Bitmaps of a fact's users by market and day, stored once for all roll-ups."""
+    return stable(B.user_bitmaps(df, B.user_numbers(df), "country"))
+
+
+@register("G1_users_of_any_roll_up", """
+WITH known AS (SELECT * FROM ok WHERE user_id IS NOT NULL)
+SELECT 'day' AS grain, strftime(order_time, '%Y-%m-%d') AS period, count(DISTINCT user_id) AS users FROM known GROUP BY ALL
+UNION ALL SELECT 'week', strftime(date_trunc('week', order_time), '%Y-%m-%d'), count(DISTINCT user_id) FROM known GROUP BY ALL
+UNION ALL SELECT 'month', strftime(date_trunc('month', order_time), '%Y-%m-%d'), count(DISTINCT user_id) FROM known GROUP BY ALL
+UNION ALL SELECT 'market', country, count(DISTINCT user_id) FROM known GROUP BY ALL
+UNION ALL SELECT 'all', '', count(DISTINCT user_id) FROM known
+""")
+def g1_users(spark, d):
+    """Distinct users by day, week, month, market and overall, from one table of bitmaps."""
+    bits = _bitmaps(successful(spark, d, "user_id", "order_time", "country"))
+    parts = [B.distinct_users(bits, grain=g).select(F.lit(g).alias("grain"), F.col("period").cast("string").alias("period"), "users")
+             for g in ("day", "week", "month")]
+    parts += [B.distinct_users(bits, "country").select(F.lit("market"), "country", "users"),
+              B.distinct_users(bits).select(F.lit("all"), F.lit(""), "users")]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@register("G32_repurchase_from_bitmaps", f"""
+WITH um AS (SELECT DISTINCT user_id, country, mon FROM {B2C} WHERE user_id IS NOT NULL)
+SELECT a.country, strftime(a.mon, '%Y-%m-%d') AS month, count(*) AS users, count(b.user_id) AS repeat_users,
+  count(b.user_id) / count(*) AS repurchase_rate
+FROM um a LEFT JOIN um b ON a.user_id = b.user_id AND b.country = a.country AND b.mon = a.mon - INTERVAL 1 MONTH GROUP BY 1, 2
+""", "repurchase_rate:8")
+def g32_bits(spark, d):
+    """Repurchase per market as intersections of months."""
+    rows = successful(spark, d, "segment", "user_id", "order_time", "country").filter("segment = 'B2C' AND country IS NOT NULL")
+    return B.returning_users(_bitmaps(rows), "country")
+
+
 @register("G33_retention_rate", f"""
 WITH um AS (SELECT DISTINCT user_id, mon FROM {B2C}),
   nw AS (SELECT DISTINCT user_id, mon FROM {B2C} WHERE {_TYPE} = 'New')

@@ -413,3 +413,31 @@ def test_addresses_against_the_standard_library(spark):
         assert (got["h"] and joined(got["h"], 64)) == want, text
         if want is not None:
             assert all(joined(got[f"n{n}"], max(0, n - 64)) == want >> 128 - n for n in (0, 1, 33, 64, 65, 127, 128))
+
+
+def test_bitmaps_against_sets(spark):
+    import random
+    from pyspark.sql import functions as F
+    from orderflux.plans import bitmaps as B
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b"]), f"u{rng.randrange(900)}" if rng.random() < 0.95 else None, f"2026-0{rng.randrange(1, 6)}-{rng.randrange(10, 28)}")
+            for _ in range(3000)]
+    # Numbers far apart, so that users lie in several buckets.
+    df = spark.createDataFrame(data, "m string, user_id string, d string").withColumn("order_time", F.col("d").cast("timestamp"))
+    numbers = B.user_numbers(df)
+    got = sorted(r["number"] for r in numbers.collect())
+    assert got == list(range(1, len({u for _, u, _ in data if u}) + 1))
+    bits = B.user_bitmaps(df, numbers.withColumn("number", F.col("number") * 100), "m")
+    assert bits.select("bucket").distinct().count() > 2
+
+    def users(match):
+        return len({u for m, u, d in data if u and match(m, d)})
+
+    assert {r["period"].isoformat(): r["users"] for r in B.distinct_users(bits, grain="month").collect()} == {
+        f"2026-0{k}-01": users(lambda m, d: d[6] == str(k)) for k in range(1, 6)}
+    assert {(r["m"], r["period"].isoformat()): r["users"] for r in B.distinct_users(bits, "m", grain="day").collect()} == {
+        (m, d): users(lambda a, b: (a, b) == (m, d)) for m, u, d in data if u}
+    for r in B.returning_users(bits, "m").collect():
+        k = r["month"].month
+        now, before = ({u for m, u, d in data if u and m == r["m"] and d[6] == str(x)} for x in (k, k - 1))
+        assert (r["users"], r["repeat_users"]) == (len(now), len(now & before))

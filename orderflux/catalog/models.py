@@ -120,8 +120,8 @@ _X = ("t", "ln(1 + l1)", "ln(1 + l7)", "ln(1 + l14)", "ln(1 + r7)", "ln(1 + r28)
       "sin(2 * pi() * month(day) / 12)", "cos(2 * pi() * month(day) / 12)")
 
 
-@register("M4_ridge_validation", f"""
-WITH RECURSIVE {_BASE}, lags AS (
+#: Ridge of every market on the rows before each ``fold`` (country, start_, end_), by elimination on 11 equations.
+_RIDGE = f"""lags AS (
   SELECT country, day, revenue, row_number() OVER w - 1 AS t, lag(revenue, 1) OVER w AS l1, lag(revenue, 7) OVER w AS l7,
     lag(revenue, 14) OVER w AS l14, avg(revenue) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS r7,
     avg(revenue) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS r28
@@ -129,7 +129,7 @@ WITH RECURSIVE {_BASE}, lags AS (
 feat AS (SELECT country, day, revenue, ln(1 + revenue) AS y, t - 28 AS i, [{", ".join(f"CAST({x} AS DOUBLE)" for x in _X)}] AS x
          FROM lags WHERE t >= 28),
 size AS (SELECT country, count(*) AS n FROM feat GROUP BY 1),
-fold AS (SELECT country, n - 14 * k - 14 AS start_, n - 14 * k AS end_ FROM size, range(0, 3) r(k) WHERE n - 14 * k - 14 > 30),
+{{fold}},
 train AS (SELECT f.country, start_, x, y FROM feat f JOIN fold ON fold.country = f.country AND i < start_),
 mean AS (SELECT country, start_, count(*) AS n, avg(y) AS level, [{", ".join(f"avg(x[{k}])" for k in range(1, 12))}] AS m,
            [{", ".join(f"CASE WHEN stddev_pop(x[{k}]) > 1e-4 THEN stddev_pop(x[{k}]) ELSE 1 END" for k in range(1, 12))}] AS s
@@ -144,7 +144,12 @@ elim AS (
   UNION ALL
   SELECT country, start_, k + 1, list_transform(range(1, 12), lambda i: list_transform(range(1, 13), lambda j:
     CASE WHEN i = k + 1 THEN m[i][j] / m[k + 1][k + 1] ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END))
-  FROM elim WHERE k < 11)
+  FROM elim WHERE k < 11)"""
+_FOLDS = "fold AS (SELECT country, n - 14 * k - 14 AS start_, n - 14 * k AS end_ FROM size, range(0, 3) r(k) WHERE n - 14 * k - 14 > 30)"
+
+
+@register("M4_ridge_validation", f"""
+WITH RECURSIVE {_BASE}, {_RIDGE.format(fold=_FOLDS)}
 SELECT f.country, strftime(day, '%Y-%m-%d') AS day, revenue AS actual, greatest(0, level + list_sum(list_transform(
     range(1, 12), lambda k: (f.x[k] - mean.m[k]) / mean.s[k] * e.m[k][12]))) AS log_predicted
 FROM feat f JOIN fold ON fold.country = f.country AND i >= fold.start_ AND i < end_
@@ -157,6 +162,34 @@ def m4r(spark, d):
     return FC.ridge_validation(series, "country").select("country", "day", "actual", F.log1p("predicted").alias("log_predicted"))
 
 
+_ALL_ROWS = "fold AS (SELECT country, n AS start_, n AS end_ FROM size)"
+_STEP = ("(t + 28)", "ln(1 + r[28])", "ln(1 + r[22])", "ln(1 + r[15])", "ln(1 + list_sum(r[22:28]) / 7)", "ln(1 + list_sum(r) / 28)",
+         "sin(2 * pi() * (isodow(day + 1) - 1) / 7)", "cos(2 * pi() * (isodow(day + 1) - 1) / 7)",
+         "CASE WHEN isodow(day + 1) >= 6 THEN 1 ELSE 0 END", "sin(2 * pi() * month(day + 1) / 12)", "cos(2 * pi() * month(day + 1) / 12)")
+
+
+@register("M5_stepwise_forecast", f"""
+WITH RECURSIVE {_BASE}, {_RIDGE.format(fold=_ALL_ROWS)},
+last28 AS (SELECT s.country, max(day) AS day, list(revenue ORDER BY day)[-28:] AS v FROM series s GROUP BY 1),
+step AS (
+  SELECT l.country, 0 AS k, day, v AS b, v AS r, level, mean.m, s, n AS t, list_transform(range(1, 12), lambda i: e.m[i][12]) AS beta
+  FROM last28 l JOIN mean ON mean.country = l.country JOIN elim e ON e.country = l.country AND e.k = 11
+  UNION ALL
+  SELECT country, k + 1, day + 1, list_append(b[2:28], (b[1] + b[8] + b[15] + b[22]) / 4),
+    list_append(r[2:28], greatest(0, exp(level + {" + ".join(
+      f"({x} - m[{j}]) / s[{j}] * beta[{j}]" for j, x in enumerate(_STEP, 1))}) - 1)), level, m, s, t + 1, beta
+  FROM step WHERE k < 63)
+SELECT country, strftime(day, '%Y-%m-%d') AS day, ln(1 + b[28]) AS log_baseline, ln(1 + r[28]) AS log_ridge FROM step WHERE k > 0
+""", "log_baseline:6 log_ridge:4")
+def m5s(spark, d):
+    """Nine weeks of baseline and ridge for every market."""
+    series = stable(daily_series(successful(spark, d, "sales", "order_time", "country"), "country"))
+    rows = FC.stepwise_forecasts(series, "country", horizon_weeks=8)
+    return rows.groupBy("country", "day").agg(
+        F.max(F.when(F.col("model") == FC.BASELINE, F.log1p("predicted"))).alias("log_baseline"),
+        F.max(F.when(F.col("model") == FC.RIDGE, F.log1p("predicted"))).alias("log_ridge"))
+
+
 @register("M5_forecast_by_market")
 def m5m(spark, d):
     series = stable(daily_series(successful(spark, d, "sales", "order_time", "country"), "country"))

@@ -38,7 +38,7 @@ def weekly_demand(df: DataFrame) -> DataFrame:
 def demand_history(df: DataFrame, groups: int = config.DEMAND_TOP_GROUPS,
                    weeks: int = config.DEMAND_WEEKS) -> DataFrame:
     """The largest groups over the latest weeks, zero-filled, with week index ``t``."""
-    cells = stable(weekly_demand(df))
+    cells = weekly_demand(df)
     best = (cells.groupBy(*GROUP).agg(F.sum("orders").alias("volume"))
             .orderBy(F.desc("volume"), *GROUP).limit(groups))
     calendar = (cells.select("week").distinct().orderBy(F.desc("week")).limit(weeks)

@@ -1,7 +1,7 @@
 """Daily revenue forecast: walk-forward validation, seasonal baseline, ridge and tree models.
 
-The fact is reduced to daily series in Spark. A series holds one row per calendar day, so the closed-form
-ridge, the baseline and the recursive forecasts run per series inside one task each, many series in parallel.
+The fact is reduced to daily series in Spark. Ridge and baseline are validated and forecast for all series at once: sums of
+products give the equations of all folds, and a series is one row with its last days as an array when it is stepped forward.
 The tree models are fitted and validated by Spark ML and asked for one day after the other: 63 single predictions a
 model, on the 28 latest days.
 """
@@ -38,8 +38,6 @@ def fold_bounds(n: int) -> list[tuple[int, int]]:
     return folds or [(max(1, n - TEST_DAYS), n)]
 
 
-# --- per-series helpers (a few thousand rows at most) ----------------------
-
 def _features(history: np.ndarray, t: int, day: pd.Timestamp) -> np.ndarray:
     """Feature row of one day after at least 28 days of history."""
     turn = 2 * np.pi
@@ -49,54 +47,13 @@ def _features(history: np.ndarray, t: int, day: pd.Timestamp) -> np.ndarray:
                      np.sin(turn * day.month / 12), np.cos(turn * day.month / 12)])
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, alpha: float = 1.0):
-    """Ridge on standardised features with a free intercept; returns a predictor."""
-    mean, std = x.mean(axis=0), x.std(axis=0)
-    std[std == 0] = 1.0
-    z = (x - mean) / std
-    beta = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
-    return lambda row: float(((row - mean) / std) @ beta + y.mean())
-
-
-def _series_forecast(pdf: pd.DataFrame, keys: list[str], horizon_days: int) -> pd.DataFrame:
-    """Validation and forecast rows of ridge and baseline for one series."""
-    pdf = pdf.sort_values("day")
-    days, values = pd.to_datetime(pdf["day"]).reset_index(drop=True), pdf["revenue"].to_numpy(float)
-    x = np.array([_features(values[:i], i, days[i]) for i in range(OFFSET, len(values))])
-    y = np.log1p(values[OFFSET:])
-    out = []
-    for start, end in fold_bounds(len(x)):
-        predict = _ridge(x[:start], y[:start])
-        for i in range(start, end):
-            out.append(("validation", days[i + OFFSET], RIDGE, values[i + OFFSET],
-                        max(0.0, np.expm1(predict(x[i])))))
-            same = [values[j] for j in (i + OFFSET - k for k in (28, 21, 14, 7)) if j >= 0]
-            out.append(("validation", days[i + OFFSET], BASELINE, values[i + OFFSET], float(np.mean(same))))
-    predict, path, base = _ridge(x, y), list(values), list(values)
-    for step in range(1, horizon_days + 1):
-        day = days.iloc[-1] + pd.Timedelta(days=step)
-        path.append(max(0.0, np.expm1(predict(_features(np.array(path[-28:]), len(values) + step - 1, day)))))
-        base.append(float(np.mean([base[-k] for k in (7, 14, 21, 28)])))
-        out.append(("forecast", day, RIDGE, np.nan, path[-1]))
-        out.append(("forecast", day, BASELINE, np.nan, base[-1]))
-    rows = pd.DataFrame(out, columns=["kind", "day", "model", "actual", "predicted"])
-    rows["day"] = rows["day"].dt.date
-    for k in keys:
-        rows[k] = pdf[k].iloc[0]
-    return rows[[*keys, "kind", "day", "model", "actual", "predicted"]]
-
-
 def linear_forecasts(series: DataFrame, *by: str, horizon_weeks: int = 8) -> DataFrame:
     """Ridge and baseline for every series: validation rows and the daily forecast."""
-    keys, horizon = list(by), horizon_weeks * 7 + 7
-    schema = ", ".join([*(f"`{k}` string" for k in keys), "kind string", "day date", "model string",
-                        "actual double", "predicted double"])
-    grouped = series.groupBy(*keys) if keys else series.withColumn("_all", F.lit(1)).groupBy("_all")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _series_forecast(pdf, keys, horizon)
-
-    return grouped.applyInPandas(run, schema)
+    keys = by or ("_all",)
+    keyed = series if by else series.withColumn("_all", F.lit("all"))
+    parts = [ridge_validation(keyed, *keys), baseline_validation(keyed, *keys),
+             stepwise_forecasts(keyed, *keys, horizon_weeks=horizon_weeks)]
+    return reduce(lambda a, b: a.unionByName(b), parts).select(*by, "kind", "day", "model", "actual", "predicted")
 
 
 def series_folds(features: DataFrame, *by: str) -> DataFrame:
@@ -130,8 +87,7 @@ def ridge_models(features: DataFrame, folds: DataFrame, *by: str, alpha: float =
     intercept; a feature that does not vary counts as 0.
     """
     x = FEATURES
-    before = features.withColumn("_i", F.col("t") - OFFSET).join(folds, list(by)) if by else features.withColumn(
-        "_i", F.col("t") - OFFSET).join(folds)
+    before = features.withColumn("_i", F.col("t") - OFFSET).join(folds, list(by))
     before = before.where(F.col("_i") < F.col("start"))
     pairs = [(a, b) for i, a in enumerate(x) for b in x[i:]]
     sums = before.groupBy(*by, "start", "end").agg(
@@ -156,12 +112,60 @@ def ridge_models(features: DataFrame, folds: DataFrame, *by: str, alpha: float =
                                                           solved(F.col("_m")).alias("beta"))
 
 
+def _stepped(start: Column, steps: int, following) -> Column:
+    """``start`` with ``steps`` more values, each ``following(values so far, number of the step)``."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda path, k: F.concat(path, F.array(following(path, k))))
+
+
+def _back(path: Column, n: int) -> Column:
+    """The value ``n`` days before the next one."""
+    return F.element_at(path, F.lit(-n))
+
+
+def stepwise_forecasts(series: DataFrame, *by: str, horizon_weeks: int = 8) -> DataFrame:
+    """Daily forecast of the baseline and of the ridge for all series at once: (by, kind, day, model, actual, predicted).
+
+    A series is one row with its last 28 days as an array, to which every step adds the next day for all series in parallel;
+    nothing is looped over on the driver. The ridge is fitted on all rows of its series.
+    """
+    steps = horizon_weeks * 7 + 7
+    features = model_features(series, *by)
+    ends = features.groupBy(*by).agg(F.count(F.lit(1)).alias("start")).withColumn("end", F.col("start"))
+    models = ridge_models(stable(features), ends, *by).drop("start", "end")
+    tails = series.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("day").alias("_last"), F.transform(
+        F.slice(F.sort_array(F.collect_list(F.struct("day", "revenue"))), -28, 28), lambda x: x["revenue"]).alias("_tail"))
+    rows = tails.join(models, list(by), "left")                                 # one row a series
+    turn = 2.0 * F.pi()
+
+    def same_weekday(path: Column, _: Column) -> Column:
+        return (_back(path, 7) + _back(path, 14) + _back(path, 21) + _back(path, 28)) / 4
+
+    def fitted(path: Column, k: Column) -> Column:
+        day = F.date_add("_last", k)
+        mean = [F.aggregate(F.slice(path, -n, n), F.lit(0.0), lambda a, x: a + x) / n for n in (7, 28)]
+        dow, month = F.weekday(day), F.month(day)
+        x = [(F.col("_n") + k - 1).cast("double"), *[F.log1p(v) for v in (_back(path, 1), _back(path, 7), _back(path, 14), *mean)],
+             F.sin(turn * dow / 7), F.cos(turn * dow / 7), F.when(dow >= 5, 1.0).otherwise(0.0),
+             F.sin(turn * month / 12), F.cos(turn * month / 12)]
+        out = F.col("level")
+        for j, value in enumerate(x):
+            out = out + (value - F.get("mean", F.lit(j))) / F.get("scale", F.lit(j)) * F.get("beta", F.lit(j))
+        return F.greatest(F.lit(0.0), F.expm1(out))
+
+    paths = rows.select(*by, "_last", F.posexplode(F.arrays_zip(
+        F.slice(_stepped(F.col("_tail"), steps, same_weekday), 29, steps).alias("base"),
+        F.slice(_stepped(F.col("_tail"), steps, fitted), 29, steps).alias("ridge"))).alias("_k", "_v"))
+    models_of = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_v.{c}").alias("predicted"))
+                          for m, c in ((BASELINE, "base"), (RIDGE, "ridge"))])
+    return paths.select(*by, F.lit("forecast").alias("kind"), F.date_add("_last", F.col("_k") + 1).alias("day"),
+                        F.inline(models_of)).select(*by, "kind", "day", "model", F.lit(None).cast("double").alias("actual"), "predicted")
+
+
 def ridge_validation(series: DataFrame, *by: str) -> DataFrame:
     """Validation rows of the ridge for every series, without a loop over series, days or folds."""
     features = stable(model_features(series, *by))
     models = stable(ridge_models(features, series_folds(features, *by), *by))
-    rows = features.withColumn("_i", F.col("t") - OFFSET)
-    rows = rows.join(models, list(by)) if by else rows.join(models)          # at most three models a series
+    rows = features.withColumn("_i", F.col("t") - OFFSET).join(models, list(by))          # at most three models a series
     rows = rows.where((F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("end")))
     fitted = F.col("level")
     for k, name in enumerate(FEATURES):

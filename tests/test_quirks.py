@@ -2,6 +2,8 @@
 
 from datetime import date, datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from orderflux.operators import ordering as O
 from orderflux.operators.cleaning import clean
 from orderflux.operators.normalise import enrich, normalise
 from orderflux.plans import churn, demand, forecast, series
+from orderflux.plans import forecast as FC
 from orderflux.plans.customers import customer_type, retention_rate, scope_user_list
 from orderflux.sources.files import detect_stream
 
@@ -441,3 +444,55 @@ def test_bitmaps_against_sets(spark):
         k = r["month"].month
         now, before = ({u for m, u, d in data if u and m == r["m"] and d[6] == str(x)} for x in (k, k - 1))
         assert (r["users"], r["repeat_users"]) == (len(now), len(now & before))
+
+
+def plain_ridge(x, y, alpha=1.0):
+    """Ridge on standardised features with a free intercept; returns a predictor."""
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    std[std == 0] = 1.0
+    z = (x - mean) / std
+    beta = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
+    return lambda row: float(((row - mean) / std) @ beta + y.mean())
+
+
+def plain_forecast(pdf, horizon_days):
+    """Validation and forecast rows of ridge and baseline for one series."""
+    pdf = pdf.sort_values("day")
+    days, values = pd.to_datetime(pdf["day"]).reset_index(drop=True), pdf["revenue"].to_numpy(float)
+    x = np.array([FC._features(values[:i], i, days[i]) for i in range(FC.OFFSET, len(values))])
+    y = np.log1p(values[FC.OFFSET:])
+    out = []
+    for start, end in FC.fold_bounds(len(x)):
+        predict = plain_ridge(x[:start], y[:start])
+        for i in range(start, end):
+            out.append(("validation", days[i + FC.OFFSET], FC.RIDGE, values[i + FC.OFFSET],
+                        max(0.0, np.expm1(predict(x[i])))))
+            same = [values[j] for j in (i + FC.OFFSET - k for k in (28, 21, 14, 7)) if j >= 0]
+            out.append(("validation", days[i + FC.OFFSET], FC.BASELINE, values[i + FC.OFFSET], float(np.mean(same))))
+    predict, path, base = plain_ridge(x, y), list(values), list(values)
+    for step in range(1, horizon_days + 1):
+        day = days.iloc[-1] + pd.Timedelta(days=step)
+        path.append(max(0.0, np.expm1(predict(FC._features(np.array(path[-28:]), len(values) + step - 1, day)))))
+        base.append(float(np.mean([base[-k] for k in (7, 14, 21, 28)])))
+        out.append(("forecast", day, FC.RIDGE, np.nan, path[-1]))
+        out.append(("forecast", day, FC.BASELINE, np.nan, base[-1]))
+    return {(kind, day.date(), model): value for kind, day, model, _, value in out}
+
+
+def test_ridge_and_steps_against_the_series_by_series_way(spark):
+    """Gram sums and steps for all series at once, against the forecasts that one task makes for one series."""
+    import math
+    from pyspark.sql import functions as F
+    days = spark.range(140).select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("m"), F.col("id"))
+    value = F.when(F.col("m") == "c", 100.0).otherwise(500 + 90 * F.sin(F.col("id") / 3.0) + F.pmod(F.xxhash64("id", "m"), F.lit(997)) / 9.0)
+    series = days.where("m <> 'b' or id < 61").select("m", F.date_add(F.lit("2026-01-01").cast("date"), F.col("id").cast("int")).alias("day"),
+                                                      value.alias("revenue"), F.col("id").cast("int").alias("t"))
+
+    def rows(df):
+        return {(r["m"], r["kind"], r["day"], r["model"]): r["predicted"] for r in df.collect()}
+
+    want = {(m, *key): value for m, pdf in series.toPandas().groupby("m") for key, value in plain_forecast(pdf, 28).items()}
+    got = rows(FC.linear_forecasts(series, "m", horizon_weeks=3))
+    assert set(got) == set(want)
+    for key, value in got.items():
+        assert math.isclose(value, want[key], rel_tol=1e-6), key

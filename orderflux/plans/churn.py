@@ -6,6 +6,7 @@ Features use orders up to the reference time only; the label looks strictly afte
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import ratio
 from orderflux.operators.ordering import running_totals
-from orderflux.session import stable
+from orderflux.session import stable, together
 
 FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "tenure_days", "days_since_reg",
             "recent_3m_orders", "revenue_30d", "interval_mean", "interval_std"]
@@ -184,15 +185,19 @@ def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds:
         "_h", F.xxhash64(F.col("user_id"), F.lit(SEED)).cast("double"))
     train = stable(running_totals(hashed, "_h", ["churn"], rank="_rank").withColumn(
         "fold", F.pmod(F.col("_rank") - 1, F.lit(folds))).drop("_h", "_rank", "cumulative").coalesce(_parts(size["n"])))
-    scores, fitted = None, {}
-    for name, pipeline in _models(trees, rounds, size["n"]).items():
-        for fold in range(folds):
-            model = pipeline.fit(train.filter(F.col("fold") != fold))
-            part = _scored(model, train.filter(F.col("fold") == fold)).select(
-                F.lit(name).alias("model"), "user_id", "churn", "score")
-            scores = part if scores is None else scores.unionByName(part)
-        fitted[name] = pipeline.fit(train)
+    train.persist()                                   # every fit reads it; lost blocks come from the checkpoint
+    # One pipeline for each fit: stages keep their parameters in Python objects, which threads should not share.
+    jobs = [(name, fold) for name in ("Gradient Boosting", "Random Forest", "Logistic Regression")
+            for fold in [*range(folds), None]]
+    fits = together([
+        lambda name=name, fold=fold: _models(trees, rounds, size["n"])[name].fit(
+            train if fold is None else train.filter(F.col("fold") != fold)) for name, fold in jobs])
+    fitted = {name: model for (name, fold), model in zip(jobs, fits) if fold is None}
+    scores = reduce(DataFrame.unionByName, [
+        _scored(model, train.filter(F.col("fold") == fold)).select(F.lit(name).alias("model"), "user_id", "churn", "score")
+        for (name, fold), model in zip(jobs, fits) if fold is not None])
     points = stable(roc_points(scores))
+    train.unpersist()
     metrics = stable(classifier_metrics(points))
     best = metrics.orderBy(F.desc("auc"), "model").first()["model"]
     current = _scored(fitted[best], customer_features(_rows(df), today).fillna(0.0, FEATURES))

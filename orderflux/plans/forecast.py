@@ -2,8 +2,8 @@
 
 The fact is reduced to daily series in Spark. Ridge and baseline are validated and forecast for all series at once: sums of
 products give the equations of all folds, and a series is one row with its last days as an array when it is stepped forward.
-The tree models are fitted and validated by Spark ML and asked for one day after the other: 63 single predictions a
-model, on the 28 latest days.
+The tree models are fitted side by side and validated by Spark ML and asked for one day after the other: 63 single
+predictions a model, on the 28 latest days.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import ratio
 from orderflux.plans.series import daily_series, model_features, seasonal_baseline
-from orderflux.session import stable
+from orderflux.session import stable, together
 
 FEATURES = ["t", "lag1", "lag7", "lag14", "roll7", "roll28", "dow_sin", "dow_cos", "is_weekend",
             "month_sin", "month_cos"]
@@ -193,20 +193,36 @@ def accuracy(rows: DataFrame, *by: str) -> DataFrame:
 DEEPEST = 30
 
 
-def _tree(name: str, trees: int):
+#: Pieces a forest is fitted in, side by side. Its trees know nothing of each other, so their mean is that of the pieces.
+PIECES = 8
+
+
+def _parts(name: str, trees: int) -> list[tuple[float, object]]:
+    """Estimators that together make one model, each with its share of the prediction."""
     if name == "Gradient Boosting":
-        return GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.9, seed=42)
-    return RandomForestRegressor(numTrees=trees, maxDepth=DEEPEST, minInstancesPerNode=2,
-                                 featureSubsetStrategy="all", seed=42)
+        return [(1.0, GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.9, seed=42,
+                                   predictionCol="_p0"))]
+    sizes = [n for n in ((trees + k) // PIECES for k in range(PIECES)) if n]
+    return [(n / trees, RandomForestRegressor(numTrees=n, maxDepth=DEEPEST, minInstancesPerNode=2, seed=42 + k,
+                                              featureSubsetStrategy="all", predictionCol=f"_p{k}"))
+            for k, n in enumerate(sizes)]
+
+
+def _predicted(parts: list, df: DataFrame) -> DataFrame:
+    """``df`` with the column ``prediction`` of a model in parts."""
+    for _, model in parts:
+        df = model.transform(df)
+    return df.withColumn("prediction", sum(F.lit(share) * F.col(f"_p{k}") for k, (share, _) in enumerate(parts)))
 
 
-def _tree_path(model, tail: list[tuple], n: int, horizon_days: int) -> list[tuple]:
+def _tree_path(parts: list, tail: list[tuple], n: int, horizon_days: int) -> list[tuple]:
     """Recursive forecast of one fitted model: (day, predicted) from the last 28 days of a series of ``n`` days."""
     last, path, out = pd.Timestamp(tail[-1][0]), [v for _, v in tail], []
     for step in range(1, horizon_days + 1):
         day = last + pd.Timedelta(days=step)
         row = _features(np.array(path[-28:]), n + step - 1, day)
-        path.append(max(0.0, float(np.expm1(model.predict(Vectors.dense(row))))))
+        value = sum(share * model.predict(Vectors.dense(row)) for share, model in parts)
+        path.append(max(0.0, float(np.expm1(value))))
         out.append((day.date(), path[-1]))
     return out
 
@@ -216,23 +232,32 @@ def tree_forecasts(series: DataFrame, horizon_weeks: int = 8, trees: int = 300)
     spark = series.sparkSession
     rows = stable(VectorAssembler(inputCols=FEATURES, outputCol="features")
                   .transform(model_features(series)).withColumn("_i", F.col("t") - OFFSET)
-                  .coalesce(1))                     # one row per calendar day
+                  .coalesce(1)).persist()           # one row per calendar day
     folds, tests, paths, importance = fold_bounds(rows.count()), [], [], None
+    whole = (None, None)
+    jobs = [(name, fold, share, part) for name in TREES for fold in [*folds, whole] for share, part in _parts(name, trees)]
+    fits = together([
+        lambda part=part, start=start: part.fit(rows if start is None else rows.filter(F.col("_i") < start))
+        for _, (start, _), _, part in jobs])
+    fitted = {}
+    for (name, fold, share, _), model in zip(jobs, fits):
+        fitted.setdefault((name, fold), []).append((share, model))
     n, horizon = series.count(), horizon_weeks * 7 + 7
     tail = [(r["day"], float(r["revenue"])) for r in series.orderBy(F.desc("day")).limit(28).collect()][::-1]
     for name in TREES:
         for start, end in folds:
-            model = _tree(name, trees).fit(rows.filter(F.col("_i") < start))
-            test = model.transform(rows.filter((F.col("_i") >= start) & (F.col("_i") < end)))
+            test = _predicted(fitted[name, (start, end)], rows.filter((F.col("_i") >= start) & (F.col("_i") < end)))
             tests.append(test.select(
                 F.lit("validation").alias("kind"), "day", F.lit(name).alias("model"),
                 F.col("revenue").alias("actual"), F.greatest(F.lit(0.0), F.expm1("prediction")).alias("predicted")))
-        final = _tree(name, trees).fit(rows)
+        final = fitted[name, whole]
         paths += [("forecast", day, name, None, v) for day, v in _tree_path(final, tail, n, horizon)]
         if name == "Random Forest":
-            importance = final.featureImportances.toArray()
+            importance = sum(share * model.featureImportances.toArray() for share, model in final)
     future = spark.createDataFrame(paths, "kind string, day date, model string, actual double, predicted double")
-    return reduce(lambda a, b: a.unionByName(b), [*tests, future]), importance
+    out = stable(reduce(lambda a, b: a.unionByName(b), [*tests, future]))
+    rows.unpersist()
+    return out, importance
 
 
 # --- the whole forecast ----------------------------------------------------

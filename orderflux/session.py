@@ -7,6 +7,10 @@ import re
 import shutil
 import tempfile
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,6 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def together(calls: list[Callable], at_once: int = 8) -> list:
+    """Results of independent calls in their order, ``at_once`` of them side by side in driver threads.
+
+    For model fits: one is a chain of short jobs on a small training set, which leaves most cores idle.
+    Calls with many short jobs belong first in the list, since new jobs queue behind older ones for cores.
+    """
+    if not calls:
+        return []
+    with ThreadPoolExecutor(min(at_once, len(calls))) as pool:
+        waiting = [pool.submit(inheritable_thread_target(call)) for call in calls]
+        return [w.result() for w in waiting]
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an aggregate that two branches read.
 

@@ -69,3 +69,25 @@ def test_revenue_forecast_structure(spark):
     for w in weeks:
         mean = sum(w[m] for m in forecast.MODELS) / 3
         assert w["Ensemble"] == pytest.approx(mean if out["beats_baseline"] else w[forecast.BASELINE])
+
+
+def test_forest_in_pieces_is_the_mean_of_all_its_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from orderflux.plans import forecast
+    from orderflux.session import together
+    rows = spark.createDataFrame([(float(i), float(i % 7), float(i * i % 50)) for i in range(200)], "x double, y double, label double")
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows).coalesce(1)
+    for trees, sizes in ((20, [2, 2, 2, 2, 3, 3, 3, 3]), (3, [1, 1, 1])):
+        parts = forecast._parts("Random Forest", trees)
+        assert [p.getNumTrees() for _, p in parts] == sizes and abs(sum(s for s, _ in parts) - 1) < 1e-12
+        fitted = [(s, m) for (s, _), m in zip(parts, together([lambda p=p: p.fit(rows) for _, p in parts]))]
+        each = [t for _, m in fitted for t in m.trees]
+        for r in forecast._predicted(fitted, rows).limit(5).collect():
+            assert abs(r["prediction"] - sum(t.predict(r["features"]) for t in each) / trees) < 1e-9
+
+
+def test_calls_side_by_side_keep_their_order_and_their_errors():
+    from orderflux.session import together
+    assert together([lambda k=k: k * k for k in range(20)], at_once=3) == [k * k for k in range(20)] and together([]) == []
+    with pytest.raises(ZeroDivisionError):
+        together([lambda: 1, lambda: 1 // 0])

@@ -80,6 +80,43 @@ def m9(spark, d):
                                  "churn_probability", "risk_tier", best.alias("model"))
 
 
+@register("M8_metrics_of_given_scores", """
+WITH r AS (SELECT * FROM ok WHERE segment = 'B2C'), m AS (SELECT max(order_time) - INTERVAL 60 DAY AS c FROM r),
+u AS (SELECT user_id, CASE WHEN max(order_time) > any_value(c) THEN 0 ELSE 1 END AS churn,
+        floor(epoch(any_value(c) - max(order_time) FILTER (order_time <= c)) / 86400) AS recency
+      FROM r, m GROUP BY 1 HAVING min(order_time) <= any_value(c)),
+s AS (SELECT 'recency' AS model, churn, recency / 1000.0::DOUBLE AS score FROM u
+      UNION ALL SELECT 'residue', churn, (recency % 97) / 97.0::DOUBLE FROM u),
+g AS (SELECT model, score, sum(churn)::DOUBLE AS pos, sum(1 - churn)::DOUBLE AS neg FROM s GROUP BY 1, 2),
+p AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model) AS np,
+        sum(neg) OVER (PARTITION BY model) AS nn FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+a AS (SELECT model, sum(neg * (tp - pos / 2) / (np * nn)) AS auc FROM p GROUP BY 1),
+b AS (SELECT model, score AS threshold, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(np, 0), 0) AS recall
+      FROM p QUALIFY row_number() OVER (PARTITION BY model ORDER BY tp / np - fp / nn DESC, score DESC) = 1)
+SELECT model, auc, threshold, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1
+FROM a JOIN b USING (model)
+""", "auc:6 threshold:6 precision:6 recall:6 f1:6")
+def m8s(spark, d):
+    """ROC area, threshold, precision, recall and F1 of two scores that need no fit, over all customers before the cutoff."""
+    train = CH.training_set(successful(spark, d, *_COLUMNS), 60)
+    scores = train.select("churn", F.inline(F.array(
+        F.struct(F.lit("recency").alias("model"), (F.col("recency_days") / 1000.0).alias("score")),
+        F.struct(F.lit("residue").alias("model"), (F.pmod("recency_days", F.lit(97)) / 97.0).alias("score")))))
+    return CH.classifier_metrics(stable(CH.roc_points(scores)))
+
+
+@register("M9_tiers_of_given_scores", f"""
+WITH {_FEATURES}, s AS (SELECT (recency_days % 11) / 10.0::DOUBLE AS score, monetary FROM f)
+SELECT CASE WHEN score <= 0.3::DOUBLE THEN 'Low Risk' WHEN score <= 0.6::DOUBLE THEN 'Medium Risk' ELSE 'High Risk' END AS risk_tier,
+  count(*) AS customers, sum(monetary) AS monetary FROM s GROUP BY 1
+""", "monetary:2")
+def m9s(spark, d):
+    """Tiers of a score in tenths, so that both bounds are met exactly."""
+    rows = CH.customer_features(successful(spark, d, *_COLUMNS).filter("segment = 'B2C'"), REF)
+    tier = CH.risk_tier(F.pmod("recency_days", F.lit(11)) / 10.0)
+    return rows.groupBy(tier.alias("risk_tier")).agg(F.count(F.lit(1)).alias("customers"), F.sum("monetary").alias("monetary"))
+
+
 @register("M10_feature_importance")
 def m10(spark, d):
     train = stable(CH.training_set(successful(spark, d, *_COLUMNS), 60))

@@ -1,7 +1,8 @@
 """Distinct users of any roll-up and overlaps of periods from bitmaps, without shuffling user ids again.
 
-User ids get dense numbers once; each market and day then holds its users as bits, 32,768 to a row. Rows of coarser periods
-are unions of these, overlaps are intersections, and counts are exact.
+User ids get dense numbers once; each market and day then holds its users as bits, 64 to a row, and only rows that have any.
+So there are never more rows than users of a day, however thinly these are spread, and a row is a few numbers that aggregate by
+hash. Rows of coarser periods are unions of these, overlaps are intersections, and counts are exact.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ def user_numbers(df: DataFrame, user: str = "user_id") -> DataFrame:
 
 
 def user_bitmaps(df: DataFrame, numbers: DataFrame, *by: str, user: str = "user_id", time: str = "order_time") -> DataFrame:
-    """(by, day, bucket, users): the users of each day as bits. Only here do ids meet their numbers."""
+    """(by, day, bucket, users): the users of each day as the bits of a long. Only here do ids meet their numbers."""
     number = F.col("number")
     rows = df.where(F.col(time).isNotNull()).select(*by, F.to_date(time).alias("day"), user).join(numbers, user)
-    return rows.groupBy(*by, "day", F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("users"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int"))
+    return rows.groupBy(*by, "day", F.shiftright(number, 6).alias("bucket")).agg(F.bit_or(bit).alias("users"))
 
 
 def period(grain: str) -> Column:
@@ -44,14 +45,14 @@ def period(grain: str) -> Column:
 def united(bitmaps: DataFrame, *by: str, grain: str | None = None) -> DataFrame:
     """Bitmaps of coarser rows: those of ``by``, and of the periods of a grain as ``period``."""
     keys = [*by, *([period(grain).alias("period")] if grain else [])]
-    return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+    return bitmaps.groupBy(*keys, "bucket").agg(F.bit_or("users").alias("users"))
 
 
 def distinct_users(bitmaps: DataFrame, *by: str, grain: str | None = None) -> DataFrame:
     """Exact number of distinct users of each roll-up that has any."""
     rows = united(bitmaps, *by, grain=grain)
     keys = [*by, *(["period"] if grain else [])]
-    return rows.groupBy(*keys).agg(F.sum(F.bitmap_count("users")).alias("users"))
+    return rows.groupBy(*keys).agg(F.sum(F.bit_count("users").cast("long")).alias("users"))
 
 
 def returning_users(bitmaps: DataFrame, *by: str, months: int = 1) -> DataFrame:
@@ -59,8 +60,8 @@ def returning_users(bitmaps: DataFrame, *by: str, months: int = 1) -> DataFrame:
     rows = stable(united(bitmaps, *by, grain="month"))
     shifted = rows.withColumn("period", F.add_months("period", months))
     both = rows.unionByName(shifted).groupBy(*by, "period", "bucket").agg(
-        F.bitmap_and_agg("users").alias("users"), F.count(F.lit(1)).alias("_n")).where("_n = 2")
-    repeats = both.groupBy(*by, "period").agg(F.sum(F.bitmap_count("users")).alias("repeat_users"))
-    out = rows.groupBy(*by, "period").agg(F.sum(F.bitmap_count("users")).alias("users")).join(repeats, [*by, "period"], "left")
+        F.bit_and("users").alias("users"), F.count(F.lit(1)).alias("_n")).where("_n = 2")
+    repeats = both.groupBy(*by, "period").agg(F.sum(F.bit_count("users").cast("long")).alias("repeat_users"))
+    out = rows.groupBy(*by, "period").agg(F.sum(F.bit_count("users").cast("long")).alias("users")).join(repeats, [*by, "period"], "left")
     return out.select(*by, F.col("period").alias("month"), "users", F.coalesce("repeat_users", F.lit(0)).alias("repeat_users")).withColumn(
         "repurchase_rate", ratio(F.col("repeat_users"), F.col("users")))

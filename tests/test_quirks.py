@@ -446,6 +446,19 @@ def test_bitmaps_against_sets(spark):
         assert (r["users"], r["repeat_users"]) == (len(now), len(now & before))
 
 
+def test_bitmaps_of_thinly_spread_users_are_small(spark):
+    """A day with one user of many takes a few bytes, and the sixty-fourth bit of a row counts like any other."""
+    from pyspark.sql import functions as F
+    from orderflux.plans import bitmaps as B
+    df = spark.range(1, 2001).select(F.col("id").cast("string").alias("user_id"), F.lit("a").alias("m"),
+                                     F.timestamp_seconds(F.col("id") * 86_400).alias("order_time"))
+    numbers = df.select("user_id", F.col("user_id").cast("long").alias("number"))
+    bits = B.user_bitmaps(df, numbers, "m")
+    assert sum(len(r["users"]) if isinstance(r["users"], (bytes, bytearray)) else 8 for r in bits.collect()) <= 2000 * 8
+    assert B.distinct_users(bits).first()["users"] == 2000
+    assert {r["users"] for r in B.distinct_users(bits, grain="day").collect()} == {1}
+
+
 def plain_ridge(x, y, alpha=1.0):
     """Ridge on standardised features with a free intercept; returns a predictor."""
     mean, std = x.mean(axis=0), x.std(axis=0)

@@ -24,6 +24,7 @@ FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "tenure_
             "recent_3m_orders", "revenue_30d", "interval_mean", "interval_std"]
 MIN_USERS, MIN_TRAIN, MIN_CLASS, FOLDS, SEED = 30, 40, 5, 5, 42
 DEEPEST = 30                                            # Spark ML's limit; the depth is free otherwise
+PIECES, PIECE_ROWS = 16, 2_000
 OMITTED = "Extra Trees has no Spark ML counterpart"
 
 
@@ -93,23 +94,48 @@ def training_set(df: DataFrame, churn_days: int = 60, today: datetime | None = N
         "churn", F.col("_later").isNull().cast("int")).drop("_later")
 
 
-def _models(trees: int, rounds: int, rows: int) -> dict:
-    """Pipelines by name. The penalty of the regression is that of C = 1 over ``rows`` rows."""
+def _pieces(trees: int, rows: int) -> list[int]:
+    """Trees of each piece that a forest is fitted in, side by side. Its trees know nothing of each other, so the mean of the
+    pieces is that of the forest; a small training set keeps it whole."""
+    count = min(PIECES, 1 + rows // PIECE_ROWS)
+    return [n for n in ((trees + k) // count for k in range(count)) if n]
+
+
+def _models(trees: int, rounds: int, rows: int) -> dict[str, list[tuple[float, Pipeline]]]:
+    """By name the pipelines that together make one model, each with its share of the score.
+
+    The penalty of the regression is that of C = 1 over ``rows`` rows. Forests keep the node of each row: without, every pass
+    carries all trees to the tasks and walks them from the root.
+    """
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="raw")
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
     common = {"labelCol": "churn"}
     return {
-        "Logistic Regression": Pipeline(stages=[assemble, scale, LogisticRegression(
-            featuresCol="scaled", weightCol="weight", maxIter=100, regParam=1.0 / max(1, rows), **common)]),
-        "Random Forest": Pipeline(stages=[assemble, RandomForestClassifier(
-            featuresCol="raw", weightCol="weight", numTrees=trees, maxDepth=DEEPEST, seed=SEED, **common)]),
-        "Gradient Boosting": Pipeline(stages=[assemble, GBTClassifier(
-            featuresCol="raw", maxIter=rounds, maxDepth=3, stepSize=0.05, seed=SEED, **common)]),
+        "Logistic Regression": [(1.0, Pipeline(stages=[assemble, scale, LogisticRegression(
+            featuresCol="scaled", weightCol="weight", maxIter=100, regParam=1.0 / max(1, rows), **common)]))],
+        "Random Forest": [(n / trees, Pipeline(stages=[assemble, RandomForestClassifier(
+            featuresCol="raw", weightCol="weight", numTrees=n, maxDepth=DEEPEST, seed=SEED + k, cacheNodeIds=True, **common)]))
+            for k, n in enumerate(_pieces(trees, rows))],
+        "Gradient Boosting": [(1.0, Pipeline(stages=[assemble, GBTClassifier(
+            featuresCol="raw", maxIter=rounds, maxDepth=3, stepSize=0.05, seed=SEED, **common)]))],
     }
 
 
-def _scored(model, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("score", vector_to_array("probability")[1])
+def _scored(parts: list, df: DataFrame) -> DataFrame:
+    """``df`` with the column ``score`` of a model in parts."""
+    columns, score = df.columns, F.lit(0.0)
+    for k, (share, model) in enumerate(parts):
+        df = model.transform(df).select(*columns, *[f"_s{j}" for j in range(k)],
+                                        (F.lit(share) * vector_to_array("probability")[1]).alias(f"_s{k}"))
+        score = score + F.col(f"_s{k}")
+    return df.select(*columns, score.alias("score"))
+
+
+def _united_scores(parts: list[DataFrame]) -> DataFrame:
+    """(model, user_id, churn, score) from the shares (model, part, user_id, churn, score) of each part, added in their order."""
+    shares = F.sort_array(F.collect_list(F.struct("part", "score")))
+    return reduce(DataFrame.unionByName, parts).groupBy("model", "user_id").agg(
+        F.max("churn").alias("churn"), F.aggregate(shares, F.lit(0.0), lambda total, s: total + s["score"]).alias("score"))
 
 
 def roc_points(scores: DataFrame) -> DataFrame:
@@ -152,13 +178,20 @@ def forest_importance(train: DataFrame, trees: int = 200) -> DataFrame:
     counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum("churn").alias("c")).first()
     weight = F.when(F.col("churn") == 1, counts["n"] / (2.0 * max(counts["c"], 1))).otherwise(
         counts["n"] / (2.0 * max(counts["n"] - counts["c"], 1)))
-    fitted = _models(trees, 1, counts["n"])["Random Forest"].fit(
-        train.fillna(0.0, FEATURES).withColumn("weight", weight).coalesce(_parts(counts["n"])))
-    return _importance(train.sparkSession, fitted)
+    rows = train.fillna(0.0, FEATURES).withColumn("weight", weight).coalesce(_parts(counts["n"])).persist()
+    parts = _models(trees, 1, counts["n"])["Random Forest"]
+    fits = together([lambda part=part: part.fit(rows) for _, part in parts], _at_once(rows))
+    rows.unpersist()
+    return _importance(train.sparkSession, [(share, fit) for (share, _), fit in zip(parts, fits)])
+
+
+def _at_once(df: DataFrame) -> int:
+    """Fits side by side: one for each core, since each has few tasks."""
+    return max(8, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _importance(spark, fitted) -> DataFrame:
-    values = fitted.stages[-1].featureImportances.toArray()
+def _importance(spark, parts: list) -> DataFrame:
+    values = sum(share * fitted.stages[-1].featureImportances.toArray() for share, fitted in parts)
     return local_table(spark, "feature string, importance double",
                        sorted(zip(FEATURES, map(float, values)), key=lambda p: -p[1]))
 
@@ -187,15 +220,23 @@ def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds:
         "fold", F.pmod(F.col("_rank") - 1, F.lit(folds))).drop("_h", "_rank", "cumulative").coalesce(_parts(size["n"])))
     train.persist()                                   # every fit reads it; lost blocks come from the checkpoint
     # One pipeline for each fit: stages keep their parameters in Python objects, which threads should not share.
-    jobs = [(name, fold) for name in ("Gradient Boosting", "Random Forest", "Logistic Regression")
-            for fold in [*range(folds), None]]
-    fits = together([
-        lambda name=name, fold=fold: _models(trees, rounds, size["n"])[name].fit(
-            train if fold is None else train.filter(F.col("fold") != fold)) for name, fold in jobs])
-    fitted = {name: model for (name, fold), model in zip(jobs, fits) if fold is None}
-    scores = reduce(DataFrame.unionByName, [
-        _scored(model, train.filter(F.col("fold") == fold)).select(F.lit(name).alias("model"), "user_id", "churn", "score")
-        for (name, fold), model in zip(jobs, fits) if fold is not None])
+    jobs = [(name, fold, k, share, part) for name in ("Gradient Boosting", "Random Forest", "Logistic Regression")
+            for fold in [*range(folds), None] for k, (share, part) in enumerate(_models(trees, rounds, size["n"])[name])]
+
+    def fit(name: str, fold: int | None, k: int, share: float, part: Pipeline):
+        """The model on all rows, or a fold's scores, so that the driver holds no more trees than those at work."""
+        if fold is None:
+            return part.fit(train)
+        model = part.fit(train.filter(F.col("fold") != fold))
+        return stable(_scored([(share, model)], train.filter(F.col("fold") == fold)).select(
+            F.lit(name).alias("model"), F.lit(k).alias("part"), "user_id", "churn", "score"))
+
+    fits = together([lambda job=job: fit(*job) for job in jobs], _at_once(train))
+    fitted: dict[str, list] = {}
+    for (name, fold, _, share, _), model in zip(jobs, fits):
+        if fold is None:
+            fitted.setdefault(name, []).append((share, model))
+    scores = _united_scores([rows for (_, fold, *_), rows in zip(jobs, fits) if fold is not None])
     points = stable(roc_points(scores))
     train.unpersist()
     metrics = stable(classifier_metrics(points))

@@ -86,6 +86,34 @@ def test_forest_in_pieces_is_the_mean_of_all_its_trees(spark):
             assert abs(r["prediction"] - sum(t.predict(r["features"]) for t in each) / trees) < 1e-9
 
 
+def test_churn_forest_of_many_rows_is_fitted_in_pieces(spark):
+    from pyspark.sql import functions as F
+    from orderflux.plans import churn
+    few, many = (churn._models(200, 1, n)["Random Forest"] for n in (500, 60_000))
+    assert [p.getStages()[-1].getNumTrees() for _, p in few] == [200] and len(many) > 8
+    assert sum(p.getStages()[-1].getNumTrees() for _, p in many) == 200 and abs(sum(s for s, _ in many) - 1) < 1e-12
+    # Without the nodes of the rows every pass carries all trees to the tasks.
+    assert all(p.getStages()[-1].getCacheNodeIds() for _, p in [*few, *many])
+    rows = spark.range(300).select(F.col("id").cast("string").alias("user_id"), (F.col("id") % 3 < 1).cast("int").alias("churn"),
+                                   F.lit(1.0).alias("weight"), *[(F.col("id") * k % 17).cast("double").alias(c)
+                                                                for k, c in enumerate(churn.FEATURES, 1)]).coalesce(1)
+    fitted = [(s, p.fit(rows)) for s, p in churn._models(5, 1, 3 * churn.PIECE_ROWS)["Random Forest"]]
+    assert len(fitted) == 4
+    trees = [t for _, m in fitted for t in m.stages[-1].trees]
+    vectors = fitted[0][1].stages[0].transform(rows).limit(5).select("user_id", "raw").collect()
+    want = {r["user_id"]: sum(t.predictProbability(r["raw"])[1] for t in trees) / 5 for r in vectors}
+    parts = [churn._scored([x], rows).select(F.lit("m").alias("model"), F.lit(k).alias("part"), "user_id", "churn", "score")
+             for k, x in enumerate(fitted)]
+    for scored in (churn._scored(fitted, rows), churn._united_scores(parts)):
+        got = {r["user_id"]: r["score"] for r in scored.collect()}
+        assert len(got) == 300 and all(got[u] == pytest.approx(v) for u, v in want.items())
+
+
+def test_forecast_forests_keep_the_nodes_of_their_rows():
+    from orderflux.plans import forecast
+    assert all(p.getCacheNodeIds() for _, p in forecast._parts("Random Forest", 20))
+
+
 def test_calls_side_by_side_keep_their_order_and_their_errors():
     from orderflux.session import together
     assert together([lambda k=k: k * k for k in range(20)], at_once=3) == [k * k for k in range(20)] and together([]) == []

@@ -204,7 +204,7 @@ def _parts(name: str, trees: int) -> list[tuple[float, object]]:
                                    predictionCol="_p0"))]
     sizes = [n for n in ((trees + k) // PIECES for k in range(PIECES)) if n]
     return [(n / trees, RandomForestRegressor(numTrees=n, maxDepth=DEEPEST, minInstancesPerNode=2, seed=42 + k,
-                                              featureSubsetStrategy="all", predictionCol=f"_p{k}"))
+                                              featureSubsetStrategy="all", cacheNodeIds=True, predictionCol=f"_p{k}"))
             for k, n in enumerate(sizes)]
 
 

@@ -60,7 +60,8 @@ def parse_dates(df: DataFrame, columns) -> DataFrame:
     Steps of their own, so that each text is arranged once and only the chosen reading is parsed.
     """
     df = df.withColumns({f"_t_{c}": E.date_text(F.col(f"`{c}`")) for c in columns})
-    choice = day_first_choice(df, columns)          # one row per file
+    # One row per file, whose size Spark cannot know: a join by shuffle would put all rows of a file into one task.
+    choice = F.broadcast(day_first_choice(df, columns))
     df = df.join(choice, F.col(FILE) == F.col("_f"), "left").drop("_f")
     df = df.withColumns({f"_t_{c}": E.chosen_order(F.col(f"_t_{c}"), F.col(f"_df_{c}")) for c in columns})
     return df.withColumns({c: E.time_of(F.col(f"_t_{c}")) for c in columns})

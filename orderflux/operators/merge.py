@@ -12,8 +12,8 @@ from orderflux.functions.expressions import parse_timestamp
 KEY = "订单号"
 
 
-def keep_last(df: DataFrame, key: str, order_by, collapse_nulls: bool = config.NULL_KEYS_COLLAPSE):
-    """The row with the greatest ``order_by`` per key; ``order_by`` is a total order of the rows.
+def keep_last(df: DataFrame, key: str, order_by, collapse_nulls: bool = config.NULL_KEYS_COLLAPSE, columns=None):
+    """The row with the greatest ``order_by`` per key, of ``columns`` or all; ``order_by`` is a total order of the rows.
 
     An aggregate, not a window: rows of a hot key are reduced before the shuffle. Rows without a key are kept
     unless ``collapse_nulls``: each is a group of its own by its position, so they spread over all tasks.
@@ -22,7 +22,7 @@ def keep_last(df: DataFrame, key: str, order_by, collapse_nulls: bool = config.N
     groups = [F.col(key).alias("_key")]
     if not collapse_nulls:
         groups.append(F.when(F.col(key).isNull(), order).alias("_place"))
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in (columns or df.columns)])
     return df.groupBy(*groups).agg(F.max_by(row, order).alias("_row")).select("_row.*")
 
 

@@ -47,9 +47,10 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def _latest(df: DataFrame) -> DataFrame:
-    """Last row per order id by source rank and position."""
+    """Last row per order id by source rank and position, without the helper columns: the aggregate sorts what it carries."""
     order = [c for c in (S.RANK, S.SEQ, "_row") if c in df.columns]
-    return M.keep_last(df, KEY, order) if KEY in df.columns else df
+    kept = [c for c in df.columns if c not in _HELPERS]
+    return M.keep_last(df, KEY, order, columns=kept) if KEY in df.columns else df.drop(*_HELPERS)
 
 
 def _months(df: DataFrame) -> list[str]:
@@ -92,7 +93,7 @@ def append_batch(spark: SparkSession, root: str, incoming: DataFrame, segment: s
         if facts["quarantined"]:
             _quarantine(root, segment, batch_id, batch.filter("reason IS NOT NULL"))
         good = _typed(batch.filter("reason IS NULL")).withColumn(MONTH, month_of(F.col(TIME)))
-        rows = stable(_latest(good).drop(*_HELPERS))
+        rows = stable(_latest(good))
         for attempt in range(config.COMMIT_ATTEMPTS):
             try:
                 merged = _merge(spark, root, segment, batch_id, good, rows, source_stamp, digest)
@@ -359,7 +360,7 @@ def full_rebuild(spark: SparkSession, data_root: str, root: str, history=None, d
             out[segment] = {"rows": r["rows"], "date_min": str(r["lo"])[:10], "date_max": str(r["hi"])[:10],
                             "errors": errors}
             continue
-        rows = rows.drop(*_HELPERS).withColumn(MONTH, month_of(F.col(TIME)))
+        rows = rows.withColumn(MONTH, month_of(F.col(TIME)))
         batch_id = "rebuild-" + time.strftime("%Y%m%d%H%M%S")
         _quarantine(root, segment, batch_id, marked.filter("reason IS NOT NULL"))
         bad = spark.read.parquet(quarantine_folder(root, segment, batch_id)).count()

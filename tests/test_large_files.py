@@ -2,6 +2,7 @@
 
 from contextlib import contextmanager
 
+from orderflux.plans import imports as I
 from orderflux.sources import files as S
 
 
@@ -40,3 +41,11 @@ def test_rows_of_a_file_of_quoted_line_breaks_are_dealt_out(spark, tmp_path):
         held = [n for n in rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
         assert sum(held) == 300 and len(held) > 1
         assert rows.filter("`备注` = 'two\nlines'").count() == 300
+
+
+def test_last_row_is_kept_without_helpers(spark):
+    rows = spark.createDataFrame([("1", "old", 0, 0, "f"), ("1", "new", 1, 0, "f"), (None, "x", 0, 1, "f")],
+                                 f"`{I.KEY}` string, v string, {S.RANK} int, {S.SEQ} int, {S.FILE} string")
+    out = I._latest(rows)
+    assert out.columns == [I.KEY, "v"]
+    assert sorted(map(tuple, out.collect()), key=str) == [("1", "new"), (None, "x")]

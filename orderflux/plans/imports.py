@@ -275,6 +275,8 @@ class Read(NamedTuple):
 
 def clean_files(spark: SparkSession, paths) -> tuple[list[Read], list[dict]]:
     """Cleaned files by layout, each in the segment that its own headings tell, and the files that cannot be read."""
+    # The JVM does not compile larger methods; cleaning in one generated method would stay interpreted.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     out, errors = [], []
     for x in S.read_layouts(spark, paths, errors):
         if KEY not in x.headings:

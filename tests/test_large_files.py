@@ -34,6 +34,14 @@ def test_probe_sorts_no_lines(spark, tmp_path):
     assert [(r["open"], r["plain"]) for r in seen.orderBy("path").collect()] == [(False, True), (True, True)]
 
 
+def test_date_choice_moves_no_rows(spark, tmp_path):
+    path = delivered(tmp_path, "a.csv", "x")
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "1000"}):
+        rows = I.clean_files(spark, [path])[0][0].rows.rows
+        assert "SortMergeJoin" not in plan(rows)
+        assert rows.count() == 300
+
+
 def test_rows_of_a_file_of_quoted_line_breaks_are_dealt_out(spark, tmp_path):
     path = delivered(tmp_path, "a.csv", '"two\nlines"')
     with settings(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
@@ -49,3 +57,9 @@ def test_last_row_is_kept_without_helpers(spark):
     out = I._latest(rows)
     assert out.columns == [I.KEY, "v"]
     assert sorted(map(tuple, out.collect()), key=str) == [("1", "new"), (None, "x")]
+
+
+def test_cleaning_runs_in_methods_that_the_jvm_compiles(spark, tmp_path):
+    with settings(spark, **{"spark.sql.codegen.hugeMethodLimit": "65535"}):
+        I.clean_files(spark, [delivered(tmp_path, "a.csv", "x")])
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

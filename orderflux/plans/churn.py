@@ -8,6 +8,8 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from orderflux.functions.dimensions import local_table
 from orderflux.functions.expressions import ratio
 from orderflux.operators.ordering import running_totals
+from orderflux.plans import trees as T
 from orderflux.session import stable, together
 
 FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "tenure_days", "days_since_reg",
@@ -25,6 +28,8 @@ FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "tenure_
 MIN_USERS, MIN_TRAIN, MIN_CLASS, FOLDS, SEED = 30, 40, 5, 5, 42
 DEEPEST = 30                                            # Spark ML's limit; the depth is free otherwise
 PIECES, PIECE_ROWS = 16, 2_000
+TASK_ROWS, TASK_TREES = 2_000_000, 5                    # most rows that go to every task; trees of a forest a task grows
+GBT_DEPTH, GBT_STEP = 3, 0.05
 OMITTED = "Extra Trees has no Spark ML counterpart"
 
 
@@ -117,7 +122,7 @@ def _models(trees: int, rounds: int, rows: int) -> dict[str, list[tuple[float, P
             featuresCol="raw", weightCol="weight", numTrees=n, maxDepth=DEEPEST, seed=SEED + k, cacheNodeIds=True, **common)]))
             for k, n in enumerate(_pieces(trees, rows))],
         "Gradient Boosting": [(1.0, Pipeline(stages=[assemble, GBTClassifier(
-            featuresCol="raw", maxIter=rounds, maxDepth=3, stepSize=0.05, seed=SEED, **common)]))],
+            featuresCol="raw", maxIter=rounds, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=SEED, **common)]))],
     }
 
 
@@ -131,13 +136,76 @@ def _scored(parts: list, df: DataFrame) -> DataFrame:
     return df.select(*columns, score.alias("score"))
 
 
-def _united_scores(parts: list[DataFrame]) -> DataFrame:
+def _united_scores(parts: list[DataFrame], keys=("model", "user_id")) -> DataFrame:
     """(model, user_id, churn, score) from the shares (model, part, user_id, churn, score) of each part, added in their order."""
     shares = F.sort_array(F.collect_list(F.struct("part", "score")))
-    return reduce(DataFrame.unionByName, parts).groupBy("model", "user_id").agg(
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
         F.max("churn").alias("churn"), F.aggregate(shares, F.lit(0.0), lambda total, s: total + s["score"]).alias("score"))
 
 
+def _column(df: DataFrame, name: str) -> np.ndarray:
+    return df.select(name).toArrow()[name].to_numpy()
+
+
+def _grown_in_tasks(train: DataFrame, weights: tuple[float, float], trees: int, rounds: int = 0, folds: int = 0,
+                    current: DataFrame | None = None) -> DataFrame:
+    """(kind, model, row, churn, score) of a forest and of boosting, each fitted to all rows of a training set and without each fold.
+
+    A ``held`` row has the score of the model without its fold, a ``now`` row that of a row of ``current`` (with its ``_row``), an
+    ``importance`` row that of a feature in the forest on all rows. Both frames are checkpoints, so their rows have one order; a column after the
+    other comes to the driver, which holds a byte a value (see :mod:`orderflux.plans.trees`). Thresholds of a model come from its own rows.
+    A task grows some trees of one forest, or boosts one model, and scores what that model has to score; no tree leaves it.
+    """
+    spark, sets = train.sparkSession, [*range(folds), None]
+    label = _column(train, "churn").astype(np.uint8)
+    fold = _column(train, "fold") if folds else np.zeros(len(label), np.int32)
+    ids = _column(current, "_row") if current is not None else np.zeros(0, np.int64)
+    bins = {k: np.empty((len(label), len(FEATURES)), np.uint8) for k in sets}
+    now = np.empty((len(ids), len(FEATURES)), np.uint8)
+    for j, name in enumerate(FEATURES):
+        values = _column(train, name)
+        for k in sets:
+            at = T.cuts(values if k is None else values[fold != k])
+            bins[k][:, j] = T.binned(values, at)
+        if len(ids):
+            now[:, j] = T.binned(_column(current, name), at)
+    empty = now[:0], ids[:0]
+    tables = {k: spark.sparkContext.broadcast((bins[k], label, fold, *((now, ids) if k is None else empty))) for k in sets}
+    units = [("Gradient Boosting", k, 0, []) for k in sets if rounds] + [
+        ("Random Forest", k, first // TASK_TREES, [[SEED, sets.index(k), t] for t in range(first, min(trees, first + TASK_TREES))])
+        for k in sets for first in range(0, trees, TASK_TREES)]
+
+    def fit(frames):
+        for unit in (u for frame in frames for u in frame["id"]):
+            model, k, part, seeds = units[unit]
+            table, churn, folds_of, other, other_ids = tables[k].value
+            used = np.ones(len(table), bool) if k is None else folds_of != k
+            held, x, y = np.flatnonzero(~used), table[used], churn[used]
+            if seeds:
+                scored = table[held], other
+                found, importance = [np.zeros(len(t)) for t in scored], np.zeros(len(FEATURES))
+                for tree in T.forest(x, y, weights, seeds, DEEPEST):
+                    found = [s + tree.scores(t) for s, t in zip(found, scored)]
+                    importance += tree.importance(len(FEATURES)) if k is None else 0
+            else:
+                found, importance = T.boosted(x, y, [table[held], other], rounds, GBT_DEPTH, GBT_STEP), None
+            out = [("held", held, churn[held], found[0]), ("now", other_ids, np.zeros(len(other)), found[1])]
+            if seeds and k is None:
+                out.append(("importance", np.arange(len(FEATURES)), np.zeros(len(FEATURES)), importance))
+            for kind, row, c, score in out:
+                for a in range(0, len(row), 100_000):
+                    z = slice(a, a + 100_000)
+                    yield pd.DataFrame({"kind": kind, "model": model, "part": part, "row": row[z], "churn": c[z], "score": score[z]})
+
+    shares = spark.range(0, len(units), 1, len(units)).mapInPandas(
+        fit, "kind string, model string, part int, row long, churn int, score double")
+    united = _united_scores([shares], ("kind", "model", "row"))
+    out = stable(united.withColumn("score", F.when(F.col("model") == "Random Forest", F.col("score") / trees).otherwise(F.col("score"))))
+    for table in tables.values():
+        table.unpersist()
+    return out
+
+
 def roc_points(scores: DataFrame) -> DataFrame:
     """ROC point per model and distinct score (rows: model, churn, score)."""
     merged = scores.groupBy("model", "score").agg(
@@ -176,8 +244,10 @@ def _parts(rows: int) -> int:
 def forest_importance(train: DataFrame, trees: int = 200) -> DataFrame:
     """Feature importances of the random forest fitted to a training set, largest first."""
     counts = train.agg(F.count(F.lit(1)).alias("n"), F.sum("churn").alias("c")).first()
-    weight = F.when(F.col("churn") == 1, counts["n"] / (2.0 * max(counts["c"], 1))).otherwise(
-        counts["n"] / (2.0 * max(counts["n"] - counts["c"], 1)))
+    balanced = [counts["n"] / (2.0 * max(c, 1)) for c in (counts["n"] - (counts["c"] or 0), counts["c"] or 0)]
+    if PIECE_ROWS <= counts["n"] <= TASK_ROWS:
+        return _grown_importance(_grown_in_tasks(train.fillna(0.0, FEATURES), balanced, trees))
+    weight = F.when(F.col("churn") == 1, balanced[1]).otherwise(balanced[0])
     rows = train.fillna(0.0, FEATURES).withColumn("weight", weight).coalesce(_parts(counts["n"])).persist()
     parts = _models(trees, 1, counts["n"])["Random Forest"]
     fits = together([lambda part=part: part.fit(rows) for _, part in parts], _at_once(rows))
@@ -190,12 +260,20 @@ def _at_once(df: DataFrame) -> int:
     return max(8, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _importance(spark, parts: list) -> DataFrame:
-    values = sum(share * fitted.stages[-1].featureImportances.toArray() for share, fitted in parts)
+def _ranked_importance(spark, values) -> DataFrame:
     return local_table(spark, "feature string, importance double",
                        sorted(zip(FEATURES, map(float, values)), key=lambda p: -p[1]))
 
 
+def _importance(spark, parts: list) -> DataFrame:
+    return _ranked_importance(spark, sum(share * fitted.stages[-1].featureImportances.toArray() for share, fitted in parts))
+
+
+def _grown_importance(grown: DataFrame) -> DataFrame:
+    values = np.array([r["score"] for r in grown.filter("kind = 'importance'").orderBy("row").collect()])
+    return _ranked_importance(grown.sparkSession, values / max(values.sum(), 1e-300))
+
+
 def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds: int = 150,
                   folds: int = FOLDS) -> dict | None:
     """Train, validate out of fold, and score every current customer with the best model.

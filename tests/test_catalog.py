@@ -119,3 +119,102 @@ def test_calls_side_by_side_keep_their_order_and_their_errors():
     assert together([lambda k=k: k * k for k in range(20)], at_once=3) == [k * k for k in range(20)] and together([]) == []
     with pytest.raises(ZeroDivisionError):
         together([lambda: 1, lambda: 1 // 0])
+
+
+def _jobs_of(spark, call):
+    """What a call returns and how many Spark jobs it ran."""
+    group = f"jobs-{id(call)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = call()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _customers(spark, n):
+    """A training set whose label follows two of the features."""
+    from pyspark.sql import functions as F
+    from orderflux.plans import churn
+    rows = spark.range(0, n, 1, 3).select(F.col("id").cast("string").alias("user_id"), *[
+        (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10 ** (1 + k % 4))).cast("double") / 4).alias(c) for k, c in enumerate(churn.FEATURES)])
+    first, second = churn.FEATURES[1], churn.FEATURES[3]
+    noise = F.pmod(F.xxhash64("user_id", F.lit(99)), F.lit(10)) == 0
+    rule = ((F.col(first) > 15) == (F.col(second) < 900)).cast("int")
+    return rows.withColumn("churn", F.when(noise, 1 - rule).otherwise(rule))
+
+
+def test_thresholds_are_those_of_spark():
+    import numpy as np
+    from orderflux.plans import trees
+    random = np.random.default_rng(1)
+    for values in (random.integers(0, 9, 50), random.geometric(0.05, 900), random.normal(size=700),
+                   np.where(random.random(500) < 0.8, 0, random.random(500)), np.zeros(40)):
+        found, counts = np.unique(values, return_counts=True)
+        between = [(a + b) / 2 for a, b in zip(found, found[1:])]
+        if len(between) > 31:
+            keep, upto, target = [], counts[0], len(values) / 32
+            for k in range(1, len(found)):
+                before, upto = upto, upto + counts[k]
+                if abs(before - target) < abs(upto - target):
+                    keep.append(between[k - 1])
+                    target += len(values) / 32
+            between = keep
+        assert list(trees.cuts(values.astype(float))) == pytest.approx(between)
+        bins = trees.binned(values, np.array(between))
+        assert all(b == sum(c < v for c in between) for v, b in zip(values[:40], bins))
+
+
+def test_boosting_in_a_task_is_that_of_spark(spark):
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from orderflux.plans import churn, trees
+    rows = VectorAssembler(inputCols=churn.FEATURES, outputCol="raw").transform(_customers(spark, 600)).coalesce(1).cache()
+    model = GBTClassifier(featuresCol="raw", labelCol="churn", maxIter=6, maxDepth=3, stepSize=0.05).fit(rows)
+    want = [r[0] for r in model.transform(rows).select(vector_to_array("probability")[1]).collect()]
+    frame = rows.drop("raw").toPandas()
+    bins = np.stack([trees.binned(frame[c].to_numpy(), trees.cuts(frame[c].to_numpy())) for c in churn.FEATURES], 1)
+    got, few = trees.boosted(bins, frame["churn"].to_numpy(), [bins, bins[:5]], 6, 3, 0.05)
+    assert got == pytest.approx(want, abs=1e-12) and few == pytest.approx(got[:5])
+
+
+def test_tree_in_a_task_parts_all_rows_and_merges_equal_siblings():
+    import numpy as np
+    from orderflux.plans import trees
+    random = np.random.default_rng(3)
+    bins = random.integers(0, 32, (4000, 10)).astype(np.uint8)
+    bins[:, 9] = np.arange(4000) % 32
+    label = (bins[:, 2] > 20).astype(np.uint8)
+    tree = trees.grow(bins, label, np.ones(4000, np.int64), (1.0, 2.0), random, 30)
+    assert np.array_equal(tree.scores(bins) > 0.5, label == 1)
+    assert tree.importance(10).argmax() == 2 and tree.importance(10).sum() == pytest.approx(1)
+    # A root that cannot tell its rows apart, one of a single class, and one whose children would say the same.
+    same = np.zeros((10, 10), np.uint8)
+    assert trees.grow(same, label[:10] * 0, np.ones(10, np.int64), (1.0, 1.0), random, 30).scores(same).tolist() == [0.0] * 10
+    half = np.arange(10) % 2
+    assert trees.grow(same, half, np.ones(10, np.int64), (1.0, 3.0), random, 30).scores(same).tolist() == [0.75] * 10
+    many = np.repeat(np.array([[0], [1]], np.uint8), 10, 1).repeat(5, 0)
+    leaning = np.array([0, 0, 0, 0, 1, 0, 0, 0, 1, 1])
+    only = trees.grow(many, leaning, np.ones(10, np.int64), (1.0, 1.0), random, 30)
+    assert only.feature[0] == -1 and only.scores(many).tolist() == pytest.approx([0.3] * 10)
+
+
+def test_churn_importance_of_many_rows_takes_few_jobs(spark):
+    from orderflux.plans import churn
+    from orderflux.session import stable, together
+    train = stable(_customers(spark, churn.PIECE_ROWS + 500))
+    got, jobs = _jobs_of(spark, lambda: churn.forest_importance(train, 24).collect())
+    assert jobs < 40                                    # Spark ML's forests ran some for each level of each piece
+    rows = train.selectExpr("*", "1.0D AS weight").coalesce(1).persist()
+    parts = churn._models(24, 1, 500)["Random Forest"]
+    fits = together([lambda p=p: p.fit(rows) for _, p in parts])
+    want = {r["feature"]: r["importance"] for r in churn._importance(spark, [(s, m) for (s, _), m in zip(parts, fits)]).collect()}
+    assert [r["importance"] for r in got] == sorted((r["importance"] for r in got), reverse=True)
+    assert sum(r["importance"] for r in got) == pytest.approx(1)
+    # The label needs two features together, so chance decides which of them a root takes.
+    found = {r["feature"]: r["importance"] for r in got}
+    two = (churn.FEATURES[1], churn.FEATURES[3])
+    assert sum(found[c] for c in two) == pytest.approx(sum(want[c] for c in two), abs=0.03) and found.keys() == want.keys()
+    assert all(found[c] == pytest.approx(want[c], abs=0.02) for c in found if c not in two)

@@ -290,15 +290,21 @@ def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds:
     kept = size["n"] - (size["churned"] or 0)
     if users < MIN_USERS or size["n"] < MIN_TRAIN or min(size["churned"], kept) < MIN_CLASS:
         return None
-    weight = F.when(F.col("churn") == 1, size["n"] / (2.0 * size["churned"])).otherwise(size["n"] / (2.0 * kept))
+    balanced = [size["n"] / (2.0 * n) for n in (kept, size["churned"])]
+    weight = F.when(F.col("churn") == 1, balanced[1]).otherwise(balanced[0])
     # Folds are dealt within each class, in the order of a hash of the user.
     hashed = train.withColumn("weight", weight).withColumn(
         "_h", F.xxhash64(F.col("user_id"), F.lit(SEED)).cast("double"))
     train = stable(running_totals(hashed, "_h", ["churn"], rank="_rank").withColumn(
         "fold", F.pmod(F.col("_rank") - 1, F.lit(folds))).drop("_h", "_rank", "cumulative").coalesce(_parts(size["n"])))
     train.persist()                                   # every fit reads it; lost blocks come from the checkpoint
+    current, in_tasks = customer_features(_rows(df), today).fillna(0.0, FEATURES), size["n"] >= PIECE_ROWS
+    if in_tasks:
+        current = stable(current.withColumn("_row", F.monotonically_increasing_id()))
+        in_tasks = current.count() <= TASK_ROWS       # every user of the training set is among them
     # One pipeline for each fit: stages keep their parameters in Python objects, which threads should not share.
     jobs = [(name, fold, k, share, part) for name in ("Gradient Boosting", "Random Forest", "Logistic Regression")
+            if not in_tasks or name == "Logistic Regression"
             for fold in [*range(folds), None] for k, (share, part) in enumerate(_models(trees, rounds, size["n"])[name])]
 
     def fit(name: str, fold: int | None, k: int, share: float, part: Pipeline):
@@ -309,22 +315,31 @@ def predict_churn(df: DataFrame, churn_days: int = 60, trees: int = 200, rounds:
         return stable(_scored([(share, model)], train.filter(F.col("fold") == fold)).select(
             F.lit(name).alias("model"), F.lit(k).alias("part"), "user_id", "churn", "score"))
 
-    fits = together([lambda job=job: fit(*job) for job in jobs], _at_once(train))
+    calls = [lambda job=job: fit(*job) for job in jobs]
+    if in_tasks:
+        calls.append(lambda: _grown_in_tasks(train, balanced, trees, rounds, folds, current))
+    fits = together(calls, _at_once(train))
     fitted: dict[str, list] = {}
     for (name, fold, _, share, _), model in zip(jobs, fits):
         if fold is None:
             fitted.setdefault(name, []).append((share, model))
-    scores = _united_scores([rows for (_, fold, *_), rows in zip(jobs, fits) if fold is not None])
+    scores = _united_scores([rows for (_, fold, *_), rows in zip(jobs, fits) if fold is not None]).select("model", "churn", "score")
+    if in_tasks:
+        scores = scores.unionByName(fits[-1].filter("kind = 'held'").select("model", "churn", "score"))
     points = stable(roc_points(scores))
     train.unpersist()
     metrics = stable(classifier_metrics(points))
     best = metrics.orderBy(F.desc("auc"), "model").first()["model"]
-    current = _scored(fitted[best], customer_features(_rows(df), today).fillna(0.0, FEATURES))
+    if best in fitted:
+        current = _scored(fitted[best], current)
+    else:
+        now = fits[-1].filter((F.col("kind") == "now") & (F.col("model") == best))
+        current = current.join(now.select(F.col("row").alias("_row"), "score"), "_row")
     at_risk = current.select(
         "user_id", "recency_days", "frequency", "monetary", "avg_order_value", "recent_3m_orders",
         "revenue_30d", F.bround(F.col("score") * 100, 1).alias("churn_probability"),
         risk_tier(F.col("score")).alias("risk_tier")).orderBy(F.desc("churn_probability"), "user_id")
-    importance = _importance(df.sparkSession, fitted["Random Forest"])
+    importance = _grown_importance(fits[-1]) if in_tasks else _importance(df.sparkSession, fitted["Random Forest"])
     return {"at_risk": at_risk, "metrics": metrics, "best_model": best, "feature_importance": importance,
             "roc_curves": points.select("model", "score", "fpr", "tpr"), "churn_days": churn_days,
             "total_customers": size["n"], "churned_count": size["churned"],

@@ -218,3 +218,35 @@ def test_churn_importance_of_many_rows_takes_few_jobs(spark):
     two = (churn.FEATURES[1], churn.FEATURES[3])
     assert sum(found[c] for c in two) == pytest.approx(sum(want[c] for c in two), abs=0.03) and found.keys() == want.keys()
     assert all(found[c] == pytest.approx(want[c], abs=0.02) for c in found if c not in two)
+
+
+def test_churn_of_many_users_is_fitted_in_few_jobs(spark):
+    from datetime import datetime
+    from pyspark.sql import functions as F
+    from orderflux.plans import churn
+    # Users with an odd number order every 9 days to the end, others stop on the way; some come only in the last days.
+    orders = spark.range(churn.PIECE_ROWS + 400).select("id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k")).select(
+        F.col("id").cast("string").alias("user_id"), F.lit("B2C").alias("segment"),
+        (F.lit(datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval((F.col("k") * 9 + F.col("id") % 7).cast("int"))).alias("order_time"),
+        F.lit(None).cast("timestamp").alias("register_time"), (F.col("id") % 50 + F.col("k") * 1.5).alias("sales")).filter(
+        "CASE WHEN CAST(user_id AS INT) % 100 = 0 THEN order_time > '2024-06-01' "
+        "WHEN CAST(user_id AS INT) % 2 = 0 THEN order_time < '2024-03-10' ELSE true END")
+    out, jobs = _jobs_of(spark, lambda: churn.predict_churn(orders, 60, trees=24, rounds=20, folds=3))
+    assert jobs < 250                                   # Spark ML's trees ran some for each level of each piece and round
+    metrics = {r["model"]: r for r in out["metrics"].collect()}
+    assert set(metrics) == {"Logistic Regression", "Random Forest", "Gradient Boosting"}
+    assert all(m["auc"] > 0.99 for m in metrics.values())
+    assert out["roc_curves"].groupBy("model").agg(F.max("tpr").alias("t"), F.max("fpr").alias("f")).filter("t = 1 AND f = 1").count() == 3
+    users = {r[0] for r in orders.select("user_id").distinct().collect()}
+    scored = out["at_risk"].collect()
+    assert len(scored) == len(users) and {r["user_id"] for r in scored} == users
+    assert all(0 <= r["churn_probability"] <= 100 for r in scored)
+    assert sum(r["importance"] for r in out["feature_importance"].collect()) == pytest.approx(1)
+    # What a task says of current users is the score of the model that won, whichever it is.
+    train = churn.stable(churn.training_set(orders, 60).fillna(0.0, churn.FEATURES).withColumn("fold", F.crc32("user_id") % 3))
+    now = churn.stable(train.withColumn("_row", F.col("user_id").cast("long") + 7))
+    grown = churn._grown_in_tasks(train, (1.0, 1.0), 9, 5, 3, now).collect()
+    for model in ("Random Forest", "Gradient Boosting"):
+        for kind, rows in (("held", range(train.count())), ("now", [r[0] for r in now.select("_row").collect()])):
+            got = [r for r in grown if (r["kind"], r["model"]) == (kind, model)]
+            assert sorted(r["row"] for r in got) == sorted(rows) and all(0 <= r["score"] <= 1 for r in got)
